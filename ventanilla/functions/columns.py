@@ -69,9 +69,28 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.strip() removes (str.isspace), built from the rule.
+PY_BLANKS = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def strip(c) -> Column:
-    """Python-like strip: removes every Unicode blank at both ends."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    """Python-like strip: removes every Unicode blank at both ends.
+
+    A char-set trim (no regex) that reads its input once, so a deep input
+    expression is never duplicated."""
+    return F.trim(col_(c), F.lit(PY_BLANKS))
+
+
+def has_value(s) -> Column:
+    """F11 test on stripped text: not null, not blank, not 'nan' (reads the input once)."""
+    return ~F.lower(F.coalesce(col_(s), F.lit(""))).isin("", "nan")
+
+
+def clean_stripped(s, default=None) -> Column:
+    """F11 on already stripped text: null / blank / 'nan' -> default."""
+    s = col_(s)
+    dflt = F.lit(default) if not isinstance(default, Column) else default
+    return F.when(s.isNull() | (s == "") | (F.lower(s) == "nan"), dflt).otherwise(s)
 
 
 def clean_value(c, default=None) -> Column:
@@ -111,10 +130,21 @@ def normalized_type(c) -> Column:
     return F.when((t == "") | (t == "NAN"), F.lit(UNCLASSIFIED)).otherwise(t)
 
 
+def normalized_stripped_type(s) -> Column:
+    """normalized_type on already stripped text."""
+    t = F.upper(F.coalesce(col_(s), F.lit("nan")))
+    return F.when((t == "") | (t == "NAN"), F.lit(UNCLASSIFIED)).otherwise(t)
+
+
 def category_of(c, rules=None) -> Column:
     """category by first contained token; rules list is a parameter."""
+    return category_of_normalized(normalized_type(c), rules)
+
+
+def category_of_normalized(t, rules=None) -> Column:
+    """F4 on a normalized (trimmed, upper-cased) type text."""
     rules = rules or CATEGORY_RULES
-    t = normalized_type(c)
+    t = col_(t)
     expr = F.lit(DEFAULT_CATEGORY)
     for token, label in reversed(rules):
         expr = F.when(t.contains(token), F.lit(label)).otherwise(expr)
@@ -122,25 +152,29 @@ def category_of(c, rules=None) -> Column:
 
 
 def parse_date(c) -> Column:
-    """day-first date text -> DATE; anything else -> NULL."""
-    s = strip(col_(c).cast("string"))
+    """day-first date text -> DATE; anything else -> NULL (pass stripped text)."""
+    s = col_(c).cast("string")
     return F.coalesce(*[F.try_to_date(s, fmt) for fmt in DATE_FORMATS])
 
 
-def duration_us(c) -> Column:
-    """duration text -> BIGINT microseconds ('H:MM:SS[.f]', 'N days HH:MM:SS')."""
-    s = strip(col_(c).cast("string"))
-    ok = s.rlike(DURATION_PATTERN)
+def duration_ok(c) -> Column:
+    """True when the (stripped) text is a duration F6 accepts."""
+    return col_(c).rlike(DURATION_PATTERN)
+
 
-    def grp(i):
-        return F.regexp_extract(s, DURATION_PATTERN, i)
+def duration_us(c) -> Column:
+    """duration text -> BIGINT microseconds ('H:MM:SS[.f]', 'N days HH:MM:SS[.f]').
 
-    days = F.when(grp(1) == "", F.lit(0)).otherwise(grp(1).cast("bigint"))
-    frac = F.when(grp(5) == "", F.lit(0)).otherwise(
-        F.rpad(F.substring(grp(5), 1, 6), 6, "0").cast("bigint"))
-    secs = ((days * 24 + grp(2).cast("bigint")) * 3600
-            + grp(3).cast("bigint") * 60 + grp(4).cast("bigint"))
-    return F.when(ok, secs * US_PER_SECOND + frac)
+    One validating ``rlike``; the parts come from a single ``split`` read
+    from the end (seconds, minutes, hours, then days when present)."""
+    s = col_(c)
+    parts = F.split(F.translate(s, " ", ":"), ":")
+    days = F.when(F.size(parts) == 5, F.try_element_at(parts, F.lit(1)).try_cast("bigint")).otherwise(F.lit(0))
+    hours = F.try_element_at(parts, F.lit(-3)).try_cast("bigint")
+    mins = F.try_element_at(parts, F.lit(-2)).try_cast("bigint")
+    secs_us = (F.try_element_at(parts, F.lit(-1)).try_cast("decimal(18,6)") * US_PER_SECOND).cast("bigint")
+    total = ((days * 24 + hours) * 3600 + mins * 60) * US_PER_SECOND + secs_us
+    return F.when(duration_ok(s), total)
 
 
 def idiv(a, b) -> Column:
@@ -265,19 +299,21 @@ def time_of_day_text(ts, null_text=NO_VALUE) -> Column:
     return F.coalesce(F.date_format(col_(ts), "HH:mm:ss"), F.lit(null_text))
 
 
-def combine_date_time(d, t) -> Column:
-    """date + time-of-day text -> TIMESTAMP_NTZ; null date or time -> null."""
-    d = col_(d)
-    s = strip(col_(t).cast("string"))
-    us = duration_us(s)
-    base = F.to_timestamp_ntz(F.date_format(d, "yyyy-MM-dd"))
-    offset = F.timestamp_add("MICROSECOND", us, base)
+def combine_date_time(d, t, t_us) -> Column:
+    """date + time-of-day text -> TIMESTAMP_NTZ; null date or time -> null.
+
+    ``t`` is the stripped text and ``t_us`` its duration parse (column
+    references computed in an earlier projection): a 'H:MM:SS' offset is
+    added to the date, otherwise the text is read as a clock time."""
+    d, s, us = col_(d), col_(t), col_(t_us)
+    offset = F.timestamp_add("MICROSECOND", us, d.cast("timestamp_ntz"))
     txt = F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), s)
     free = F.coalesce(F.try_to_timestamp(txt, F.lit("yyyy-MM-dd h:mm a")),
                       F.try_to_timestamp(txt, F.lit("yyyy-MM-dd H:mm")))
     free = F.to_timestamp_ntz(F.date_format(free, "yyyy-MM-dd HH:mm:ss"))
-    bad = d.isNull() | col_(t).isNull() | (s == "") | (F.lower(s) == "nan")
-    return F.when(bad, F.lit(None).cast("timestamp_ntz")).when(us.isNotNull(), offset).otherwise(free)
+    return (F.when(us.isNotNull(), offset)
+             .when(d.isNull() | ~has_value(s), F.lit(None).cast("timestamp_ntz"))
+             .otherwise(free))
 
 
 def base_name(name) -> Column:

@@ -72,30 +72,42 @@ def sol_rows(clean: DataFrame) -> DataFrame:
     """P8 row projection of cleaned SOL rows (one row per report row).
 
     Typed fact columns plus the raw terminal / clerk texts the relative
-    metrics group on."""
+    metrics group on. Built in stages (strip -> parse -> derive) so that
+    each parsed value is computed once and referenced by name after."""
     type_col = find_type_column(clean.columns)
     tipo_raw = cell(clean, type_col) if type_col else F.lit(None).cast("string")
-    categoria = C.category_of(tipo_raw) if type_col else F.lit(C.UNCLASSIFIED)
-    fecha = C.parse_date(cell(clean, "FECHA DE TRAMITE"))
-    us = C.duration_us(cell(clean, "TIEMPO TOTAL DE ATENCIÓN"))
-    h = C.hundredths_of_us(us)
     clerk_raw = cell(clean, "NOMBRE FUNCIONARIO")
-    return clean.select(
-        F.col("archivo_id"), F.col("nombre_archivo"), C.office_of("nombre_archivo").alias("mac"),
-        F.col("row_no"), fecha.alias("fecha"),
-        C.clean_value(cell(clean, "SOLICITUD")).alias("folio"),
-        C.clean_value(tipo_raw).alias("tipo_tramite"),
-        C.clean_value(categoria, C.UNCLASSIFIED).alias("categoria"),
-        C.clean_value(clerk_raw).alias("funcionario"),
-        C.clean_value(cell(clean, "TERMINAL")).alias("terminal"),
-        C.clean_value(cell(clean, "DOMICILIO VISIBLE")).alias("domicilio_visible"),
-        F.lit(None).cast("string").alias("estatus_tramite"),
-        C.combine_date_time(fecha, cell(clean, "HORA INICIO ATENCIÓN")).alias("hora_inicio"),
-        C.combine_date_time(fecha, cell(clean, "HORA FIN ATENCIÓN")).alias("hora_fin"),
-        us.alias("duracion_us"), h.alias("centesimas"), C.within_norm(h).alias("dentro_norma"),
+    stripped = clean.select(
+        "archivo_id", "nombre_archivo", "row_no",
         cell(clean, "TERMINAL").alias("terminal_txt"),
-        C.strip(F.coalesce(clerk_raw.cast("string"), F.lit("nan"))).alias("funcionario_txt"),
-    )
+        C.strip(cell(clean, "TERMINAL")).alias("_terminal"),
+        C.strip(cell(clean, "SOLICITUD")).alias("_folio"),
+        C.strip(tipo_raw).alias("_tipo"),
+        C.strip(clerk_raw).alias("_clerk"),
+        C.strip(cell(clean, "DOMICILIO VISIBLE")).alias("_dom"),
+        C.strip(cell(clean, "FECHA DE TRAMITE")).alias("_fecha"),
+        C.strip(cell(clean, "HORA INICIO ATENCIÓN")).alias("_hi"),
+        C.strip(cell(clean, "HORA FIN ATENCIÓN")).alias("_hf"),
+        C.strip(cell(clean, "TIEMPO TOTAL DE ATENCIÓN")).alias("_dur"))
+    parsed = stripped.select(
+        "*", C.office_of("nombre_archivo").alias("mac"), C.parse_date("_fecha").alias("fecha"),
+        C.duration_us("_dur").alias("duracion_us"), C.duration_us("_hi").alias("_hi_us"),
+        C.duration_us("_hf").alias("_hf_us"), C.normalized_stripped_type("_tipo").alias("_tipo_norm"))
+    categoria = C.category_of_normalized("_tipo_norm") if type_col else F.lit(C.UNCLASSIFIED)
+    derived = parsed.select(
+        "archivo_id", "nombre_archivo", "mac", "row_no", "fecha",
+        C.clean_stripped("_folio").alias("folio"),
+        C.clean_stripped("_tipo").alias("tipo_tramite"),
+        categoria.alias("categoria"),
+        C.clean_stripped("_clerk").alias("funcionario"),
+        C.clean_stripped("_terminal").alias("terminal"),
+        C.clean_stripped("_dom").alias("domicilio_visible"),
+        F.lit(None).cast("string").alias("estatus_tramite"),
+        C.combine_date_time("fecha", "_hi", "_hi_us").alias("hora_inicio"),
+        C.combine_date_time("fecha", "_hf", "_hf_us").alias("hora_fin"),
+        "duracion_us", C.hundredths_of_us("duracion_us").alias("centesimas"),
+        "terminal_txt", F.coalesce(F.col("_clerk"), F.lit("nan")).alias("funcionario_txt"))
+    return derived.withColumn("dentro_norma", C.within_norm("centesimas"))
 
 
 def clerk_rows(rows: DataFrame) -> DataFrame:
@@ -105,7 +117,11 @@ def clerk_rows(rows: DataFrame) -> DataFrame:
 
 
 def clean_cr_report(df: DataFrame) -> DataFrame:
-    """Rename, prune, check required columns, normalise, filter, derive."""
+    """Rename, prune, check required columns, filter, normalise, derive.
+
+    The row filter (P6 + valid duration) is written on the raw stripped
+    texts and applied before any derived column, so predicate pushdown has
+    nothing expensive to copy into the scan-side filter."""
     stripped = df.toDF(*[c.strip() if c not in META_COLUMNS else c for c in df.columns])
     present = {k: v for k, v in CR_COLUMN_MAP.items() if k in stripped.columns}
     renamed = stripped.withColumnsRenamed(present)                    # P2
@@ -114,37 +130,38 @@ def clean_cr_report(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"Faltan columnas clave en CR: {', '.join(missing)}")
     meta = [c for c in META_COLUMNS if c in renamed.columns]
-    out = renamed.select(*meta, *keep)
-    norm = {"terminal": C.blank_to_null("terminal"), "solicitud": C.blank_to_null("solicitud")}
+    t, so, d = C.strip("terminal"), C.strip("solicitud"), C.strip("tiempo_total_atencion")
+    rows = renamed.select(*meta, *keep).where(                         # P6 + valid duration
+        (F.length(t) > 0) & (F.length(so) > 0) & (F.upper(t) != HEADER_TERMINAL) & C.duration_ok(d))
+    norm = {"terminal": t, "solicitud": so, "_dur": d}                 # P5 (non-blank here)
     if "folio_nec" in keep:
         norm["folio_nec"] = C.blank_to_null("folio_nec")
-    out = out.withColumns(norm)                                        # P5
-    out = out.where(F.col("terminal").isNotNull() & F.col("solicitud").isNotNull()
-                    & (F.upper("terminal") != HEADER_TERMINAL))         # P6
-    us = C.duration_us("tiempo_total_atencion")
-    derived = {"duracion_us": us}
     if "fecha_entrega" in keep:
-        derived["fecha_entrega"] = C.parse_date("fecha_entrega")
-    out = out.withColumns(derived).where(F.col("duracion_us").isNotNull())
-    out = out.withColumn("centesimas", C.hundredths_of_us(F.col("duracion_us")))  # P7
+        norm["_fecha"] = C.strip("fecha_entrega")
+    out = rows.withColumns(norm)
+    derived = {"duracion_us": C.duration_us("_dur")}
+    if "fecha_entrega" in keep:
+        derived["fecha_entrega"] = C.parse_date("_fecha")
     if "nombre_archivo" in out.columns:
-        out = out.withColumn("mac", C.office_of("nombre_archivo"))
-    return out
+        derived["mac"] = C.office_of("nombre_archivo")
+    out = out.withColumns(derived).drop("_dur", "_fecha")
+    return out.withColumn("centesimas", C.hundredths_of_us("duracion_us"))    # P7
 
 
 def cr_fact_rows(clean: DataFrame) -> DataFrame:
-    """CR fact projection; rows lacking date, request or terminal are dropped.
-    The end time comes from the capture end column."""
+    """CR fact projection; rows lacking date, request or terminal are dropped
+    ('nan' text counts as missing here). The end time comes from the capture end."""
     fecha = F.col("fecha_entrega") if "fecha_entrega" in clean.columns else F.lit(None).cast("date")
-    solicitud = C.clean_value("solicitud")
-    terminal = C.clean_value("terminal")
-    folio = C.clean_value("folio_nec") if "folio_nec" in clean.columns else F.lit(None).cast("string")
-    out = clean.select(
-        "archivo_id", "nombre_archivo", "mac", "row_no", fecha.alias("fecha_entrega"),
-        solicitud.alias("solicitud"), folio.alias("folio_nec"), terminal.alias("terminal"),
-        C.combine_date_time(fecha, cell(clean, "hora_inicio_atencion")).alias("hora_inicio"),
-        C.combine_date_time(fecha, cell(clean, "captura_hora_fin")).alias("hora_fin"),
-        F.col("centesimas"), C.within_norm("centesimas").alias("dentro_norma"),
-    )
-    return out.where(F.col("fecha_entrega").isNotNull() & F.col("solicitud").isNotNull()
-                     & F.col("terminal").isNotNull())
+    kept = clean.where(fecha.isNotNull() & C.has_value("solicitud") & C.has_value("terminal"))
+    staged = kept.select(
+        "archivo_id", "nombre_archivo", "mac", "row_no", fecha.alias("fecha_entrega"), "solicitud",
+        (C.clean_stripped("folio_nec") if "folio_nec" in clean.columns
+         else F.lit(None).cast("string")).alias("folio_nec"), "terminal",
+        C.strip(cell(clean, "hora_inicio_atencion")).alias("_hi"),
+        C.strip(cell(clean, "captura_hora_fin")).alias("_hf"), "centesimas")
+    timed = staged.withColumns({"_hi_us": C.duration_us("_hi"), "_hf_us": C.duration_us("_hf")})
+    return timed.select(
+        "archivo_id", "nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "folio_nec", "terminal",
+        C.combine_date_time("fecha_entrega", "_hi", "_hi_us").alias("hora_inicio"),
+        C.combine_date_time("fecha_entrega", "_hf", "_hf_us").alias("hora_fin"),
+        "centesimas", C.within_norm("centesimas").alias("dentro_norma"))

@@ -109,7 +109,7 @@ def clerk_ranking(facts: DataFrame, keys=("archivo_id",)) -> DataFrame:
         C.hundredths_to_hms(F.coalesce(mean, F.lit(0))).alias("promedio_tiempo"),
         "casos_atipicos", F.coalesce("terminales", F.lit(C.NO_DATA)).alias("terminales"),
         C.performance_label(F.col("tramites"), mean, F.col("casos_atipicos")).alias("desempeno"),
-    ).withColumn("posicion", F.row_number().over(w))
+    ).withColumn("posicion", F.row_number().over(w).cast("bigint"))
 
 
 # --- A8 / A9: CR summaries ---------------------------------------------------
