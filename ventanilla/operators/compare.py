@@ -94,11 +94,14 @@ def merge_reports(sol: DataFrame, cr: DataFrame) -> DataFrame:
     s = sol.withColumnRenamed("funcionario", "_fs")
     c = cr.withColumnRenamed("funcionario", "_fc")
     j = s.join(c, s._fs.eqNullSafe(c._fc), "full")
-    ints = {k: F.coalesce(F.col(k), F.lit(0)).cast("bigint") for k in INT_COLUMNS}
-    texts = {k: F.coalesce(F.col(k), F.lit(C.NO_DATA)) for k in TEXT_COLUMNS}
+    def have(k, default):
+        return F.col(k) if k in j.columns else F.lit(default)
+    ints = {k: F.coalesce(have(k, 0), F.lit(0)).cast("bigint") for k in INT_COLUMNS}     # absent -> 0
+    texts = {k: F.coalesce(have(k, C.NO_DATA), F.lit(C.NO_DATA)) for k in TEXT_COLUMNS}  # absent -> 'Sin datos'
     m = j.select(F.coalesce("_fs", "_fc").alias("funcionario"),
                  *[v.alias(k) for k, v in ints.items()], *[v.alias(k) for k, v in texts.items()],
-                 F.coalesce(F.col("sol_porcentaje_atipicos"), F.lit(0.0)).alias("sol_porcentaje_atipicos"))
+                 F.coalesce(have("sol_porcentaje_atipicos", 0.0), F.lit(0.0)).cast("double")
+                  .alias("sol_porcentaje_atipicos"))
     t, e = F.col("sol_tramites"), F.col("cr_cantidad")
     return (m.withColumns({
                 "tramites": t, "entregas": e,

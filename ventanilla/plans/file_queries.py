@@ -1,5 +1,56 @@
-"""Queries that write and read files (landing folder ingest, streaming)."""
+"""Queries that write and read files: batch ingest of a landing folder of
+report exports (S1-S5, S4) and the streaming ingest (T1, T2).
+
+The landing folder is generated by Spark from the stand-in report rows
+(that only builds the input files); everything after the write -- reading,
+header flattening, cleaning, dedup, gate, writing facts -- is the library's
+job. Folders live under the shared checkpoint folder of the session.
+"""
 
 from __future__ import annotations
 
-FILE_QUERIES: dict = {}
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ventanilla.operators import clean
+from ventanilla.session import scratch_path
+from ventanilla.sources import reports, standins
+from ventanilla.streaming import ingest
+
+SOL_TITLE = "REPORTE DE TIEMPOS DE ATENCION"
+
+
+def _landing(spark: SparkSession, sf: str, one_file_per_report: bool) -> str:
+    folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
+    rows = standins.sol_report_rows(spark, sf)
+    lines = reports.export_lines(rows, standins.SOL_HEADERS, reports.SOL_LAYOUT["header_row"], SOL_TITLE)
+    reports.write_exports(lines, folder, one_file_per_report)
+    return folder
+
+
+def report_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + S4 + P1 + P8 from a landing folder of SOL exports: typed rows of every report."""
+    folder = _landing(spark, sf, one_file_per_report=False)
+    cells = reports.read_cells(spark, folder, by_directory=True)
+    raw = reports.report_rows(cells, standins.SOL_HEADERS, reports.SOL_LAYOUT["header_row"],
+                              reports.SOL_LAYOUT["strip_header"])
+    rows = clean.sol_rows(clean.clean_sol_report(raw))
+    return rows.select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
+                       "terminal", "centesimas")
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 + T2: stream the landing folder to completion; the stored facts."""
+    folder = _landing(spark, sf, one_file_per_report=True)
+    out = scratch_path(spark, f"stream-out-{uuid.uuid4().hex[:12]}")
+    q = ingest.start_sol_ingest(spark, os.path.join(folder, "*", "*.txt"), out, os.path.join(out, "_checkpoint"))
+    q.awaitTermination()
+    facts = spark.read.parquet(os.path.join(out, "facts"))
+    return facts.select("nombre_archivo", "mac", "row_no", "fecha", "folio", "funcionario", "terminal",
+                        "centesimas", F.col("batch_id"))
+
+
+FILE_QUERIES = {"report_file_ingest": report_file_ingest, "stream_ingest": stream_ingest}
