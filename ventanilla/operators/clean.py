@@ -153,15 +153,26 @@ def cr_fact_rows(clean: DataFrame) -> DataFrame:
     ('nan' text counts as missing here). The end time comes from the capture end."""
     fecha = F.col("fecha_entrega") if "fecha_entrega" in clean.columns else F.lit(None).cast("date")
     kept = clean.where(fecha.isNotNull() & C.has_value("solicitud") & C.has_value("terminal"))
-    staged = kept.select(
+    return cr_fact_projection(kept).drop("_p9")
+
+
+def cr_fact_projection(clean: DataFrame) -> DataFrame:
+    """P9 projection of every cleaned CR row, with ``_p9`` telling whether the
+    row is stored (date, request and terminal present). Used where the roll-up
+    needs all cleaned rows and the store only the valid ones."""
+    fecha = F.col("fecha_entrega") if "fecha_entrega" in clean.columns else F.lit(None).cast("date")
+    staged = clean.select(
         "archivo_id", "nombre_archivo", "mac", "row_no", fecha.alias("fecha_entrega"), "solicitud",
         (C.clean_stripped("folio_nec") if "folio_nec" in clean.columns
          else F.lit(None).cast("string")).alias("folio_nec"), "terminal",
         C.strip(cell(clean, "hora_inicio_atencion")).alias("_hi"),
-        C.strip(cell(clean, "captura_hora_fin")).alias("_hf"), "centesimas")
+        C.strip(cell(clean, "captura_hora_fin")).alias("_hf"), "centesimas",
+        (fecha.isNotNull() & C.has_value("solicitud") & C.has_value("terminal")).alias("_p9"))
     timed = staged.withColumns({"_hi_us": C.duration_us("_hi"), "_hf_us": C.duration_us("_hf")})
     return timed.select(
-        "archivo_id", "nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "folio_nec", "terminal",
+        "archivo_id", "nombre_archivo", "mac", "row_no", "fecha_entrega",
+        F.when(C.has_value("solicitud"), F.col("solicitud")).alias("solicitud"), "folio_nec",
+        F.when(C.has_value("terminal"), F.col("terminal")).alias("terminal"),
         C.combine_date_time("fecha_entrega", "_hi", "_hi_us").alias("hora_inicio"),
         C.combine_date_time("fecha_entrega", "_hf", "_hf_us").alias("hora_fin"),
-        "centesimas", C.within_norm("centesimas").alias("dentro_norma"))
+        "centesimas", C.within_norm("centesimas").alias("dentro_norma"), "_p9")

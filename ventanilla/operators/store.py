@@ -81,6 +81,43 @@ def file_rollup(rows: DataFrame, date_col: str) -> DataFrame:
                              .otherwise(F.lit(PERIOD_DAILY))))
 
 
+def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Column | None = None,
+                  clerk_ok: Column | None = None, order_col: str = "row_no") -> DataFrame:
+    """One aggregation per dedup key (file first): the first valid row in file
+    order (D1/D2) plus the key's share of the per-file roll-up over *all*
+    cleaned rows (A15 dates, row counts, Q3 clerk rows). Partial aggregation,
+    so a hot key is reduced map-side."""
+    cols = rows.columns
+    names = [f"_k{i}" for i in range(len(keys))]
+    v = valid if valid is not None else F.lit(True)
+    c = clerk_ok if clerk_ok is not None else F.lit(True)
+    return (rows.select(*[k.alias(n) for k, n in zip(keys, names)], *cols, v.alias("_valid"), c.alias("_clerk"))
+                .groupBy(*names)
+                .agg(F.min_by(F.struct(*cols), F.when(F.col("_valid"), F.col(order_col))).alias("_first"),
+                     F.min(date_col).alias("_dmin"), F.max(date_col).alias("_dmax"),
+                     F.count(F.lit(1)).alias("_n"), F.count_if("_clerk").alias("_nc")))
+
+
+def kept_rows(by_key: DataFrame) -> DataFrame:
+    return by_key.where(F.col("_first").isNotNull()).select("_first.*")
+
+
+def file_stats(by_key: DataFrame, required: list[str]) -> DataFrame:
+    """Per file: A15 roll-up (over all cleaned rows), D3 gate (over kept rows), Q3 counts."""
+    viol = reduce(lambda a, b: a | b, [F.col("_first").getField(c).isNull() for c in required])
+    kept = F.col("_first").isNotNull()
+    return (by_key.groupBy(F.col("_k0").alias(FILE))
+                  .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
+                       F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
+                       F.count_if(kept).alias("filas_conservadas"),
+                       F.count_if(kept & viol).alias("violaciones"),
+                       F.min(F.when(kept & viol, F.lit(required[0]))).alias("columna_violada"))
+                  .withColumn("aceptado", F.col("violaciones") == 0)
+                  .withColumn("fecha_operativa", F.col("fecha_fin"))
+                  .withColumn("tipo_periodo", F.when(F.col("fecha_inicio") != F.col("fecha_fin"), F.lit(PERIOD_WEEKLY))
+                              .otherwise(F.lit(PERIOD_DAILY))))
+
+
 def new_rows_only(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a batch whose (null-tolerant) key is not stored yet."""
     def keyed(df):
@@ -90,6 +127,15 @@ def new_rows_only(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
     return keyed(batch).join(s, jk, "left_anti").drop(*jk)
 
 
+def sol_keys() -> list[Column]:
+    return [F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in SOL_DEDUP_KEYS]
+
+
+def cr_keys() -> list[Column]:
+    return ([F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in CR_DEDUP_KEYS]
+            + [F.col("fecha_entrega")])
+
+
 def sol_facts(rows: DataFrame) -> DataFrame:
     """Stored SOL facts: D1 dedup, then the D3 gate on the required date."""
     kept = dedup_sol(rows)
@@ -102,14 +148,14 @@ def cr_facts(fact_rows: DataFrame) -> DataFrame:
     return accepted_rows(kept, file_gate(kept, ["fecha_entrega"]))
 
 
-def ledger_events(raw_files: DataFrame, rollup: DataFrame, gate: DataFrame, tipo: str,
-                  clerk_counts: DataFrame | None = None) -> DataFrame:
-    """Append-only status events per file: PENDIENTE (seq 0), then the
-    final PROCESADO / ERROR (seq 1) with dates, period and row count.
+def ledger_events(raw_files: DataFrame, stats: DataFrame, tipo: str, check_clerks: bool = False) -> DataFrame:
+    """Append-only status events per received file: PENDIENTE (seq 0), then
+    the final PROCESADO / ERROR (seq 1) with dates, period and row count.
 
-    ``raw_files``: one row per received file (id, name, office);
-    ``rollup``: A15 over cleaned rows; ``gate``: D3 over kept rows;
-    ``clerk_counts``: per file rows with a usable clerk (SOL only, Q3)."""
+    ``raw_files``: one row per received file (id, name, office); ``stats``:
+    per-file roll-up + gate (``file_stats``). Q3 reasons: nothing left after
+    cleaning, a NOT NULL violation (the whole file is rejected), and for SOL
+    no clerk rows for the ranking (rows stay stored, status is ERROR)."""
     base = raw_files.select(FILE, "nombre_archivo", "mac")
     pending = base.select(
         F.col(FILE).alias("id"), "nombre_archivo", "mac", F.lit(tipo).alias("tipo"),
@@ -118,16 +164,10 @@ def ledger_events(raw_files: DataFrame, rollup: DataFrame, gate: DataFrame, tipo
         F.lit(None).cast("date").alias("fecha_operativa"), F.lit(None).cast("date").alias("fecha_inicio"),
         F.lit(None).cast("date").alias("fecha_fin"), F.lit(None).cast("string").alias("tipo_periodo"),
         F.lit(0).cast("bigint").alias("registros_insertados"))
-    r = rollup.select(FILE, "filas_limpias", "fecha_inicio", "fecha_fin", "fecha_operativa", "tipo_periodo")
-    g = gate.select(FILE, "filas_conservadas", "violaciones", "columna_violada", "aceptado")
-    j = base.join(r, FILE, "left").join(g, FILE, "left")
-    if clerk_counts is not None:
-        j = j.join(clerk_counts.select(FILE, "filas_funcionario"), FILE, "left")
-    else:
-        j = j.withColumn("filas_funcionario", F.lit(1).cast("bigint"))
+    j = base.join(stats, FILE, "left")
     empty = F.coalesce(F.col("filas_limpias"), F.lit(0)) == 0
     rejected = F.coalesce(F.col("violaciones"), F.lit(0)) > 0
-    no_rank = F.coalesce(F.col("filas_funcionario"), F.lit(0)) == 0
+    no_rank = (F.coalesce(F.col("filas_funcionario"), F.lit(0)) == 0) if check_clerks else F.lit(False)
     msg = (F.when(empty, F.lit(MSG_EMPTY_AFTER_CLEAN))
             .when(rejected, F.format_string(MSG_NOT_NULL.replace("{col}", "%s"), F.col("columna_violada")))
             .when(no_rank, F.lit(MSG_NO_RANKING)))

@@ -420,11 +420,11 @@ FROM g"""
     q["sol_dedup"] = w(SOL) + "\nSELECT archivo_id, row_no, folio, funcionario, terminal, fecha FROM sol_kept"
     q["cr_dedup"] = w(CR) + "\nSELECT archivo_id, row_no, solicitud, terminal, fecha_entrega FROM cr_kept"
     q["file_rollup"] = w(SOL, CR) + """
-SELECT archivo_id, any_value(mac) AS mac, count(*) AS filas_limpias, min(fecha) AS fecha_inicio, max(fecha) AS fecha_fin,
+SELECT archivo_id, count(*) AS filas_limpias, min(fecha) AS fecha_inicio, max(fecha) AS fecha_fin,
        max(fecha) AS fecha_operativa, CASE WHEN min(fecha) <> max(fecha) THEN 'SEMANAL' ELSE 'DIARIO' END AS tipo_periodo,
        'TIEMPOS_SOL' AS tipo FROM sol_rows GROUP BY archivo_id
 UNION ALL
-SELECT archivo_id, any_value(mac), count(*), min(fecha_entrega), max(fecha_entrega), max(fecha_entrega),
+SELECT archivo_id, count(*), min(fecha_entrega), max(fecha_entrega), max(fecha_entrega),
        CASE WHEN min(fecha_entrega) <> max(fecha_entrega) THEN 'SEMANAL' ELSE 'DIARIO' END, 'TIEMPOS_CR'
 FROM cr_clean GROUP BY archivo_id"""
     q["file_gate"] = w(SOL) + """

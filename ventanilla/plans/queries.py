@@ -130,14 +130,15 @@ def cr_dedup(spark, sf):
 
 def file_rollup(spark, sf):
     """Per received file the dates and period over all cleaned rows."""
-    sol = store.file_rollup(V.sol_rows(spark, sf), "fecha").withColumn("tipo", F.lit("TIEMPOS_SOL"))
-    cr = store.file_rollup(V.cr_clean(spark, sf), "fecha_entrega").withColumn("tipo", F.lit("TIEMPOS_CR"))
-    return sol.unionByName(cr).drop("nombre_archivo")
+    cols = ["archivo_id", "filas_limpias", "fecha_inicio", "fecha_fin", "fecha_operativa", "tipo_periodo"]
+    sol = V.sol_stats(spark, sf).select(*cols, F.lit("TIEMPOS_SOL").alias("tipo"))
+    cr = V.cr_stats(spark, sf).select(*cols, F.lit("TIEMPOS_CR").alias("tipo"))
+    return sol.unionByName(cr)
 
 
 def file_gate(spark, sf):
     """D3: the all-or-nothing gate of every SOL file."""
-    return store.file_gate(V.sol_kept(spark, sf), ["fecha"]).drop("columna_violada")
+    return V.sol_stats(spark, sf).select("archivo_id", "filas_conservadas", "violaciones", "aceptado")
 
 
 def ledger_latest(spark, sf):

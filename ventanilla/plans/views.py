@@ -27,12 +27,25 @@ def sol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.sol_rows(sol_clean(spark, sf_dir))
 
 
+def sol_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 + A15 + Q3 in one aggregation per dedup key."""
+    rows = sol_rows(spark, sf_dir)
+    t = F.col("funcionario_txt")
+    clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
+    return store.ingest_by_key(rows, store.sol_keys(), "fecha", clerk_ok=clerk_ok)
+
+
 def sol_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.dedup_sol(sol_rows(spark, sf_dir))
+    return store.kept_rows(sol_by_key(spark, sf_dir))
+
+
+def sol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.file_stats(sol_by_key(spark, sf_dir), ["fecha"])
 
 
 def sol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.sol_facts(sol_rows(spark, sf_dir))
+    """Stored SOL facts: kept rows of files the gate accepts."""
+    return store.accepted_rows(sol_kept(spark, sf_dir), sol_stats(spark, sf_dir))
 
 
 def cr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +60,22 @@ def cr_fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.cr_fact_rows(cr_clean(spark, sf_dir))
 
 
+def cr_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 (over rows P9 keeps) + A15 (over all cleaned rows) in one aggregation."""
+    proj = clean.cr_fact_projection(cr_clean(spark, sf_dir))
+    return store.ingest_by_key(proj, store.cr_keys(), "fecha_entrega", valid=F.col("_p9"))
+
+
 def cr_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.dedup_cr(cr_fact_rows(spark, sf_dir))
+    return store.kept_rows(cr_by_key(spark, sf_dir)).drop("_p9")
+
+
+def cr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.file_stats(cr_by_key(spark, sf_dir), ["fecha_entrega"])
 
 
 def cr_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.cr_facts(cr_fact_rows(spark, sf_dir))
+    return store.accepted_rows(cr_kept(spark, sf_dir), cr_stats(spark, sf_dir))
 
 
 def _received_files(report: DataFrame) -> DataFrame:
@@ -61,18 +84,12 @@ def _received_files(report: DataFrame) -> DataFrame:
 
 
 def sol_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sol_rows(spark, sf_dir)
-    kept = store.dedup_sol(rows)
-    clerks = clean.clerk_rows(rows).groupBy("archivo_id").agg(F.count(F.lit(1)).alias("filas_funcionario"))
-    return store.ledger_events(_received_files(sol_report(spark, sf_dir)), store.file_rollup(rows, "fecha"),
-                               store.file_gate(kept, ["fecha"]), "TIEMPOS_SOL", clerks)
+    return store.ledger_events(_received_files(sol_report(spark, sf_dir)), sol_stats(spark, sf_dir),
+                               "TIEMPOS_SOL", check_clerks=True)
 
 
 def cr_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = cr_clean(spark, sf_dir)
-    kept = store.dedup_cr(clean.cr_fact_rows(cleaned))
-    return store.ledger_events(_received_files(cr_report(spark, sf_dir)), store.file_rollup(cleaned, "fecha_entrega"),
-                               store.file_gate(kept, ["fecha_entrega"]), "TIEMPOS_CR")
+    return store.ledger_events(_received_files(cr_report(spark, sf_dir)), cr_stats(spark, sf_dir), "TIEMPOS_CR")
 
 
 def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,14 @@ def sol_batch_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = reports.report_rows(cells, SOL_HEADERS, reports.SOL_LAYOUT["header_row"],
                               reports.SOL_LAYOUT["strip_header"])
     rows = clean.sol_rows(clean.clean_sol_report(raw))
-    kept = store.dedup_sol(rows)
-    gate = store.file_gate(kept, ["fecha"])
-    facts = store.accepted_rows(kept, gate)
+    t = F.col("funcionario_txt")
+    clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
+    by_key = store.ingest_by_key(rows, store.sol_keys(), "fecha", clerk_ok=clerk_ok)
+    stats = store.file_stats(by_key, ["fecha"])
+    facts = store.accepted_rows(store.kept_rows(by_key), stats)
     received = (raw.groupBy("archivo_id", "nombre_archivo").agg(F.count(F.lit(1)).alias("n"))
                    .withColumn("mac", office_of("nombre_archivo")))
-    clerks = clean.clerk_rows(rows).groupBy("archivo_id").agg(F.count(F.lit(1)).alias("filas_funcionario"))
-    ledger = store.ledger_events(received, store.file_rollup(rows, "fecha"), gate, "TIEMPOS_SOL", clerks)
+    ledger = store.ledger_events(received, stats, "TIEMPOS_SOL", check_clerks=True)
     return facts, ledger
 
 
