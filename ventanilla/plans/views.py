@@ -44,8 +44,9 @@ def sol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored SOL facts: kept rows of files the gate accepts."""
-    return store.accepted_rows(sol_kept(spark, sf_dir), sol_stats(spark, sf_dir))
+    """Stored SOL facts: kept rows of files the gate accepts (both from one by-key plan)."""
+    by_key = sol_by_key(spark, sf_dir)
+    return store.accepted_rows(store.kept_rows(by_key), store.file_stats(by_key, ["fecha"]))
 
 
 def cr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,8 @@ def cr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cr_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.accepted_rows(cr_kept(spark, sf_dir), cr_stats(spark, sf_dir))
+    by_key = cr_by_key(spark, sf_dir)
+    return store.accepted_rows(store.kept_rows(by_key).drop("_p9"), store.file_stats(by_key, ["fecha_entrega"]))
 
 
 def _received_files(report: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> No
 
 
 def start_sol_ingest(spark: SparkSession, landing_glob: str, out_dir: str, checkpoint: str,
-                     files_per_batch: int = 8, available_now: bool = True):
+                     files_per_batch: int = 16, available_now: bool = True):
     """Stream the export files matching ``landing_glob`` into
     ``out_dir/facts`` (by batch and office) and ``out_dir/ledger``."""
     lines = (spark.readStream.option("maxFilesPerTrigger", files_per_batch)
