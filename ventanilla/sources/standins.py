@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventanilla.functions.columns import idiv
-from ventanilla.sources.tables import table
+from ventanilla.sources.tables import spread, table
 
 SOL_HEADERS = ["TERMINAL", "SOLICITUD", "FECHA DE TRAMITE", "TIPO DE TRAMITE",
                "NOMBRE FUNCIONARIO", "DOMICILIO VISIBLE", "HORA INICIO ATENCIÓN",
@@ -45,7 +45,7 @@ def _hms_text(secs):
 def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of SOL report files as the sheet reader yields them: text cells
     under the flattened header names, plus file name, file id and row number."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     day = F.dayofmonth("ts")
     file_id = (F.lit(2) * F.when(day <= 20, day).otherwise(F.lit(100) + idiv(day, F.lit(7)))
                + F.col("user_id") % 2).cast("bigint")
@@ -86,7 +86,7 @@ def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cr_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of CR report files (text cells under the flattened headers)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     file_id = (F.lit(1000) + F.col("l_suppkey") % 40).cast("bigint")
     office = F.when(F.col("l_suppkey") % 2 == 0, F.lit("090852")).otherwise(F.lit("090853"))
     secs = (F.col("l_quantity") * 30).cast("bigint")
