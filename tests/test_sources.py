@@ -43,3 +43,36 @@ def test_list_reports_prunes_content(spark, tmp_path):
         (tmp_path / n).write_text("x")
     got = sorted((r.archivo, r.mac, r.tipo) for r in reports.list_reports(spark, str(tmp_path)).collect())
     assert got == [("Rep_TiemAten_SOL_090852_a.xls", "090852", "TIEMPOS_SOL"), ("x_cr_090853.xlsx", "090853", "TIEMPOS_CR")]
+
+
+def test_s9_export_then_s7_read_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from ventanilla.operators import compare, export, metrics
+    from ventanilla.plans import views as V
+    rows = V.sol_rows(spark, SF_SMALL)
+    out = export.export_rows(metrics.clerk_metrics(rows), metrics.global_threshold(rows))
+    out = out.withColumn("tipo", F.lit("tiempos_sol")).withColumn("reporte", export.report_name(F.lit("Rep_SOL_1.xls")))
+    target = str(tmp_path / "output")
+    export.write_reports(out.drop("archivo_id"), target)
+    back = reports.read_csv_report(spark, os.path.join(target, "tipo=tiempos_sol", "reporte=Rep_SOL_1_reporte_funcionarios"))
+    assert back.count() == out.count()
+    view = compare.sol_report_view(back)
+    assert "sol_tramites" in view.columns and view.where("sol_tramites < 0").count() == 0
+
+
+def test_s7_bom_and_repeated_header(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_bytes("﻿Funcionario , Entregas,entregas\nA,1,2\n".encode("utf-8"))
+    df = reports.read_csv_report(spark, str(p))
+    assert df.columns[0] == "funcionario"
+    view = __import__("ventanilla.operators.compare", fromlist=["x"]).cr_report_view(df)
+    assert [tuple(r) for r in view.select("funcionario", "cr_cantidad").collect()] == [("A", 1.0)]
+
+
+def test_s6_latest_file(spark, tmp_path):
+    for i, n in enumerate(["a_SOL_.xls", "b_SOL_.xls"]):
+        f = tmp_path / n
+        f.write_text("x")
+        os.utime(f, (1_000_000 + i * 100, 1_000_000 + i * 100))
+    files = reports.list_reports(spark, str(tmp_path))
+    assert reports.latest_file(files).collect()[0]["path"].endswith("b_SOL_.xls")

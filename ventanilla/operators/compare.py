@@ -32,14 +32,20 @@ TEXT_COLUMNS = SOL_TEXT + ["cr_promedio", "cr_minimo", "cr_maximo"]
 
 
 def normalize_header(df: DataFrame) -> DataFrame:
-    """D5 + S7 header rule: keep the first of repeated names, then strip + lower-case."""
-    seen, idx = set(), []
+    """D5 + S7 header rule: drop repeated names (first occurrence wins), then
+    strip + lower-case; a name repeated only after normalising also keeps its
+    first occurrence (the reference leaves such columns ambiguous)."""
+    tmp = [f"_c{i}" for i in range(len(df.columns))]
+    d = df.toDF(*tmp)
+    seen, out = set(), {}
     for i, c in enumerate(df.columns):
-        if c not in seen:
-            seen.add(c)
-            idx.append(i)
-    kept = df.select(*[df[df.columns[i]] for i in idx]) if len(idx) < len(df.columns) else df
-    return kept.toDF(*[c.strip().lower() for c in kept.columns])
+        if c in seen:
+            continue
+        seen.add(c)
+        n = c.strip().lower()
+        if n not in out:
+            out[n] = tmp[i]
+    return d.select(*[F.col(t).alias(n) for n, t in out.items()])
 
 
 def to_number(c) -> Column:
