@@ -109,3 +109,16 @@ def test_ranking_row_without_times(spark):
                                "archivo_id bigint, funcionario string, terminal string, centesimas bigint")
     r = dashboard.clerk_ranking(df)
     assert rows(r, "promedio_tiempo", "desempeno", "terminales") == [("00:00:00", "Alto", "Sin terminal")]
+
+
+def test_unknown_office_rejects_file(spark):
+    df = sol_report(spark, [
+        {"archivo_id": 1, "nombre_archivo": "Rep_TiemAten_SOL_1.xls", "SOLICITUD": "A", "TERMINAL": "T",
+         "FECHA DE TRAMITE": "03/03/2026"},
+        {"archivo_id": 2, "SOLICITUD": "A", "TERMINAL": "T", "FECHA DE TRAMITE": "03/03/2026"}])
+    r = clean.sol_rows(clean.clean_sol_report(df))
+    by_key = store.ingest_by_key(r, store.sol_keys(), "fecha")
+    stats = store.file_stats(by_key, ["fecha"])
+    assert sorted(rows(stats, "archivo_id", "aceptado")) == [(1, False), (2, True)]
+    facts = store.accepted_rows(store.kept_rows(by_key), stats)
+    assert rows(facts, "archivo_id") == [(2,)]

@@ -22,9 +22,13 @@ SOL_DEDUP_KEYS = ["folio", "funcionario", "terminal"]          # plus the file;
 CR_DEDUP_KEYS = ["solicitud", "terminal"]                      # plus file and date
 # Texts written to the ledger (fixed values of the status life-cycle).
 PENDING, PROCESSED, FAILED = "PENDIENTE", "PROCESADO", "ERROR"
-MSG_EMPTY_AFTER_CLEAN = "El archivo quedó sin registros después de la limpieza"
+MSG_EMPTY_AFTER_CLEAN = {"TIEMPOS_SOL": "El archivo quedó sin registros después de la limpieza",
+                         "TIEMPOS_CR": "El archivo CR quedó sin registros después de la limpieza"}
 MSG_NOT_NULL = 'null value in column "{col}" violates not-null constraint'
 MSG_NO_RANKING = "No se generó ranking por funcionario"
+MSG_CHECK = 'new row violates check constraint on column "{col}"'
+# Offices the fact tables accept (CHECK constraint); other rows reject their file.
+ALLOWED_OFFICES = ["090852", "090853"]
 PERIOD_DAILY, PERIOD_WEEKLY = "DIARIO", "SEMANAL"
 
 
@@ -102,16 +106,22 @@ def kept_rows(by_key: DataFrame) -> DataFrame:
     return by_key.where(F.col("_first").isNotNull()).select("_first.*")
 
 
-def file_stats(by_key: DataFrame, required: list[str]) -> DataFrame:
-    """Per file: A15 roll-up (over all cleaned rows), D3 gate (over kept rows), Q3 counts."""
-    viol = reduce(lambda a, b: a | b, [F.col("_first").getField(c).isNull() for c in required])
-    kept = F.col("_first").isNotNull()
+def file_stats(by_key: DataFrame, required: list[str], office_col: str | None = "mac") -> DataFrame:
+    """Per file: A15 roll-up (over all cleaned rows), D3 gate (over kept rows:
+    a NULL in a required column or an office outside the allowed set rejects
+    the whole file, as one transaction), Q3 counts."""
+    first = F.col("_first")
+    null_viol = reduce(lambda a, b: a | b, [first.getField(c).isNull() for c in required])
+    office_viol = (~first.getField(office_col).isin(ALLOWED_OFFICES)) if office_col else F.lit(False)
+    kept = first.isNotNull()
+    reason = (F.when(kept & null_viol, F.format_string(MSG_NOT_NULL.replace("{col}", "%s"), F.lit(required[0])))
+               .when(kept & office_viol, F.lit(MSG_CHECK.replace("{col}", office_col or ""))))
     return (by_key.groupBy(F.col("_k0").alias(FILE))
                   .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
                        F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
                        F.count_if(kept).alias("filas_conservadas"),
-                       F.count_if(kept & viol).alias("violaciones"),
-                       F.min(F.when(kept & viol, F.lit(required[0]))).alias("columna_violada"))
+                       F.count_if(reason.isNotNull()).alias("violaciones"),
+                       F.min(reason).alias("motivo_rechazo"))
                   .withColumn("aceptado", F.col("violaciones") == 0)
                   .withColumn("fecha_operativa", F.col("fecha_fin"))
                   .withColumn("tipo_periodo", F.when(F.col("fecha_inicio") != F.col("fecha_fin"), F.lit(PERIOD_WEEKLY))
@@ -168,8 +178,8 @@ def ledger_events(raw_files: DataFrame, stats: DataFrame, tipo: str, check_clerk
     empty = F.coalesce(F.col("filas_limpias"), F.lit(0)) == 0
     rejected = F.coalesce(F.col("violaciones"), F.lit(0)) > 0
     no_rank = (F.coalesce(F.col("filas_funcionario"), F.lit(0)) == 0) if check_clerks else F.lit(False)
-    msg = (F.when(empty, F.lit(MSG_EMPTY_AFTER_CLEAN))
-            .when(rejected, F.format_string(MSG_NOT_NULL.replace("{col}", "%s"), F.col("columna_violada")))
+    msg = (F.when(empty, F.lit(MSG_EMPTY_AFTER_CLEAN.get(tipo, MSG_EMPTY_AFTER_CLEAN["TIEMPOS_SOL"])))
+            .when(rejected, F.col("motivo_rechazo"))
             .when(no_rank, F.lit(MSG_NO_RANKING)))
     ok = msg.isNull()
     # On ERROR only status and message change: the row count keeps its default 0

@@ -196,7 +196,7 @@ cr_roll AS (SELECT archivo_id, count(*) AS filas_limpias, min(fecha_entrega) AS
 cr_gate AS (SELECT archivo_id, count(*) AS conservadas, count(*) FILTER (WHERE fecha_entrega IS NULL) AS viol FROM cr_kept GROUP BY archivo_id),
 cr_state AS (
   SELECT f.archivo_id AS id, f.nombre_archivo, f.mac, 'TIEMPOS_CR' AS tipo,
-         CASE WHEN coalesce(r.filas_limpias, 0) = 0 THEN 'El archivo quedó sin registros después de la limpieza'
+         CASE WHEN coalesce(r.filas_limpias, 0) = 0 THEN 'El archivo CR quedó sin registros después de la limpieza'
               WHEN coalesce(g.viol, 0) > 0 THEN 'null value in column "fecha_entrega" violates not-null constraint' END AS mensaje_error,
          r.fi, r.ff, g.conservadas
   FROM cr_files f LEFT JOIN cr_roll r USING (archivo_id) LEFT JOIN cr_gate g USING (archivo_id)),
