@@ -103,7 +103,13 @@ def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Col
 
 
 def kept_rows(by_key: DataFrame) -> DataFrame:
-    return by_key.where(F.col("_first").isNotNull()).select("_first.*")
+    """The kept row of every key. The filter also reads the roll-up columns
+    (it is true for every group: each has at least one row); that keeps this
+    branch on exactly the same aggregation as ``file_stats``, so Spark runs
+    the by-key shuffle once and reuses it for both branches."""
+    same_plan = (F.col("_n") > 0) & (F.coalesce(F.col("_nc"), F.lit(0)) >= 0) & \
+        (F.col("_dmin").isNull() | (F.col("_dmin") <= F.col("_dmax")))
+    return by_key.where(F.col("_first").isNotNull() & same_plan).select("_first.*")
 
 
 def file_stats(by_key: DataFrame, required: list[str], office_col: str | None = "mac") -> DataFrame:
