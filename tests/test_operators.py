@@ -122,3 +122,25 @@ def test_unknown_office_rejects_file(spark):
     assert sorted(rows(stats, "archivo_id", "aceptado")) == [(1, False), (2, True)]
     facts = store.accepted_rows(store.kept_rows(by_key), stats)
     assert rows(facts, "archivo_id") == [(2,)]
+
+
+def test_p13_scope_fails_closed(spark):
+    users = spark.createDataFrame([(1, "admin", 1, None), (2, "a", 3, "090852"), (3, "b", 3, None)],
+                                  "id bigint, username string, role_id bigint, mac_asignado string")
+    facts = spark.createDataFrame([("090852",), ("090852",), ("090853",)], "mac string")
+    got = sorted(rows(dashboard.scoped_counts(users, facts), "id", "alcance", "filas_visibles"))
+    assert got == [(1, "*", 3), (2, "090852", 2), (3, None, 0)]
+
+
+def test_p11_optional_predicates(spark):
+    cat = spark.createDataFrame([
+        (1, "a", "090852", "TIEMPOS_SOL", "PROCESADO", True, dt.date(2026, 3, 2), None, "DIARIO"),
+        (2, "b", "090853", "TIEMPOS_SOL", "PROCESADO", True, dt.date(2026, 3, 3), None, "DIARIO"),
+        (3, "c", "090853", "TIEMPOS_SOL", "ERROR", True, dt.date(2026, 3, 4), None, "DIARIO"),
+        (4, "d", "090853", "TIEMPOS_SOL", "PROCESADO", False, dt.date(2026, 3, 5), None, "DIARIO")],
+        "id bigint, nombre_archivo string, mac string, tipo string, estatus string, activo boolean, "
+        "fecha_operativa date, fecha_carga timestamp_ntz, tipo_periodo string")
+    assert rows(dashboard.latest_file(cat, "TIEMPOS_SOL"), "id") == [(2,)]
+    assert rows(dashboard.latest_file(cat, "TIEMPOS_SOL", mac="090852"), "id") == [(1,)]
+    assert rows(dashboard.latest_file(cat, "TIEMPOS_SOL", fecha="2026-03-02"), "id") == [(1,)]
+    assert dashboard.latest_file(cat, "TIEMPOS_CR").count() == 0
