@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, packing, pii, url_filter
+from ventanilla.llm import line_dedup, ngram_join, packing, pii, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -16,6 +16,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``documents`` on five-word shingles, Jaccard 0.75."""
+    return ngram_join.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of every whole text of ``documents``."""
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
@@ -34,12 +39,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.NGRAM_SQL,
     "op4_line_dedup": line_dedup.LINE_SQL,
     "op6_url_filter": url_filter.URL_SQL,
 }
