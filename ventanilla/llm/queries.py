@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, packing, pii, url_filter
+from ventanilla.llm import line_dedup, ngram_join, packing, pii, topk_search, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -37,16 +37,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors by integer inner product for each 50th id of ``embeddings``."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.NGRAM_SQL,
     "op4_line_dedup": line_dedup.LINE_SQL,
     "op6_url_filter": url_filter.URL_SQL,
+    "op10_topk": topk_search.TOP_SQL,
 }
