@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, packing, pii, topk_search, url_filter
+from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, topk_search, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -21,6 +21,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of ``embeddings`` within their labels, cosine 0.98."""
+    return nn_descent.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of every whole text of ``documents``."""
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
+    "op3_near_vectors": op3_near_vectors,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.NGRAM_SQL,
+    "op3_near_vectors": nn_descent.COSINE_SQL,
     "op4_line_dedup": line_dedup.LINE_SQL,
     "op6_url_filter": url_filter.URL_SQL,
     "op10_topk": topk_search.TOP_SQL,
