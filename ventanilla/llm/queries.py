@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, topk_search, url_filter
+from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, suffix_dedup, topk_search, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -42,6 +42,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in strings of 400 bytes that start twice, removed."""
+    return suffix_dedup.suffix_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors by integer inner product for each 50th id of ``embeddings``."""
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_topk": op10_topk,
 }
 
