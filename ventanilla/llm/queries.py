@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, suffix_dedup, topk_search, url_filter
+from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, suffix_dedup, topk_search, toxicity, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -47,6 +47,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``, learned from ``labels``."""
+    return toxicity.toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors by integer inner product for each 50th id of ``embeddings``."""
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
