@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, suffix_dedup, topk_search, toxicity, url_filter
+from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, suffix_dedup, topk_search, toxicity, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -42,6 +42,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded to pieces and decoded again."""
+    return sentencepiece_fst.sentencepiece_report(read_table(spark, sf_dir, "documents"),
+                                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of ``documents`` in strings of 400 bytes that start twice, removed."""
     return suffix_dedup.suffix_dedup_report(read_table(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
