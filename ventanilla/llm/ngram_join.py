@@ -26,11 +26,13 @@ WORDS, PERCENT = 5, 75
 #: copies in that sample from which an n-gram counts as frequent. They steer the order only.
 SAMPLE_DOCS, FREQUENT = 20_000, 20
 #: n-grams a fragment should hold; n-grams a task gathers before it deals them out.
-PER_FRAGMENT, CHUNK = 2_000_000, 1_000_000
-#: Ranges of the global order (besides its frequency classes) in which pairs are counted.
-RANGES = 4
-#: Rounds that compare with one member of a bucket before the rest is compared in full.
-PIVOT_ROUNDS = 6
+PER_FRAGMENT, CHUNK = 2_000_000, 400_000
+#: Frequency classes of the global order (the last: frequent in the sample); hash ranges of a class.
+CLASSES, RANGES = 24, 2
+#: Members of a bucket that the others are compared with, round by round, before the rest is compared in full.
+PIVOTS = (1, 8)
+#: n-grams in a block of that full comparison; cells of a task's partial overlap matrices.
+BLOCK_NGRAMS, CELLS = 300_000, 8_000_000
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -39,7 +41,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, computed once per distinct word of a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -189,7 +191,7 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
             return None
         order = np.lexsort((h, s))
         h, s = h[order] | np.int64(part) << 40, s[order]
-        rank = np.log2(held[order]).astype("u1")
+        rank = np.minimum(np.log2(held[order]), CLASSES - 2).astype("u1")
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         cut = np.append(first, len(s))
         toks, ranks = h.tobytes(), rank.tobytes()
@@ -225,40 +227,46 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
 
 
 def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """Per remaining set: one row per fragment of the global order, and one (``v`` null) with its prefix.
+    """Per remaining set: one row per fragment of the global order, and one (``v`` null) for the set.
+
+    The latter has all its n-grams in order, ``prefix`` of which are its
+    prefix, and ``sizes``, the n-grams of each frequency class.
 
     The order is by frequency class, then hash; n-grams only this set holds
     come first and frequent ones last. A set that reaches the threshold with
     another shares one of its first ``n - ceil(n * percent / 100) + 1``.
     """
 
-    def one(sig: int, got: list) -> tuple[list, list, list, list]:
+    def one(sig: int, got: list) -> tuple[list, ...]:
         n, often = next((n, o) for n, o, t, _ in got if t is None)
         toks = np.concatenate([np.frombuffer(t, "<i8") for _, _, t, _ in got if t is not None] or [np.empty(0, np.int64)])
         rank = np.concatenate([np.frombuffer(r, "u1") for _, _, t, r in got if t is not None] or [np.empty(0, "u1")])
         listed = np.frombuffer(often, "<u4").astype(np.int64)
         toks = np.concatenate((toks, -1 - listed))
-        rank = np.concatenate((rank, np.full(len(listed), 63, "u1"))).astype(np.int64)
+        rank = np.concatenate((rank, np.full(len(listed), CLASSES - 1, "u1"))).astype(np.int64)
         order = np.lexsort((toks, rank))
         toks, rank = toks[order], rank[order]
         prefix = n - -(-n * percent // 100) + 1 - (n - len(toks))
         v = rank * RANGES + np.where(toks < 0, 0, (toks >> 40) * RANGES // fragments)
-        vs, lists = [None], [toks[:prefix]]
+        vs, lists, sizes, heads = [None], [toks], [np.bincount(rank, minlength=CLASSES).tolist()], [prefix]
         cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist() + [len(v)]
         for a, b in zip(cut, cut[1:]):
             vs.append(int(v[a]))
             lists.append(toks[a:b])
-        return [sig] * len(vs), [n] * len(vs), vs, lists
+            sizes.append(None)
+            heads.append(None)
+        return [sig] * len(vs), [n] * len(vs), vs, lists, sizes, heads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         now, got = None, []
 
         def flush() -> pa.RecordBatch:
             lists = [x.tolist() for x in out[3]]
             r = pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                 pa.array(lists, pa.list_(pa.int64()))], names=["sig", "n", "v", "toks"])
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32())),
+                 pa.array(out[5], pa.int32())], names=["sig", "n", "v", "toks", "sizes", "prefix"])
             for c in out:
                 c.clear()
             return r
@@ -279,7 +287,7 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
         yield flush()
 
     return (rows.repartition("sig").sortWithinPartitions("sig").select("sig", "n", "often", "toks", "ranks")
-            .mapInArrow(run, schema("sig bigint, n bigint, v int, toks array<bigint>")))
+            .mapInArrow(run, schema("sig bigint, n bigint, v int, toks array<bigint>, sizes array<int>, prefix int")))
 
 
 def _linked(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
@@ -292,44 +300,116 @@ def _linked(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
             .where(F.col("o") * 100 >= percent * (F.col("an") + F.col("bn") - F.col("o"))).select("a", "b"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of two lists, counted in vertical fragments and summed."""
+    total = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    width = max(1, CELLS // max(len(left), len(right)))
+    sides = [(np.searchsorted(both, t), t, own) for t, own in sides]
+    sides = [(at[ok], own[ok]) for at, t, own in sides for ok in [both[np.minimum(at, len(both) - 1)] == t if len(both) else np.zeros(len(t), bool)]]
+    for start in range(0, len(both), width):
+        part = []
+        for (at, own), n in zip(sides, total.shape, strict=True):
+            m = np.zeros((n, min(width, len(both) - start)), np.float32)
+            here = (at >= start) & (at < start + width)
+            m[own[here], at[here] - start] = 1
+            part.append(m)
+        total += part[0] @ part[1].T
+    return total
+
+
+def _full(left: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of one bucket that carry different marks, compared block against block.
+
+    A task holds two blocks of a bucket; of the links it finds only those
+    leave that connect marks it has not connected yet.
+    """
+    rows = left.join(heads.select("sig", "n", "toks"), "sig")
+    cuts = rows.groupBy("tok").agg(F.ceil(F.sum(F.size("toks")) / BLOCK_NGRAMS).cast("int").alias("cuts"))
+    rows = rows.join(cuts, "tok").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+        "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "mark", "n", "toks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(group: list[tuple]) -> pa.RecordBatch:
+            one = [g for g in group if g[3] == group[0][1]]
+            two = [g for g in group if g[3] == group[0][2]]
+            out: list[tuple[int, int]] = []
+            if one and two:
+                o = overlaps([g[7] for g in one], [g[7] for g in two])
+                n = np.array([g[6] for g in one])[:, None] + np.array([g[6] for g in two])[None]
+                known: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while known.get(x, x) != x:
+                        x = known[x]
+                    return x
+
+                for x, y in zip(*np.nonzero(o * 100 >= percent * (n - o)), strict=True):
+                    a, b = root(one[x][5]), root(two[y][5])
+                    if a != b:
+                        known[max(a, b)] = min(a, b)
+                        out.append((one[x][4], two[y][4]))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        now, group = None, []
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(7)]
+            for *row, toks in zip(*cols, b.column(7), strict=True):
+                if tuple(row[:3]) != now:
+                    if group:
+                        yield settle(group)
+                    now, group = tuple(row[:3]), []
+                group.append((*row, toks.values.to_numpy()))
+        if group:
+            yield settle(group)
+
+    keys = ["tok", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, schema("a bigint, b bigint"))
+
+
 def _links(frags: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between sets whose components are those of all links.
 
-    Sets that share a prefix n-gram form a bucket. A round compares one
-    member of each bucket with those of other components and takes it out, so
-    a large group of near copies costs a comparison per member, not per pair.
-    A pair is left out only when both are already connected. What is left
-    after ``PIVOT_ROUNDS`` is compared pair by pair.
+    Sets that share a prefix n-gram form a bucket. A round compares a few
+    members of each bucket with the others, so a large group of near copies
+    costs some comparisons per member, not one per pair. A pair is left out
+    when links so far connect the two (they carry the same mark), or when the
+    sizes of their frequency classes rule the threshold out. After the rounds
+    of ``PIVOTS`` all pairs that are left are compared, in blocks.
     """
     spark = frags.sparkSession
-    cuts = frags.where("v is not null")
-    bucket = staged(frags.where("v is null").select("sig", "n", F.explode("toks").alias("tok")), "buckets")
+    cuts = frags.where("v is not null").select("sig", "v", "toks")
+    heads = frags.where("v is null")
+    bucket = heads.select("sig", F.explode(F.slice("toks", F.lit(1), F.col("prefix"))).alias("tok"))
+    nodes = heads.select("sig", "n", "sizes", F.col("sig").alias("mark"))
     links = spark.createDataFrame([], schema("a bigint, b bigint"))
-    roots = spark.createDataFrame([], schema("node bigint, root bigint"))
-    for k in range(PIVOT_ROUNDS + 1):
-        cur = bucket.join(roots, bucket["sig"] == roots["node"], "left").select(
-            "tok", "sig", "n", F.coalesce("root", "sig").alias("root"))
-        mixed = (cur.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                        F.min(F.struct("sig", "n", "root")).alias("p"))
-                 .where("lo <> hi").select("tok", "p"))
+    most = F.expr("aggregate(zip_with(asizes, bsizes, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)")
+    for k, pivots in enumerate((*PIVOTS, None)):
+        cur = bucket.join(nodes.select("sig", "mark"), "sig")
+        mixed = cur.groupBy("tok").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("tok")
         left = staged(cur.join(mixed, "tok"), "buckets")
         if left.isEmpty():
             break
-        near = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
-        if k < PIVOT_ROUNDS:
-            pairs = left.where("root <> p.root").select(
-                F.col("p.sig").alias("a"), F.col("p.n").alias("an"), F.col("sig").alias("b"), F.col("n").alias("bn"))
-        else:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, F.expr("x.tok = y.tok AND x.sig < y.sig AND x.root <> y.root")).select(
-                F.col("x.sig").alias("a"), F.col("x.n").alias("an"), F.col("y.sig").alias("b"), F.col("y.n").alias("bn"))
-        new = staged(_linked(pairs.where(near).distinct(), cuts, percent), "links")
-        links = links.unionAll(new)
-        if k == PIVOT_ROUNDS:
+        if pivots is None:
+            links = links.unionAll(staged(_full(left, heads, percent), "links"))
             break
-        bucket = left.where("sig <> p.sig").select("sig", "n", "tok")
-        if not new.isEmpty():
-            roots = connected(links)
+        few = left.groupBy("tok", F.pmod(F.xxhash64("sig", F.lit(k)), F.lit(pivots)).alias("slot")).agg(F.min("sig").alias("a"))
+        pairs = left.join(few, "tok").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"))
+        ends = [nodes.select(F.col("sig").alias(e), F.col("n").alias(f"{e}n"), F.col("sizes").alias(f"{e}sizes"),
+                             F.col("mark").alias(f"{e}mark")) for e in "ab"]
+        hopeful = (pairs.distinct().join(ends[0], "a").join(ends[1], "b").where("amark <> bmark")
+                   .where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
+                   .where(most * 100 >= percent * (F.col("an") + F.col("bn") - most)))
+        new = staged(_linked(hopeful.select("a", "an", "b", "bn"), cuts, percent), "links")
+        links = links.unionAll(new)
+        bucket = left.select("sig", "tok")
+        roots = connected(links) if k else new.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        nodes = staged(nodes.join(roots, nodes["sig"] == roots["node"], "left").select(
+            "sig", "n", "sizes", F.coalesce("root", "sig").alias("mark")), "nodes")
     return links
 
 
