@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ventanilla.operators import clean, compare, dashboard, metrics, store
+from ventanilla.functions import columns as C
+from ventanilla.operators import clean, compare, dashboard, metrics, quality, store
+from ventanilla.sources import reports
 from ventanilla.sources.standins import SOL_HEADERS
 
 from conftest import rows
@@ -36,9 +38,10 @@ def test_d1_first_row_wins_and_a15_dates_before_dedup(spark):
         {"SOLICITUD": "A", "NOMBRE FUNCIONARIO": "X", "TERMINAL": "T1", "FECHA DE TRAMITE": "04/03/2026",
          "TIEMPO TOTAL DE ATENCIÓN": "0:20:00"}])
     r = clean.sol_rows(clean.clean_sol_report(df))
-    kept = store.dedup_sol(r)
+    by_key = store.ingest_by_key(r, store.sol_keys(), "fecha")
+    kept = store.kept_rows(by_key)
     assert rows(kept, "row_no", "fecha") == [(0, dt.date(2026, 3, 3))]
-    roll = store.file_rollup(r, "fecha")
+    roll = store.file_stats(by_key, ["fecha"], office_col=None)
     assert rows(roll, "fecha_inicio", "fecha_fin", "tipo_periodo") == [(dt.date(2026, 3, 3), dt.date(2026, 3, 4), "SEMANAL")]
 
 
@@ -49,18 +52,65 @@ def test_d3_gate_rejects_whole_file(spark):
         {"archivo_id": 2, "SOLICITUD": "A", "TERMINAL": "T", "FECHA DE TRAMITE": "03/03/2026"},
         {"archivo_id": 2, "SOLICITUD": "A", "TERMINAL": "T", "FECHA DE TRAMITE": "x"}])  # duplicate: skipped first
     r = clean.sol_rows(clean.clean_sol_report(df))
-    facts = store.sol_facts(r)
+    by_key = store.ingest_by_key(r, store.sol_keys(), "fecha")
+    facts = store.accepted_rows(store.kept_rows(by_key), store.file_stats(by_key, ["fecha"], office_col=None))
     assert sorted(rows(facts, "archivo_id", "row_no")) == [(2, 2)]
 
 
+def test_d3_gate_rejects_a_text_longer_than_its_column(spark):
+    df = sol_report(spark, [
+        {"archivo_id": 1, "nombre_archivo": "090852_SOL.xls", "SOLICITUD": "A" * 80, "TERMINAL": "T", "FECHA DE TRAMITE": "03/03/2026"},
+        {"archivo_id": 2, "nombre_archivo": "090852_SOL.xls", "SOLICITUD": "A" * 50, "TERMINAL": "T", "FECHA DE TRAMITE": "03/03/2026"}])
+    by_key = store.ingest_by_key(clean.sol_rows(clean.clean_sol_report(df)), store.sol_keys(), "fecha")
+    got = rows(store.file_stats(by_key, ["fecha"], office_col=None, lengths=quality.SOL_LENGTHS), "archivo_id", "aceptado", "motivo_rechazo")
+    assert sorted(got) == [(1, False, "value too long for type character varying(50)"), (2, True, None)]
+
+
 def test_a15_periods(spark):
-    df = spark.createDataFrame([(1, "n", "m", dt.date(2026, 3, 3)), (2, "n", "m", dt.date(2026, 3, 3)),
-                                (2, "n", "m", dt.date(2026, 3, 4)), (3, "n", "m", None)],
-                               "archivo_id bigint, nombre_archivo string, mac string, fecha date")
-    got = sorted(rows(store.file_rollup(df, "fecha"), "archivo_id", "tipo_periodo", "fecha_operativa"))
+    df = sol_report(spark, [{"archivo_id": i, "SOLICITUD": str(n), "TERMINAL": "T", "FECHA DE TRAMITE": d}
+                            for n, (i, d) in enumerate([(1, "03/03/2026"), (2, "03/03/2026"), (2, "04/03/2026"), (3, "x")])])
+    by_key = store.ingest_by_key(clean.sol_rows(clean.clean_sol_report(df)), store.sol_keys(), "fecha")
+    got = sorted(rows(store.file_stats(by_key, ["fecha"], office_col=None), "archivo_id", "tipo_periodo", "fecha_operativa"))
     assert got == [(1, "DIARIO", dt.date(2026, 3, 3)), (2, "SEMANAL", dt.date(2026, 3, 4)), (3, "DIARIO", None)]
 
 
+def test_j1_row_numbers_restart_in_every_file(spark):
+    facts = spark.createDataFrame([(1, 0, 100), (1, 1, 200), (2, 0, 300), (2, 1, 400)], "archivo_id bigint, row_no bigint, centesimas bigint")
+    text = ["mac", "folio", "tipo_tramite", "categoria", "funcionario", "terminal", "domicilio_visible", "estatus_tramite"]
+    facts = facts.withColumns({c: F.lit("x") for c in text} | {"fecha": F.lit(dt.date(2026, 3, 3)), "dentro_norma": F.lit(True),
+                                                             "hora_inicio": F.lit(None).cast("timestamp_ntz"), "hora_fin": F.lit(None).cast("timestamp_ntz")})
+    got = rows(dashboard.join_times(*dashboard.split_facts(facts)), "archivo_id", "id", "centesimas")
+    assert sorted(got) == [(1, 0, 100), (1, 1, 200), (2, 0, 300), (2, 1, 400)]
+
+
+def test_outlier_factor_is_exact():
+    p, q = metrics._frac(1.234567)
+    assert p * 1_000_000 == q * 1_234_567
+
+
+def test_f6_huge_durations_are_null(spark):
+    df = spark.createDataFrame([("9999999999:00:00",), ("999999999999 days 00:00:00",), ("1:00:00",)], "d string")
+    assert [r[0] for r in df.select(C.duration_us("d")).collect()] == [None, None, 3_600_000_000]
+
+
+def test_f16_only_plain_numbers_count(spark):
+    df = spark.createDataFrame([("nan",), ("inf",), ("1d",), ("1e999",), (" 2.5 ",), ("-3",), (None,)], "t string")
+    assert [r[0] for r in df.select(compare.to_number("t")).collect()] == [0.0, 0.0, 0.0, 0.0, 2.5, -3.0, 0.0]
+
+
+def test_s4_repeated_headers_never_collide(spark):
+    cells = spark.createDataFrame([(1, "f", 1, ["X", "X", "X_2", "X"]), (1, "f", 2, ["", "", "", ""])],
+                                  "archivo_id bigint, nombre_archivo string, row_no bigint, cells array<string>")
+    names = reports.flatten_headers(cells, 1, True).first()["columnas"]
+    assert len(set(names)) == 4 and names[0] == "X"
+
+
+def test_j7_orphans_in_one_pass(spark):
+    child = spark.createDataFrame([(1,), (2,), (None,), (1,)], "fk bigint")
+    parent = spark.createDataFrame([(1,), (1,)], "id bigint")
+    assert rows(quality.orphans(child, "fk", parent, "id", "x"), "filas", "huerfanos") == [(4, 2)]
+
+
 def test_a1_a4_relative_outliers(spark):
     df = sol_report(spark, [{"NOMBRE FUNCIONARIO": "X", "TERMINAL": "T", "TIEMPO TOTAL DE ATENCIÓN": t}
                             for t in ["0:10:00", "0:10:00", "0:40:00"]])

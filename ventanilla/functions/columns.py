@@ -165,7 +165,8 @@ def duration_ok(c) -> Column:
 def duration_us(c) -> Column:
     """duration text -> BIGINT microseconds ('H:MM:SS[.f]', 'N days HH:MM:SS[.f]').
 
-    One validating ``rlike``; the parts come from a single ``split`` read
+    A duration beyond BIGINT microseconds is NULL like any other bad text. One
+    validating ``rlike``; the parts come from a single ``split`` read
     from the end (seconds, minutes, hours, then days when present)."""
     s = col_(c)
     parts = F.split(F.translate(s, " ", ":"), ":")
@@ -173,7 +174,9 @@ def duration_us(c) -> Column:
     hours = F.try_element_at(parts, F.lit(-3)).try_cast("bigint")
     mins = F.try_element_at(parts, F.lit(-2)).try_cast("bigint")
     secs_us = (F.try_element_at(parts, F.lit(-1)).try_cast("decimal(18,6)") * US_PER_SECOND).cast("bigint")
-    total = ((days * 24 + hours) * 3600 + mins * 60) * US_PER_SECOND + secs_us
+    whole_hours = F.try_add(F.try_multiply(days, F.lit(24)), hours)
+    whole = F.try_add(F.try_multiply(whole_hours, F.lit(3600)), F.try_multiply(mins, F.lit(60)))
+    total = F.try_add(F.try_multiply(whole, F.lit(US_PER_SECOND)), secs_us)
     return F.when(duration_ok(s), total)
 
 

@@ -27,6 +27,7 @@ CR_ALIASES = {
     "cr_atipicos": ["tramites_atipicos", "atipicos"],
 }
 INT_COLUMNS = ["sol_tramites", "sol_entregas", "sol_total", "sol_atipicos", "cr_cantidad", "cr_atipicos"]
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TEXT_COLUMNS = SOL_TEXT + ["cr_promedio", "cr_minimo", "cr_maximo"]
 # ---------------------------------------------------------------------------
 
@@ -49,8 +50,11 @@ def normalize_header(df: DataFrame) -> DataFrame:
 
 
 def to_number(c) -> Column:
-    """F16: numeric text -> double, anything else -> 0."""
-    return F.coalesce(C.strip(C.col_(c).cast("string")).try_cast("double"), F.lit(0.0))
+    """F16: decimal numeric text (sign, digits, point, exponent) that fits a
+    finite double -> double, anything else ('nan', 'inf', '1d', ...) -> 0."""
+    text = C.strip(C.col_(c).cast("string"))
+    number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.coalesce(F.when(F.abs(number) < float("inf"), number), F.lit(0.0))
 
 
 def _empty_as_null(c) -> Column:
@@ -102,7 +106,7 @@ def merge_reports(sol: DataFrame, cr: DataFrame) -> DataFrame:
     j = s.join(c, s._fs.eqNullSafe(c._fc), "full")
     def have(k, default):
         return F.col(k) if k in j.columns else F.lit(default)
-    ints = {k: F.coalesce(have(k, 0), F.lit(0)).cast("bigint") for k in INT_COLUMNS}     # absent -> 0
+    ints = {k: F.coalesce(have(k, 0).try_cast("bigint"), F.lit(0).cast("bigint")) for k in INT_COLUMNS}     # absent -> 0
     texts = {k: F.coalesce(have(k, C.NO_DATA), F.lit(C.NO_DATA)) for k in TEXT_COLUMNS}  # absent -> 'Sin datos'
     m = j.select(F.coalesce("_fs", "_fc").alias("funcionario"),
                  *[v.alias(k) for k, v in ints.items()], *[v.alias(k) for k, v in texts.items()],

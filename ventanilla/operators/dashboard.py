@@ -284,14 +284,15 @@ def split_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The reference's two tables (applications, attention times) from the wide fact."""
     tr = facts.select(F.col("row_no").alias("id"), "archivo_id", "mac", "fecha", "folio", "tipo_tramite",
                       "categoria", "funcionario", "terminal", "domicilio_visible", "estatus_tramite")
-    ti = facts.select(F.col("row_no").alias("tramite_id"), "hora_inicio", "hora_fin", "centesimas", "dentro_norma")
+    ti = facts.select(F.col("archivo_id").alias("_archivo"), F.col("row_no").alias("tramite_id"), "hora_inicio", "hora_fin", "centesimas", "dentro_norma")
     return tr, ti
 
 
 def join_times(tramites: DataFrame, tiempos: DataFrame) -> DataFrame:
-    """Applications joined 1:1 with their attention times (sort-merge on the id,
-    or broadcast when AQE measures one side small)."""
-    return tramites.join(tiempos, tramites.id == tiempos.tramite_id, "inner").drop("tramite_id")
+    """Applications joined 1:1 with their attention times on file and row (row
+    numbers start anew in every file)."""
+    same = (tramites.archivo_id == tiempos._archivo) & (tramites.id == tiempos.tramite_id)
+    return tramites.join(tiempos, same, "inner").drop("_archivo", "tramite_id")
 
 
 def user_roster(users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -308,9 +309,9 @@ def scope_of(role_id: Column, mac_asignado: Column) -> Column:
 
 def scoped_counts(users: DataFrame, facts: DataFrame) -> DataFrame:
     """P13 applied: rows each user may see (per-office counts, then a small join)."""
-    per = facts.groupBy("mac").agg(F.count(F.lit(1)).alias("filas"))
-    allrows = facts.agg(F.count(F.lit(1)).alias("filas")).select(F.lit("*").alias("mac"), "filas")
-    counts = per.unionByName(allrows).withColumnRenamed("mac", "_scope")
+    # one pass: the scope '*' is the grand total of the per-office counts
+    counts = facts.rollup("mac").agg(F.count(F.lit(1)).alias("filas"), F.grouping("mac").alias("_all")).select(
+        F.when(F.col("_all") == 1, F.lit("*")).otherwise(F.col("mac")).alias("_scope"), "filas")
     u = users.select("id", "username", "role_id", scope_of(F.col("role_id"), F.col("mac_asignado")).alias("alcance"))
     return (u.join(counts, u.alcance == counts._scope, "left")
              .select("id", "username", "alcance", F.coalesce("filas", F.lit(0)).cast("bigint").alias("filas_visibles")))

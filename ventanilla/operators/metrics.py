@@ -26,7 +26,7 @@ DELIVERY = "ENTREGA"
 
 
 def _frac(factor: float) -> tuple[int, int]:
-    fr = Fraction(str(factor)).limit_denominator(10_000)
+    fr = Fraction(str(factor))
     return fr.numerator, fr.denominator
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
+from ventanilla.operators.store import ALLOWED_OFFICES
 
-# --- Fixed values: allowed offices, text length limits, NUMERIC(10,2) range ---
-ALLOWED_OFFICES = ["090852", "090853"]
+# --- Fixed values: text length limits, NUMERIC(10,2) range ---
 SOL_LENGTHS = {"folio": 50, "tipo_tramite": 100, "categoria": 100, "funcionario": 150,
                "terminal": 50, "domicilio_visible": 20, "nombre_archivo": 255}
 CR_LENGTHS = {"solicitud": 50, "folio_nec": 50, "terminal": 50, "nombre_archivo": 255}
@@ -52,13 +52,11 @@ def unique_violations(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str) -> DataFrame:
-    """Rows whose foreign key has no parent (left-anti join), counted."""
+    """Rows, and rows whose foreign key has no parent: one left join to the
+    distinct parent keys, one aggregation."""
     p = parent.select(F.col(pk).alias("_pk")).distinct()
-    orph = child.join(p, child[fk] == p._pk, "left_anti")
-    total = child.agg(F.count(F.lit(1)).alias("filas"))
-    bad = orph.agg(F.count(F.lit(1)).alias("huerfanos"))
-    return (total.unionByName(bad, allowMissingColumns=True)
-                 .agg(F.max("filas").alias("filas"), F.max("huerfanos").alias("huerfanos"))
+    return (child.join(p, child[fk] == p._pk, "left")
+                 .agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("_pk").isNull()).alias("huerfanos"))
                  .select(F.lit(label).alias("relacion"), F.col("filas").cast("bigint"),
                          F.col("huerfanos").cast("bigint")))
 

@@ -27,64 +27,18 @@ MSG_EMPTY_AFTER_CLEAN = {"TIEMPOS_SOL": "El archivo quedó sin registros despué
 MSG_NOT_NULL = 'null value in column "{col}" violates not-null constraint'
 MSG_NO_RANKING = "No se generó ranking por funcionario"
 MSG_CHECK = 'new row violates check constraint on column "{col}"'
+MSG_LENGTH = "value too long for type character varying({n})"
+MSG_RANGE = "numeric field overflow"
 # Offices the fact tables accept (CHECK constraint); other rows reject their file.
 ALLOWED_OFFICES = ["090852", "090853"]
 PERIOD_DAILY, PERIOD_WEEKLY = "DIARIO", "SEMANAL"
 
 
-def first_row_per_key(df: DataFrame, keys: list[Column], order_col: str = "row_no") -> DataFrame:
-    """The first row (smallest ``order_col``) of every key; partial aggregation."""
-    cols = df.columns
-    names = [f"_k{i}" for i in range(len(keys))]
-    return (df.select(*[k.alias(n) for k, n in zip(keys, names)], *cols)
-              .groupBy(*names)
-              .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_first"))
-              .select("_first.*"))
-
-
-def dedup_sol(rows: DataFrame) -> DataFrame:
-    """First row per (file, folio, clerk, terminal), nulls compared as ''."""
-    keys = [F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in SOL_DEDUP_KEYS]
-    return first_row_per_key(rows, keys)
-
-
-def dedup_cr(rows: DataFrame) -> DataFrame:
-    """First row per (file, request, terminal, delivery date)."""
-    keys = ([F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in CR_DEDUP_KEYS]
-            + [F.col("fecha_entrega")])
-    return first_row_per_key(rows, keys)
-
-
-def file_gate(kept: DataFrame, required: list[str]) -> DataFrame:
-    """D3: per file, kept rows and NOT NULL violations; a file is accepted
-    only without violations (all-or-nothing, as one transaction)."""
-    viol = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
-    first_bad = F.min(F.when(viol, F.lit(required[0])))
-    return (kept.groupBy(FILE)
-                .agg(F.count(F.lit(1)).alias("filas_conservadas"),
-                     F.count_if(viol).alias("violaciones"),
-                     first_bad.alias("columna_violada"))
-                .withColumn("aceptado", F.col("violaciones") == 0))
-
-
 def accepted_rows(kept: DataFrame, gate: DataFrame) -> DataFrame:
     """Rows of accepted files only (left-semi join on the file id)."""
     return kept.join(gate.where("aceptado").select(FILE), FILE, "left_semi")
 
 
-def file_rollup(rows: DataFrame, date_col: str) -> DataFrame:
-    """Per file min / max / business date over *all* rows (before dedup)
-    and the period: DIARIO when min = max (or no date), else SEMANAL."""
-    d = F.col(date_col)
-    return (rows.groupBy(FILE, "nombre_archivo", "mac")
-                .agg(F.count(F.lit(1)).alias("filas_limpias"),
-                     F.min(d).alias("fecha_inicio"), F.max(d).alias("fecha_fin"))
-                .withColumn("fecha_operativa", F.col("fecha_fin"))
-                .withColumn("tipo_periodo",
-                            F.when(F.col("fecha_inicio") != F.col("fecha_fin"), F.lit(PERIOD_WEEKLY))
-                             .otherwise(F.lit(PERIOD_DAILY))))
-
-
 def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Column | None = None,
                   clerk_ok: Column | None = None, order_col: str = "row_no") -> DataFrame:
     """One aggregation per dedup key (file first): the first valid row in file
@@ -103,25 +57,28 @@ def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Col
 
 
 def kept_rows(by_key: DataFrame) -> DataFrame:
-    """The kept row of every key. The filter also reads the roll-up columns
-    (it is true for every group: each has at least one row); that keeps this
-    branch on exactly the same aggregation as ``file_stats``, so Spark runs
-    the by-key shuffle once and reuses it for both branches."""
-    same_plan = (F.col("_n") > 0) & (F.coalesce(F.col("_nc"), F.lit(0)) >= 0) & \
-        (F.col("_dmin").isNull() | (F.col("_dmin") <= F.col("_dmax")))
-    return by_key.where(F.col("_first").isNotNull() & same_plan).select("_first.*")
-
-
-def file_stats(by_key: DataFrame, required: list[str], office_col: str | None = "mac") -> DataFrame:
-    """Per file: A15 roll-up (over all cleaned rows), D3 gate (over kept rows:
-    a NULL in a required column or an office outside the allowed set rejects
-    the whole file, as one transaction), Q3 counts."""
+    """The kept row of every key that has a valid one."""
+    return by_key.where(F.col("_first").isNotNull()).select("_first.*")
+
+
+def file_stats(by_key: DataFrame, required: list[str], office_col: str | None = "mac",
+               lengths: dict[str, int] | None = None, max_hundredths: int = 10 ** 10) -> DataFrame:
+    """Per file: A15 roll-up (over all cleaned rows), D3 gate, Q3 counts.
+
+    The gate looks at kept rows: a NULL in a required column, an office
+    outside the allowed set, a text longer than its column or minutes outside
+    NUMERIC(10,2) rejects the whole file, as one transaction."""
     first = F.col("_first")
     null_viol = reduce(lambda a, b: a | b, [first.getField(c).isNull() for c in required])
     office_viol = (~first.getField(office_col).isin(ALLOWED_OFFICES)) if office_col else F.lit(False)
     kept = first.isNotNull()
+    long_viol = [(n, F.coalesce(F.length(first.getField(c)) > n, F.lit(False))) for c, n in (lengths or {}).items()]
+    range_viol = F.coalesce(F.abs(first.getField("centesimas")) >= max_hundredths, F.lit(False)) if lengths else F.lit(False)
     reason = (F.when(kept & null_viol, F.format_string(MSG_NOT_NULL.replace("{col}", "%s"), F.lit(required[0])))
                .when(kept & office_viol, F.lit(MSG_CHECK.replace("{col}", office_col or ""))))
+    for n, viol in long_viol:
+        reason = reason.when(kept & viol, F.lit(MSG_LENGTH.format(n=n)))
+    reason = reason.when(kept & range_viol, F.lit(MSG_RANGE))
     return (by_key.groupBy(F.col("_k0").alias(FILE))
                   .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
                        F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
@@ -152,18 +109,6 @@ def cr_keys() -> list[Column]:
             + [F.col("fecha_entrega")])
 
 
-def sol_facts(rows: DataFrame) -> DataFrame:
-    """Stored SOL facts: D1 dedup, then the D3 gate on the required date."""
-    kept = dedup_sol(rows)
-    return accepted_rows(kept, file_gate(kept, ["fecha"]))
-
-
-def cr_facts(fact_rows: DataFrame) -> DataFrame:
-    """Stored CR facts: D2 dedup (P9 already dropped rows without a date)."""
-    kept = dedup_cr(fact_rows)
-    return accepted_rows(kept, file_gate(kept, ["fecha_entrega"]))
-
-
 def ledger_events(raw_files: DataFrame, stats: DataFrame, tipo: str, check_clerks: bool = False) -> DataFrame:
     """Append-only status events per received file: PENDIENTE (seq 0), then
     the final PROCESADO / ERROR (seq 1) with dates, period and row count.
@@ -208,8 +153,3 @@ def latest_state(ledger: DataFrame, key: str = "id", seq: str = "seq") -> DataFr
     return (ledger.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_s"))
                   .select("_s.*").drop(seq))
 
-
-def content_hash(content: Column) -> Column:
-    """D6 (optional): content hash so a re-upload of the same bytes can be skipped."""
-    return F.sha2(content, 256)
-

@@ -546,5 +546,8 @@ rs AS (SELECT *, CASE WHEN tipo_esperado IS NOT NULL AND tipo <> tipo_esperado T
                       WHEN role_id <> 1 AND mac_usuario IS NULL THEN 'usuario_sin_mac'
                       WHEN role_id <> 1 AND mac <> mac_usuario THEN 'mac_ajeno' END AS motivo FROM up)""") + """
 SELECT id, mac, tipo, motivo IS NULL AS aceptado, coalesce(motivo, '') AS motivo FROM rs"""
-    q["tramite_time_join"] = w(SOL) + "\nSELECT row_no AS id, archivo_id, funcionario, centesimas, centesimas <= 1500 AS dentro_norma FROM sol_facts"
+    q["tramite_time_join"] = w(SOL) + """
+SELECT t.row_no AS id, t.archivo_id, t.funcionario, m.centesimas, m.centesimas <= 1500 AS dentro_norma
+FROM (SELECT archivo_id, row_no, funcionario FROM sol_facts) t
+JOIN (SELECT archivo_id, row_no, centesimas FROM sol_facts) m ON t.archivo_id = m.archivo_id AND t.row_no = m.row_no"""
     return q

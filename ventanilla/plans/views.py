@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
-from ventanilla.operators import clean, store
+from ventanilla.operators import clean, quality, store
 from ventanilla.sources import standins
 
 
@@ -40,13 +40,13 @@ def sol_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.file_stats(sol_by_key(spark, sf_dir), ["fecha"])
+    return store.file_stats(sol_by_key(spark, sf_dir), ["fecha"], lengths=quality.SOL_LENGTHS)
 
 
 def sol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored SOL facts: kept rows of files the gate accepts (both from one by-key plan)."""
     by_key = sol_by_key(spark, sf_dir)
-    return store.accepted_rows(store.kept_rows(by_key), store.file_stats(by_key, ["fecha"]))
+    return store.accepted_rows(store.kept_rows(by_key), store.file_stats(by_key, ["fecha"], lengths=quality.SOL_LENGTHS))
 
 
 def cr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,6 @@ def cr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_cr_report(cr_report(spark, sf_dir))
 
 
-def cr_fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.cr_fact_rows(cr_clean(spark, sf_dir))
-
-
 def cr_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 (over rows P9 keeps) + A15 (over all cleaned rows) in one aggregation."""
     proj = clean.cr_fact_projection(cr_clean(spark, sf_dir))
@@ -72,12 +68,12 @@ def cr_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.file_stats(cr_by_key(spark, sf_dir), ["fecha_entrega"])
+    return store.file_stats(cr_by_key(spark, sf_dir), ["fecha_entrega"], lengths=quality.CR_LENGTHS)
 
 
 def cr_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_key = cr_by_key(spark, sf_dir)
-    return store.accepted_rows(store.kept_rows(by_key).drop("_p9"), store.file_stats(by_key, ["fecha_entrega"]))
+    return store.accepted_rows(store.kept_rows(by_key).drop("_p9"), store.file_stats(by_key, ["fecha_entrega"], lengths=quality.CR_LENGTHS))
 
 
 def _received_files(report: DataFrame) -> DataFrame:

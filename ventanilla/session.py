@@ -2,8 +2,9 @@
 
 The library never creates machine-local scratch space on a cluster: the
 shared folder for checkpoints and staged tables is read from the session
-(``spark.checkpoint.dir``); only when it is unset (tests, local runs) a
-temporary folder is created and written back into the session conf.
+(``spark.checkpoint.dir``). Only a single-process local session may leave it
+unset: it gets a temporary folder, written back into the session conf; on a
+cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -46,11 +47,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a temp folder only if unset."""
+    """Shared checkpoint folder named by the cluster; a temp folder only in an unset local session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ventanilla-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():

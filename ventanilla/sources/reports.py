@@ -117,8 +117,17 @@ def flatten_headers(cells: DataFrame, header_row: int, strip_parts: bool) -> Dat
                                               F.concat_ws("_", part("h1", i), part("h2", i)))
                         .otherwise(F.coalesce(part("h1", i), part("h2", i), F.lit(UNNAMED))))
     named = h.select("archivo_id", names.alias("_n"))
-    unique = F.transform("_n", lambda x, i: F.when(F.array_position("_n", x) < i + 1,
-                                                    F.concat(x, F.lit("_"), (i + 1).cast("string"))).otherwise(x))
+    # in order: a name already given gets its position, again until it is new
+    def give(given, item):
+        name, at = item["x"], (item["i"] + 1).cast("string")
+        second = F.concat(name, F.lit("_"), at)
+        third = F.concat(second, F.lit("_"), at)
+        return F.concat(given, F.array(F.when(~F.array_contains(given, name), name)
+                                        .when(~F.array_contains(given, second), second)
+                                        .when(~F.array_contains(given, third), third)
+                                        .otherwise(F.concat(third, F.lit("_"), F.size(given).cast("string")))))
+    items = F.transform("_n", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    unique = F.aggregate(items, F.array().cast("array<string>"), give)
     return named.select("archivo_id", unique.alias("columnas"))
 
 

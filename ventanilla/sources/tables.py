@@ -15,13 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Ensure the row-local work after a scan can use every core: when the scan
-    has fewer splits than the default parallelism (a small file, one row group),
-    round-robin it over that many partitions. With many files -- the normal
-    case at scale -- the scan already has enough splits and this is a no-op."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ventanilla.functions.columns import office_of
 from ventanilla.operators import clean, store
+from ventanilla.operators.quality import SOL_LENGTHS
 from ventanilla.sources import reports
 from ventanilla.sources.standins import SOL_HEADERS
 
@@ -31,7 +32,7 @@ def sol_batch_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = F.col("funcionario_txt")
     clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
     by_key = store.ingest_by_key(rows, store.sol_keys(), "fecha", clerk_ok=clerk_ok)
-    stats = store.file_stats(by_key, ["fecha"])
+    stats = store.file_stats(by_key, ["fecha"], lengths=SOL_LENGTHS)
     facts = store.accepted_rows(store.kept_rows(by_key), stats)
     received = (raw.groupBy("archivo_id", "nombre_archivo").agg(F.count(F.lit(1)).alias("n"))
                    .withColumn("mac", office_of("nombre_archivo")))
@@ -68,7 +69,8 @@ def start_sol_ingest(spark: SparkSession, landing_glob: str, out_dir: str, check
 
 def compact(spark: SparkSession, out_dir: str, target: str) -> None:
     """Rewrite streamed facts to the query layout (office, date), replacing only
-    the (office, date) partitions present in the input."""
+    the (office, date) partitions present in the input. The rebalance hint lets
+    adaptive execution cut a large office-day into several files and tasks."""
     facts = spark.read.parquet(os.path.join(out_dir, "facts"))
-    (facts.repartition("mac", "fecha").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (facts.hint("rebalance", "mac", "fecha").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
           .partitionBy("mac", "fecha").parquet(target))
