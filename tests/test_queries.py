@@ -7,11 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ventanilla.plans.file_queries import FILE_QUERIES
+from ventanilla.plans.oracle import queries_sql
+from ventanilla.plans.queries import QUERIES
 from ventanilla.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-SQL = E.oracle_sql()
+SQL = queries_sql()
 NAMES = sorted(SQL)
 
 
@@ -34,7 +37,8 @@ def _key(cols, data):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) - set(SQL) == {"report_file_ingest", "stream_ingest"}
+    assert set(QUERIES) | set(FILE_QUERIES) == set(SQL)
+    assert set(SQL) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -13,7 +13,6 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ventanilla.operators import clean
 from ventanilla.session import scratch_path
@@ -50,7 +49,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     q.awaitTermination()
     facts = spark.read.parquet(os.path.join(out, "facts"))
     return facts.select("nombre_archivo", "mac", "row_no", "fecha", "folio", "funcionario", "terminal",
-                        "centesimas", F.col("batch_id"))
+                        "centesimas")
 
 
 FILE_QUERIES = {"report_file_ingest": report_file_ingest, "stream_ingest": stream_ingest}

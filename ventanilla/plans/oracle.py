@@ -8,6 +8,8 @@ DATE / DOUBLE / BOOLEAN only).
 
 from __future__ import annotations
 
+from ventanilla.sources.reports import SOL_LAYOUT
+
 # ---- scalar macros ----------------------------------------------------------
 
 
@@ -550,4 +552,10 @@ SELECT id, mac, tipo, motivo IS NULL AS aceptado, coalesce(motivo, '') AS motivo
 SELECT t.row_no AS id, t.archivo_id, t.funcionario, m.centesimas, m.centesimas <= 1500 AS dentro_norma
 FROM (SELECT archivo_id, row_no, funcionario FROM sol_facts) t
 JOIN (SELECT archivo_id, row_no, centesimas FROM sol_facts) m ON t.archivo_id = m.archivo_id AND t.row_no = m.row_no"""
+    # in a file, rows are numbered from below the title and the two header rows
+    sheet = f"row_no + {SOL_LAYOUT['header_row'] + 2} AS row_no"
+    q["report_file_ingest"] = w(SOL) + f"""
+SELECT nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas FROM sol_rows"""
+    q["stream_ingest"] = w(SOL) + f"""
+SELECT nombre_archivo, mac, {sheet}, fecha, folio, funcionario, terminal, centesimas FROM sol_facts"""
     return q

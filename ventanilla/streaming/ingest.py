@@ -41,6 +41,9 @@ def sol_batch_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
+    # an office code read back from a folder name would lose its leading zero
+    df = df.withColumns({f"_{k}": F.col(k) for k in keys})
+    keys = [f"_{k}" for k in keys]
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("batch_id", *keys).parquet(path))
