@@ -148,8 +148,8 @@ def _round(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return meet.repartition("m").sortWithinPartitions("m").mapInArrow(near, schema("a bigint, b bigint, sim double"))
 
 
-def _enlarged(full: DataFrame, points: DataFrame) -> DataFrame:
-    """Links of every member of a component with full lists: ``node, n`` counted block against block.
+def _enlarged(full: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """Links of every member of a component with full lists to other points: ``node, n``, block against block.
 
     All links of a vector lie in its component, so a full list is enlarged to
     the whole component, and only the counts leave the tasks.
@@ -168,13 +168,16 @@ def _enlarged(full: DataFrame, points: DataFrame) -> DataFrame:
                 key, mine = (g.iloc[0, 0], g.iloc[0, 1]), (g["node"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), _matrix(g["v"]))
             if key != (g.iloc[0, 0], g.iloc[0, 1]):
                 continue
-            n = ((mine[2] @ _matrix(g["v"]).T >= THRESHOLD) * g["copies"].to_numpy(np.int64)).sum(axis=1)
+            hit = mine[2] @ _matrix(g["v"]).T >= threshold
+            if g.iloc[0, 2] == 0:
+                np.fill_diagonal(hit, False)
+            n = hit @ g["copies"].to_numpy(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(mine[0]), pa.array(n)], names=["node", "n"])
 
     keys = ["root", "task", "other", "own"]
     ordered = dealt.withColumn("other", (F.col("task") != F.col("own")).cast("bigint"))
     return (ordered.select(*keys, "node", "copies", "v").repartition("root", "task").sortWithinPartitions(*keys)
-            .mapInArrow(count, schema("node bigint, n bigint")).groupBy("node").agg((F.sum("n") - 1).alias("n")))
+            .mapInArrow(count, schema("node bigint, n bigint")).groupBy("node").agg(F.sum("n").alias("n")))
 
 
 def _audit(points: DataFrame, edges: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -235,7 +238,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         # a list whose last place is a link may miss others
         full = lists.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("node"))
         wide = roots.join(full, "node").select("root").distinct()
-        many = _enlarged(roots.join(wide, "root").select("root", "node"), points)
+        many = _enlarged(roots.join(wide, "root").select("root", "node"), points, threshold)
         ends = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         few = (ends.join(roots.join(wide, "root", "left_anti"), ends["a"] == F.col("node")).select("a", "b")
                .join(points.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
