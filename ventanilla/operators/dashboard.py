@@ -127,7 +127,7 @@ def cr_summary(facts: DataFrame, keys=("archivo_id",)) -> DataFrame:
 
 
 def cr_by_terminal(facts: DataFrame, keys=("archivo_id",)) -> DataFrame:
-    """A9 + O5: per COALESCE(terminal, 'Sin dato'): deliveries, mean, min, max."""
+    """Per COALESCE(terminal, 'Sin dato'): deliveries, mean, min, max."""
     h = F.col("centesimas")
     t = F.coalesce(F.col("terminal"), F.lit(C.NO_VALUE)).alias("terminal")
     g = facts.groupBy(*keys, t).agg(F.count(F.lit(1)).alias("entregas"), F.sum(h).alias("_s"),
@@ -264,7 +264,7 @@ def clerk_detail(facts: DataFrame, nombre=None, mac=None, fecha=None, tipo=None)
 
 
 def clerk_type_summary(facts: DataFrame, nombre=None, mac=None, fecha=None) -> DataFrame:
-    """A13 + O5: per clerk at the latest (office, date), by COALESCE(category, 'Sin dato')."""
+    """Per clerk at the latest (office, date), by COALESCE(category, 'Sin dato')."""
     f = _clerk_scope(facts, nombre, mac, fecha)
     d = f.join(_latest_groups(facts, nombre, mac, fecha), ["funcionario", "mac", "fecha"], "inner")
     cat = F.coalesce(F.col("categoria"), F.lit(C.NO_VALUE)).alias("tipo_tramite_categoria")
