@@ -346,8 +346,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if len(group) > 1:
             yield settle(group)
 
+    # few bytes but much work: a fixed number of tasks, which adaptive execution does not merge
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = (cut.where("w1 is null").select("gram", "doc", "th", "start", "once", "left", "right")
-            .repartition("gram").sortWithinPartitions("gram").mapInArrow(decide, schema("doc bigint, th bigint, a bigint, b bigint")))
+            .repartition(tasks, "gram").sortWithinPartitions("gram").mapInArrow(decide, schema("doc bigint, th bigint, a bigint, b bigint")))
     single = cut.where("w1 is not null")
     again = single.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     late = single.where("once").join(again, ["w1", "w2"], "left_semi").select(
