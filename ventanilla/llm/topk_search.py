@@ -163,7 +163,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = left.join(right, "g").select("block", "d", "ids", "x", "qd", "qids", "qx").mapInArrow(
+    # little to read but much to do: fixed tasks, which adaptive execution does not merge
+    tasks = 4 * groups
+    found = left.repartition(tasks, "g").join(right.repartition(tasks, "g"), "g").select("block", "d", "ids", "x", "qd", "qids", "qx").mapInArrow(
         run, schema("query_id bigint, vec_id bigint, score bigint"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
