@@ -38,6 +38,23 @@ def test_stream_ingest_equals_batch_facts(spark):
     assert facts.count() == V.sol_facts(spark, SF_SMALL).count()
 
 
+def test_t2_a_replayed_batch_replaces_its_own_output(spark, tmp_path):
+    from ventanilla.streaming import ingest
+    out = str(tmp_path / "out")
+    head = "\n".join([f"{n}\t" for n in range(1, 21)] + ["21\tTERMINAL\tSOLICITUD\tFECHA DE TRAMITE\tTRAMITE\tNOMBRE FUNCIONARIO", "22\t\t\t\t\t"])
+    (tmp_path / "Rep_TiemAten_SOL_090852_1.xls").write_text(head + "\n23\tT1\tS1\t03/03/2026\tInscripción\tANA\n24\tT1\tS2\t03/03/2026\tReposición\tANA\n")
+    (tmp_path / "Rep_TiemAten_SOL_090852_2.xls").write_text("1\tsin encabezado\n")
+    lines = spark.read.text(str(tmp_path / "*.xls")).select("value", "_metadata")
+    for _ in range(2):
+        ingest.ingest_batch(lines, 7, out)
+    facts = spark.read.parquet(os.path.join(out, "facts"))
+    assert sorted((r.folio, r.mac, r.categoria, r.batch_id) for r in facts.collect()) == [
+        ("S1", "090852", "INSCRIPCION", 7), ("S2", "090852", "REPOSICION", 7)]
+    ledger = spark.read.parquet(os.path.join(out, "ledger"))
+    final = {r.nombre_archivo[-5]: r.estatus for r in ledger.where("seq = 1").collect()}
+    assert ledger.count() == 4 and final == {"1": "PROCESADO", "2": "ERROR"}
+
+
 def test_list_reports_prunes_content(spark, tmp_path):
     for n in ["Rep_TiemAten_SOL_090852_a.xls", "x_cr_090853.xlsx", "notes.txt"]:
         (tmp_path / n).write_text("x")

@@ -51,14 +51,19 @@ def _data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in META_COLUMNS]
 
 
-def clean_sol_report(df: DataFrame) -> DataFrame:
+def clean_sol_report(df: DataFrame, has_terminal: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drop rows without terminal and repeated header rows (when the
-    column exists), then rows whose cells are all null."""
+    report has the column), then rows whose cells are all null.
+
+    ``has_terminal`` tells it per row where reports of several files meet;
+    ``extra`` columns are no cells and do not stay."""
     out = df
     if HEADER_TERMINAL in df.columns:
         t = F.col(HEADER_TERMINAL)
-        out = out.where(t.isNotNull() & (F.upper(C.strip(t)) != HEADER_TERMINAL))
-    data = _data_columns(df)
+        usable = t.isNotNull() & (F.upper(C.strip(t)) != HEADER_TERMINAL)
+        out = out.where(usable if has_terminal is None else ~has_terminal | usable)
+    out = out.drop(*extra)
+    data = _data_columns(out)
     return out.na.drop(how="all", subset=data) if data else out
 
 

@@ -13,13 +13,15 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ventanilla.operators import clean
 from ventanilla.session import scratch_path
-from ventanilla.sources import reports, standins
+from ventanilla.sources import arrivals, reports, standins
 from ventanilla.streaming import ingest
 
 SOL_TITLE = "REPORTE DE TIEMPOS DE ATENCION"
+CR_TITLE = "REPORTE DE ENTREGA DE CREDENCIALES"
 
 
 def _landing(spark: SparkSession, sf: str, one_file_per_report: bool) -> str:
@@ -41,15 +43,73 @@ def report_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
                        "terminal", "centesimas")
 
 
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """T1 + T2: stream the landing folder to completion; the stored facts."""
-    folder = _landing(spark, sf, one_file_per_report=True)
+def _streamed(spark: SparkSession, folder: str) -> str:
     out = scratch_path(spark, f"stream-out-{uuid.uuid4().hex[:12]}")
-    q = ingest.start_sol_ingest(spark, os.path.join(folder, "*", "*.txt"), out, os.path.join(out, "_checkpoint"))
+    q = ingest.start_ingest(spark, os.path.join(folder, "*", "*.txt"), out, os.path.join(out, "_checkpoint"))
     q.awaitTermination()
-    facts = spark.read.parquet(os.path.join(out, "facts"))
+    return out
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 + T2: stream a landing folder of SOL files to completion; the stored facts."""
+    facts = spark.read.parquet(os.path.join(_streamed(spark, _landing(spark, sf, one_file_per_report=True)), "facts"))
     return facts.select("nombre_archivo", "mac", "row_no", "fecha", "folio", "funcionario", "terminal",
                         "centesimas")
 
 
-FILE_QUERIES = {"report_file_ingest": report_file_ingest, "stream_ingest": stream_ingest}
+def stream_cr_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 + T2: stream a landing folder of CR files to completion; the stored facts."""
+    folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
+    lines = reports.export_lines(standins.cr_report_rows(spark, sf), standins.CR_HEADERS, reports.CR_LAYOUT["header_row"], CR_TITLE)
+    reports.write_exports(lines, folder, one_file_per_report=True)
+    facts = spark.read.parquet(os.path.join(_streamed(spark, folder), "facts_cr"))
+    return facts.select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
+
+
+def _mixed_landing(spark: SparkSession, sf: str) -> str:
+    """A landing folder of both kinds in which some files deviate: by the last digit of the file id,
+    SOL files head the type column ``TRAMITE`` (3), lack TERMINAL (5) or the header rows (7); CR files
+    lack the duration (4) or hold no data rows (6)."""
+    sol, cr = standins.sol_report_rows(spark, sf), standins.cr_report_rows(spark, sf)
+    digit = F.col("archivo_id") % 10
+    sol_head, cr_head = reports.SOL_LAYOUT["header_row"], reports.CR_LAYOUT["header_row"]
+    renamed = ["TRAMITE" if h == arrivals.TYPE_HEADER else h for h in standins.SOL_HEADERS]
+    headless = reports.export_lines(sol.where(digit == 7), standins.SOL_HEADERS, sol_head, SOL_TITLE)
+    parts = [
+        reports.export_lines(sol.where(~digit.isin(3, 5, 7)), standins.SOL_HEADERS, sol_head, SOL_TITLE),
+        reports.export_lines(sol.where(digit == 3).withColumnRenamed(arrivals.TYPE_HEADER, "TRAMITE"), renamed, sol_head, SOL_TITLE),
+        reports.export_lines(sol.where(digit == 5), [h for h in standins.SOL_HEADERS if h != "TERMINAL"], sol_head, SOL_TITLE),
+        headless.where(~F.col("row_no").isin(sol_head, sol_head + 1)),
+        reports.export_lines(cr.where(~digit.isin(4, 6)), standins.CR_HEADERS, cr_head, CR_TITLE),
+        reports.export_lines(cr.where(digit == 4), [h for h in standins.CR_HEADERS if h != "TIEMPO TOTAL DE ATENCIÓN"], cr_head, CR_TITLE),
+        reports.export_lines(cr.where(digit == 6), standins.CR_HEADERS, cr_head, CR_TITLE).where(F.col("row_no") <= cr_head + 1)]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
+    reports.write_exports(lines, folder)
+    return folder
+
+
+def sol_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """S2, P1, F3, P8 from a landing folder of both kinds: rows of the SOL files, header rules per file."""
+    cells = reports.read_cells(spark, _mixed_landing(spark, sf), by_directory=True)
+    return arrivals.sol_rows_of_files(cells).select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
+                                                    "terminal", "centesimas")
+
+
+def cr_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """S3, P2-P7 from a landing folder of both kinds: cleaned rows of the complete CR files."""
+    cells = reports.read_cells(spark, _mixed_landing(spark, sf), by_directory=True)
+    return arrivals.cr_rows_of_files(cells)[0].select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
+
+
+def file_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Error records of every received file of a landing folder of both kinds that cannot be ingested."""
+    folder = _mixed_landing(spark, sf)
+    return arrivals.file_errors(arrivals.received_files(spark, folder), reports.read_cells(spark, folder, by_directory=True))
+
+
+FILE_QUERIES = {"sol_file_ingest": sol_file_ingest, "cr_file_ingest": cr_file_ingest, "file_errors": file_errors,
+                "report_file_ingest": report_file_ingest, "stream_ingest": stream_ingest,
+                "stream_cr_ingest": stream_cr_ingest}

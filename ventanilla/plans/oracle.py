@@ -8,7 +8,7 @@ DATE / DOUBLE / BOOLEAN only).
 
 from __future__ import annotations
 
-from ventanilla.sources.reports import SOL_LAYOUT
+from ventanilla.sources.reports import CR_LAYOUT, SOL_LAYOUT
 
 # ---- scalar macros ----------------------------------------------------------
 
@@ -556,6 +556,26 @@ JOIN (SELECT archivo_id, row_no, centesimas FROM sol_facts) m ON t.archivo_id =
     sheet = f"row_no + {SOL_LAYOUT['header_row'] + 2} AS row_no"
     q["report_file_ingest"] = w(SOL) + f"""
 SELECT nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas FROM sol_rows"""
+    # which files deviate and how: see the queries' landing folder
+    q["sol_file_ingest"] = w(SOL) + f"""
+SELECT nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas
+FROM sol_rows WHERE archivo_id % 10 NOT IN (5, 7)
+UNION ALL
+SELECT concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '.xls'), mac, {sheet}, fecha, folio, {category('tipo_txt')},
+       CASE WHEN clerk_txt IS NULL OR trim(clerk_txt) = '' OR lower(trim(clerk_txt)) = 'nan' THEN NULL ELSE trim(clerk_txt) END,
+       NULL, (10 * segundos + 3) // 6 FROM sol_raw WHERE archivo_id % 10 = 5"""
+    q["cr_file_ingest"] = w(CR) + f"""
+SELECT nombre_archivo, mac, row_no + {CR_LAYOUT['header_row'] + 2} AS row_no, fecha_entrega, solicitud, terminal, centesimas
+FROM cr_clean WHERE archivo_id % 10 NOT IN (4, 6)"""
+    q["stream_cr_ingest"] = w(CR) + f"""
+SELECT nombre_archivo, mac, row_no + {CR_LAYOUT['header_row'] + 2} AS row_no, fecha_entrega, solicitud, terminal, centesimas FROM cr_facts"""
+    q["file_errors"] = w(SOL, CR) + """
+SELECT DISTINCT concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '.xls') AS nombre_archivo, mac, 'TIEMPOS_SOL' AS tipo,
+       'Sin renglones de encabezado' AS motivo FROM sol_raw WHERE archivo_id % 10 = 7
+UNION ALL
+SELECT DISTINCT concat('Rep_TiemAten_CR_', mac, '_', archivo_id, '.xls'), mac, 'TIEMPOS_CR',
+       CASE WHEN archivo_id % 10 = 4 THEN 'Faltan columnas clave en CR: tiempo_total_atencion' ELSE 'Sin renglones de datos' END
+FROM cr_raw WHERE archivo_id % 10 IN (4, 6)"""
     q["stream_ingest"] = w(SOL) + f"""
 SELECT nombre_archivo, mac, {sheet}, fecha, folio, funcionario, terminal, centesimas FROM sol_facts"""
     return q

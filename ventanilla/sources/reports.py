@@ -132,10 +132,11 @@ def flatten_headers(cells: DataFrame, header_row: int, strip_parts: bool) -> Dat
 
 
 def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_header: bool,
-                drop_empty_rows: bool = False) -> DataFrame:
+                drop_empty_rows: bool = False, any_case: list[str] = ()) -> DataFrame:
     """Data rows (below the two header rows) as named text columns.
     Each row's cells are keyed by its file's header (a broadcastable per-file
-    table: one row per file) and the wanted ``columns`` are projected."""
+    table: one row per file) and the wanted ``columns`` are projected. Headers
+    in ``any_case`` match trimmed and in any case; of several the last counts."""
     hdr = flatten_headers(cells, header_row, strip_header)
     data = cells.where(F.col("row_no") > header_row + 1)
     if drop_empty_rows:
@@ -143,8 +144,14 @@ def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_hea
     j = data.join(hdr, "archivo_id", "inner")
     n = F.least(F.size("columnas"), F.size("cells"))
     m = F.map_from_arrays(F.slice("columnas", 1, n), F.slice(_empty_to_null_array("cells"), 1, n))
-    return j.select("archivo_id", "nombre_archivo", "row_no",
-                    *[F.element_at(m, F.lit(c)).alias(c) for c in columns])
+    alike = F.transform(F.slice("columnas", 1, n), lambda x: F.upper(C.strip(x)))
+
+    def value(c):
+        if c not in any_case:
+            return F.element_at(m, F.lit(c))
+        from_end = F.array_position(F.reverse(alike), c)
+        return F.when(from_end > 0, F.get(_empty_to_null_array("cells"), (n - from_end).cast("int")))
+    return j.select("archivo_id", "nombre_archivo", "row_no", *[value(c).alias(c) for c in columns])
 
 
 def probe(cells: DataFrame, first: int = 21, last: int = 60) -> DataFrame:

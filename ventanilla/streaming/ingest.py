@@ -18,26 +18,34 @@ from pyspark.sql import functions as F
 
 from ventanilla.functions.columns import office_of
 from ventanilla.operators import clean, store
-from ventanilla.operators.quality import SOL_LENGTHS
-from ventanilla.sources import reports
-from ventanilla.sources.standins import SOL_HEADERS
+from ventanilla.operators.quality import CR_LENGTHS, SOL_LENGTHS
+from ventanilla.sources import arrivals, reports
 
 
-def sol_batch_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts and ledger events of the SOL reports in a set of export lines."""
-    cells = reports.cells_of_lines(lines)
-    raw = reports.report_rows(cells, SOL_HEADERS, reports.SOL_LAYOUT["header_row"],
-                              reports.SOL_LAYOUT["strip_header"])
-    rows = clean.sol_rows(clean.clean_sol_report(raw))
+def _received(cells: DataFrame, kind: str) -> DataFrame:
+    """Every file of one kind that a batch brought, also those without usable rows."""
+    return (arrivals.of_kind(cells, kind).groupBy("archivo_id", "nombre_archivo").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("mac", office_of("nombre_archivo")))
+
+
+def sol_batch_facts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts and ledger events of the SOL reports in a batch."""
+    rows = arrivals.sol_rows_of_files(cells)
     t = F.col("funcionario_txt")
     clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
     by_key = store.ingest_by_key(rows, store.sol_keys(), "fecha", clerk_ok=clerk_ok)
     stats = store.file_stats(by_key, ["fecha"], lengths=SOL_LENGTHS)
     facts = store.accepted_rows(store.kept_rows(by_key), stats)
-    received = (raw.groupBy("archivo_id", "nombre_archivo").agg(F.count(F.lit(1)).alias("n"))
-                   .withColumn("mac", office_of("nombre_archivo")))
-    ledger = store.ledger_events(received, stats, "TIEMPOS_SOL", check_clerks=True)
-    return facts, ledger
+    return facts, store.ledger_events(_received(cells, "TIEMPOS_SOL"), stats, "TIEMPOS_SOL", check_clerks=True)
+
+
+def cr_batch_facts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts and ledger events of the CR reports in a batch."""
+    rows = clean.cr_fact_projection(arrivals.cr_rows_of_files(cells)[0])
+    by_key = store.ingest_by_key(rows, store.cr_keys(), "fecha_entrega", valid=F.col("_p9"))
+    stats = store.file_stats(by_key, ["fecha_entrega"], lengths=CR_LENGTHS)
+    facts = store.accepted_rows(store.kept_rows(by_key).drop("_p9"), stats)
+    return facts, store.ledger_events(_received(cells, "TIEMPOS_CR"), stats, "TIEMPOS_CR")
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
@@ -49,23 +57,30 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> No
        .partitionBy("batch_id", *keys).parquet(path))
 
 
-def start_sol_ingest(spark: SparkSession, landing_glob: str, out_dir: str, checkpoint: str,
-                     files_per_batch: int = 16, available_now: bool = True):
-    """Stream the export files matching ``landing_glob`` into
-    ``out_dir/facts`` (by batch and office) and ``out_dir/ledger``."""
-    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-             .text(landing_glob).select("value", "_metadata"))
+def ingest_batch(lines: DataFrame, batch_id: int, out_dir: str) -> None:
+    """One batch of export lines of both kinds into ``facts``, ``facts_cr`` and ``ledger``.
+
+    The same batch again replaces exactly its own output.
+    """
+    lines = lines.persist()
+    try:
+        cells = reports.cells_of_lines(lines)
+        sol, sol_events = sol_batch_facts(cells)
+        cr, cr_events = cr_batch_facts(cells)
+        _write_batch(sol, os.path.join(out_dir, "facts"), batch_id, ["mac"])
+        _write_batch(cr, os.path.join(out_dir, "facts_cr"), batch_id, ["mac"])
+        _write_batch(sol_events.unionByName(cr_events), os.path.join(out_dir, "ledger"), batch_id, [])
+    finally:
+        lines.unpersist()
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            facts, ledger = sol_batch_facts(batch)
-            _write_batch(facts, os.path.join(out_dir, "facts"), batch_id, ["mac"])
-            _write_batch(ledger, os.path.join(out_dir, "ledger"), batch_id, [])
-        finally:
-            batch.unpersist()
 
-    w = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def start_ingest(spark: SparkSession, landing_glob: str, out_dir: str, checkpoint: str,
+                 files_per_batch: int = 16, available_now: bool = True):
+    """Stream the export files matching ``landing_glob`` into ``out_dir``.
+    The kind of a file is told from its name; other files bring no rows."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+             .text(landing_glob).select("value", "_metadata"))
+    w = lines.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, out_dir)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
