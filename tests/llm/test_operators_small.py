@@ -121,7 +121,7 @@ def test_ngram_groups_equal_brute_force(spark, monkeypatch):
     want = brute_groups(rows)
     assert out(ngram_join.near_duplicate_groups(docs(spark, rows)), "doc_id", "n_shingles", "component_id") == want
     monkeypatch.setattr(ngram_join, "PIVOTS", ())  # everything by the full comparison, in many blocks
-    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 500)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     assert out(ngram_join.near_duplicate_groups(docs(spark, rows)), "doc_id", "n_shingles", "component_id") == want
 
 
@@ -133,13 +133,14 @@ def test_ngram_empty_table_and_keeping_one(spark):
     assert out(kept, "doc_id") == [(0,), (20,), (21,), (22,)]
 
 
-def test_overlaps_in_fragments(monkeypatch):
+def test_hopeful_pairs_lose_no_link():
     rng = np.random.default_rng(0)
-    a = [rng.choice(200, rng.integers(0, 60), replace=False) for _ in range(7)]
-    b = [rng.choice(200, rng.integers(0, 60), replace=False) for _ in range(5)]
-    monkeypatch.setattr(ngram_join, "CELLS", 70)
-    got = ngram_join.overlaps(a, b)
-    assert got.tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+    sets = [set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]
+    parts = np.array([np.bincount([x % 8 for x in s], minlength=8) for s in sets]).astype("u2")
+    mark, n = rng.integers(0, 5, 60), np.array([len(s) for s in sets])
+    got = set(zip(*(x.tolist() for x in ngram_join.hopeful_pairs((mark, n, parts), (mark, n, parts), 50))))
+    linked = {(i, j) for i in range(60) for j in range(60) if mark[i] != mark[j] and 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert linked <= got and len(got) < 60 * 60 / 2
 
 
 def test_components(spark):

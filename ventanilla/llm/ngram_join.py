@@ -30,9 +30,9 @@ PER_FRAGMENT, CHUNK = 2_000_000, 400_000
 #: Frequency classes of the global order (the last: frequent in the sample); hash ranges of a class.
 CLASSES, RANGES = 24, 2
 #: Members of a bucket that the others are compared with, round by round, before the rest is compared in full.
-PIVOTS = (1, 8)
-#: n-grams in a block of that full comparison; cells of a task's partial overlap matrices.
-BLOCK_NGRAMS, CELLS = 300_000, 8_000_000
+PIVOTS = (1, 12)
+#: Sets in a block of that full comparison; hash fragments whose sizes bound an overlap there.
+BLOCK, FRAGMENTS = 2000, 128
 
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -230,7 +230,8 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
     """Per remaining set: one row per fragment of the global order, and one (``v`` null) for the set.
 
     The latter has all its n-grams in order, ``prefix`` of which are its
-    prefix, and ``sizes``, the n-grams of each frequency class.
+    prefix, ``sizes``, the n-grams of each frequency class, and ``parts``,
+    the n-grams of each of ``FRAGMENTS`` hash fragments.
 
     The order is by frequency class, then hash; n-grams only this set holds
     come first and frequent ones last. A set that reaches the threshold with
@@ -249,16 +250,19 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
         prefix = n - -(-n * percent // 100) + 1 - (n - len(toks))
         v = rank * RANGES + np.where(toks < 0, 0, (toks >> 40) * RANGES // fragments)
         vs, lists, sizes, heads = [None], [toks], [np.bincount(rank, minlength=CLASSES).tolist()], [prefix]
+        part = (toks.view(np.uint64) * _MIX >> np.uint64(32)).astype(np.int64) % FRAGMENTS
+        parts = [np.minimum(np.bincount(part, minlength=FRAGMENTS), 65535).astype("<u2").tobytes()]
         cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist() + [len(v)]
         for a, b in zip(cut, cut[1:]):
             vs.append(int(v[a]))
             lists.append(toks[a:b])
             sizes.append(None)
             heads.append(None)
-        return [sig] * len(vs), [n] * len(vs), vs, lists, sizes, heads
+            parts.append(None)
+        return [sig] * len(vs), [n] * len(vs), vs, lists, sizes, heads, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         now, got = None, []
 
         def flush() -> pa.RecordBatch:
@@ -266,7 +270,8 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
             r = pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
                  pa.array(lists, pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32())),
-                 pa.array(out[5], pa.int32())], names=["sig", "n", "v", "toks", "sizes", "prefix"])
+                 pa.array(out[5], pa.int32()), pa.array(out[6], pa.binary())],
+                names=["sig", "n", "v", "toks", "sizes", "prefix", "parts"])
             for c in out:
                 c.clear()
             return r
@@ -287,7 +292,7 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
         yield flush()
 
     return (rows.repartition("sig").sortWithinPartitions("sig").select("sig", "n", "often", "toks", "ranks")
-            .mapInArrow(run, schema("sig bigint, n bigint, v int, toks array<bigint>, sizes array<int>, prefix int")))
+            .mapInArrow(run, schema("sig bigint, n bigint, v int, toks array<bigint>, sizes array<int>, prefix int, parts binary")))
 
 
 def _linked(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
@@ -300,75 +305,67 @@ def _linked(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
             .where(F.col("o") * 100 >= percent * (F.col("an") + F.col("bn") - F.col("o"))).select("a", "b"))
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of two lists, counted in vertical fragments and summed."""
-    total = np.zeros((len(left), len(right)), np.float32)
-    sides = []
-    for sets in (left, right):
-        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
-    both = np.intersect1d(sides[0][0], sides[1][0])
-    width = max(1, CELLS // max(len(left), len(right)))
-    sides = [(np.searchsorted(both, t), t, own) for t, own in sides]
-    sides = [(at[ok], own[ok]) for at, t, own in sides for ok in [both[np.minimum(at, len(both) - 1)] == t if len(both) else np.zeros(len(t), bool)]]
-    for start in range(0, len(both), width):
-        part = []
-        for (at, own), n in zip(sides, total.shape, strict=True):
-            m = np.zeros((n, min(width, len(both) - start)), np.float32)
-            here = (at >= start) & (at < start + width)
-            m[own[here], at[here] - start] = 1
-            part.append(m)
-        total += part[0] @ part[1].T
-    return total
+def hopeful_pairs(one: tuple, two: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two blocks ``(mark, n, parts)`` with different marks whose fragment sizes allow the threshold.
+
+    An overlap is at most the sum over the fragments of the smaller size.
+    """
+    (m1, n1, p1), (m2, n2, p2) = one, two
+    left, right = [], []
+    for i in range(len(m1)):
+        j = np.flatnonzero((m2 != m1[i]) & (np.minimum(n2, n1[i]) * 100 >= np.maximum(n2, n1[i]) * percent))
+        if len(j):
+            most = np.minimum(p2[j], p1[i]).sum(axis=1, dtype=np.int64)
+            j = j[most * 100 >= percent * (n1[i] + n2[j] - most)]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]).astype(np.int64), np.concatenate([none, *right]).astype(np.int64)
 
 
 def _full(left: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of one bucket that carry different marks, compared block against block.
+    """Pairs ``(a, an, b, bn)`` of a bucket with different marks, compared block against block by fragment sizes.
 
-    A task holds two blocks of a bucket; of the links it finds only those
-    leave that connect marks it has not connected yet.
+    Of two different marks one is not the commonest of the bucket's first
+    block, so only sets with another mark are held against all.
     """
-    rows = left.join(heads.select("sig", "n", "toks"), "sig")
-    cuts = rows.groupBy("tok").agg(F.ceil(F.sum(F.size("toks")) / BLOCK_NGRAMS).cast("int").alias("cuts"))
-    rows = rows.join(cuts, "tok").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
+    cuts = left.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    rows = left.select("tok", "sig", "mark").join(heads.select("sig", "n", "parts"), "sig").join(cuts, "tok").withColumn(
+        "own", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "mark", "n", "toks")
+        "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "mark", "n", "parts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(group: list[tuple]) -> pa.RecordBatch:
-            one = [g for g in group if g[3] == group[0][1]]
-            two = [g for g in group if g[3] == group[0][2]]
-            out: list[tuple[int, int]] = []
-            if one and two:
-                o = overlaps([g[7] for g in one], [g[7] for g in two])
-                n = np.array([g[6] for g in one])[:, None] + np.array([g[6] for g in two])[None]
-                known: dict[int, int] = {}
-
-                def root(x: int) -> int:
-                    while known.get(x, x) != x:
-                        x = known[x]
-                    return x
-
-                for x, y in zip(*np.nonzero(o * 100 >= percent * (n - o)), strict=True):
-                    a, b = root(one[x][5]), root(two[y][5])
-                    if a != b:
-                        known[max(a, b)] = min(a, b)
-                        out.append((one[x][4], two[y][4]))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            own = np.array([g[3] for g in group])
+            sig, mark, n = (np.array([g[k] for g in group], np.int64) for k in (4, 5, 6))
+            parts = np.frombuffer(b"".join(g[7] for g in group), "<u2").reshape(len(group), FRAGMENTS)
+            marks, times = np.unique(mark, return_counts=True)
+            odd = np.flatnonzero(mark != marks[times.argmax()])
+            out = [[], [], [], []]
+            for x, y in {(group[0][1], group[0][2]), (group[0][2], group[0][1])}:
+                one, two = odd[own[odd] == x], np.flatnonzero(own == y)
+                a, b = hopeful_pairs((mark[one], n[one], parts[one]), (mark[two], n[two], parts[two]), percent)
+                a, b = one[a], two[b]
+                a, b = np.where(sig[a] < sig[b], a, b), np.where(sig[a] < sig[b], b, a)
+                for col, v in zip(out, (sig[a], n[a], sig[b], n[b]), strict=True):
+                    col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "an", "b", "bn"])
 
         now, group = None, []
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            for *row, toks in zip(*cols, b.column(7), strict=True):
-                if tuple(row[:3]) != now:
+            for row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:3] != now:
                     if group:
                         yield settle(group)
-                    now, group = tuple(row[:3]), []
-                group.append((*row, toks.values.to_numpy()))
+                    now, group = row[:3], []
+                group.append(row)
         if group:
             yield settle(group)
 
     keys = ["tok", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, schema("a bigint, b bigint"))
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        compare, schema("a bigint, an bigint, b bigint, bn bigint")).distinct()
 
 
 def _links(frags: DataFrame, percent: int) -> DataFrame:
@@ -379,7 +376,8 @@ def _links(frags: DataFrame, percent: int) -> DataFrame:
     costs some comparisons per member, not one per pair. A pair is left out
     when links so far connect the two (they carry the same mark), or when the
     sizes of their frequency classes rule the threshold out. After the rounds
-    of ``PIVOTS`` all pairs that are left are compared, in blocks.
+    of ``PIVOTS`` all pairs that are left are compared, in blocks by their
+    fragment sizes and then exactly.
     """
     spark = frags.sparkSession
     cuts = frags.where("v is not null").select("sig", "v", "toks")
@@ -388,16 +386,21 @@ def _links(frags: DataFrame, percent: int) -> DataFrame:
     nodes = heads.select("sig", "n", "sizes", F.col("sig").alias("mark"))
     links = spark.createDataFrame([], schema("a bigint, b bigint"))
     most = F.expr("aggregate(zip_with(asizes, bsizes, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)")
+    compared = 1  # buckets of so many members need no more
     for k, pivots in enumerate((*PIVOTS, None)):
         cur = bucket.join(nodes.select("sig", "mark"), "sig")
-        mixed = cur.groupBy("tok").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("tok")
+        mixed = cur.groupBy("tok").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count(F.lit(1)).alias("members"))
+        mixed = mixed.where("lo <> hi").where(F.col("members") > compared).select("tok", "members")
         left = staged(cur.join(mixed, "tok"), "buckets")
         if left.isEmpty():
             break
         if pivots is None:
-            links = links.unionAll(staged(_full(left, heads, percent), "links"))
+            links = links.unionAll(staged(_linked(_full(left, heads, percent), cuts, percent), "links"))
             break
-        few = left.groupBy("tok", F.pmod(F.xxhash64("sig", F.lit(k)), F.lit(pivots)).alias("slot")).agg(F.min("sig").alias("a"))
+        # of a bucket with no more members all are taken, so all its pairs are compared
+        slot = F.when(F.col("members") > pivots, F.pmod(F.xxhash64("sig", F.lit(k)), F.lit(pivots))).otherwise(F.col("sig"))
+        few = left.groupBy("tok", slot.alias("slot")).agg(F.min("sig").alias("a"))
+        compared = pivots
         pairs = left.join(few, "tok").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b"))
         ends = [nodes.select(F.col("sig").alias(e), F.col("n").alias(f"{e}n"), F.col("sizes").alias(f"{e}sizes"),
                              F.col("mark").alias(f"{e}mark")) for e in "ab"]
