@@ -21,11 +21,11 @@ from ventanilla.llm.common import schema, staged
 #: Fixed values of the registered query: scale of a component, results per query, queries' divisor.
 SCALE, K, EVERY = 256, 5, 50
 #: Vectors and queries in a block; low bits of a component that a posting's value leaves out.
-BLOCK, QUERY_BLOCK, SHIFT = 4096, 128, 3
+BLOCK, QUERY_BLOCK, SHIFT = 16384, 128, 3
 #: Components are held to this size, so that inner products stay in 64 bits.
 LIMIT = 2 ** 23
 #: Shares of the postings after which the bounds are looked at; so few vectors are rescored at once.
-LOOKS, FEW = (0.3, 0.45, 0.6, 0.7, 0.8, 0.9, 1.0), 64
+LOOKS, FEW = (0.5, 0.7, 0.85, 1.0), 256
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
