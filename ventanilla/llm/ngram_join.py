@@ -238,10 +238,9 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
     another shares one of its first ``n - ceil(n * percent / 100) + 1``.
     """
 
-    def one(sig: int, got: list) -> tuple[list, ...]:
-        n, often = next((n, o) for n, o, t, _ in got if t is None)
-        toks = np.concatenate([np.frombuffer(t, "<i8") for _, _, t, _ in got if t is not None] or [np.empty(0, np.int64)])
-        rank = np.concatenate([np.frombuffer(r, "u1") for _, _, t, r in got if t is not None] or [np.empty(0, "u1")])
+    def one(sig: int, n: int, often: bytes, shares: list | None) -> tuple[list, ...]:
+        toks = np.frombuffer(b"".join(x["toks"] for x in shares or ()), "<i8")
+        rank = np.frombuffer(b"".join(x["ranks"] for x in shares or ()), "u1")
         listed = np.frombuffer(often, "<u4").astype(np.int64)
         toks = np.concatenate((toks, -1 - listed))
         rank = np.concatenate((rank, np.full(len(listed), CLASSES - 1, "u1"))).astype(np.int64)
@@ -251,7 +250,7 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
         v = rank * RANGES + np.where(toks < 0, 0, (toks >> 40) * RANGES // fragments)
         vs, lists, sizes, heads = [None], [toks], [np.bincount(rank, minlength=CLASSES).tolist()], [prefix]
         part = (toks.view(np.uint64) * _MIX >> np.uint64(32)).astype(np.int64) % FRAGMENTS
-        parts = [np.minimum(np.bincount(part, minlength=FRAGMENTS), 65535).astype("<u2").tobytes()]
+        parts = [np.bincount(part, minlength=FRAGMENTS).astype("<u4").tobytes()]
         cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist() + [len(v)]
         for a, b in zip(cut, cut[1:]):
             vs.append(int(v[a]))
@@ -263,7 +262,6 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
-        now, got = None, []
 
         def flush() -> pa.RecordBatch:
             lists = [x.tolist() for x in out[3]]
@@ -277,22 +275,15 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
             return r
 
         for b in batches:
-            for sig, *rest in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if sig != now:
-                    if got:
-                        for col, x in zip(out, one(now, got), strict=True):
-                            col += x
-                    now, got = sig, []
-                    if len(out[0]) > 2000:
-                        yield flush()
-                got.append(rest)
-        if got:
-            for col, x in zip(out, one(now, got), strict=True):
-                col += x
+            for row in zip(*b.columns, strict=True):
+                for col, x in zip(out, one(*(v.as_py() for v in row)), strict=True):
+                    col += x
+                if len(out[0]) > 2000:
+                    yield flush()
         yield flush()
 
-    return (rows.repartition("sig").sortWithinPartitions("sig").select("sig", "n", "often", "toks", "ranks")
-            .mapInArrow(run, schema("sig bigint, n bigint, v int, toks array<bigint>, sizes array<int>, prefix int, parts binary")))
+    return rows.mapInArrow(run, schema(
+        "sig bigint, n bigint, v int, toks array<bigint>, sizes array<int>, prefix int, parts binary"))
 
 
 def _linked(pairs: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +330,7 @@ def _full(left: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         def settle(group: list[tuple]) -> pa.RecordBatch:
             own = np.array([g[3] for g in group])
             sig, mark, n = (np.array([g[k] for g in group], np.int64) for k in (4, 5, 6))
-            parts = np.frombuffer(b"".join(g[7] for g in group), "<u2").reshape(len(group), FRAGMENTS)
+            parts = np.frombuffer(b"".join(g[7] for g in group), "<u4").reshape(len(group), FRAGMENTS)
             marks, times = np.unique(mark, return_counts=True)
             odd = np.flatnonzero(mark != marks[times.argmax()])
             out = [[], [], [], []]
@@ -434,19 +425,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     fragments = max(8, -(-expected // PER_FRAGMENT))
     told = staged(_count_fragments(_deal(rows, words, often, fragments)), "ngrams")
     info, parts = told.where("toks is null"), told.where("toks is not null")
-    null = F.lit(None).cast("bigint")
     sets = staged(info.where("sig is not null").groupBy("sig").agg(
         F.max("n").alias("n"), F.min(F.when(F.col("doc") != F.lit(-(2 ** 63)).cast("bigint"), F.col("doc"))).alias("low"),
         F.first("often").alias("often")), "sets")
     # every n-gram a set shares with any other set, summed over the fragments
-    live = parts.groupBy("sig").agg(F.sum("n").alias("live"))
-    able = sets.join(live, "sig", "left").where(
-        (F.coalesce("live", F.lit(0)) + F.length("often") / 4) * 100 >= F.col("n") * percent).select("sig", "n", "often")
-    able = staged(able, "able")
-    both = (able.select("sig", "n", "often", F.lit(None).cast("binary").alias("toks"), F.lit(None).cast("binary").alias("ranks"))
-            .unionAll(parts.join(able.select("sig"), "sig", "left_semi").select(
-                "sig", null.alias("n"), F.lit(None).cast("binary").alias("often"), "toks", "ranks")))
-    frags = staged(_fragments_of_sets(both, percent, fragments), "fragments")
+    shares = parts.groupBy("sig").agg(F.sum("n").alias("live"), F.collect_list(F.struct("toks", "ranks")).alias("shares"))
+    able = sets.join(shares, "sig", "left").where(
+        (F.coalesce("live", F.lit(0)) + F.length("often") / 4) * 100 >= F.col("n") * percent)
+    frags = staged(_fragments_of_sets(able.select("sig", "n", "often", "shares"), percent, fragments), "fragments")
     roots = connected(_links(frags, percent))
     named = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
