@@ -150,11 +150,13 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            clean = [None if t is None else redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
-            cols = [b.column(i) for i in range(b.num_columns)]
-            cols[at] = pa.array(clean, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                b = batch.slice(a, 1000)
+                clean = [None if t is None else redact(t, find_spans(t)) for t in b.column(at).to_pylist()]
+                cols = [b.column(i) for i in range(b.num_columns)]
+                cols[at] = pa.array(clean, b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -33,7 +33,9 @@ CLASSES = 64
 #: Worst words of a text that its score sees, and the margin that stands for a missing one.
 WORST, NONE = 3, -2.0
 #: Words whose margin a task remembers.
-CACHE = 400_000
+CACHE = 150_000
+#: Rows of a batch that are handled at a time.
+ROWS = 1000
 
 #: Three or more single characters in a row are read as one word.
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -157,8 +159,8 @@ class WordMargins:
             self.known = {}
         known = self.known
         new = list(set().union(*bags).difference(known)) if bags else []
-        for a in range(0, len(new), 100_000):
-            part = new[a:a + 100_000]
+        for a in range(0, len(new), 20_000):
+            part = new[a:a + 20_000]
             known.update(zip(part, margins(part, self.theta, self.bias).tolist(), strict=True))
         out = np.full((len(texts), WORST + 1), NONE)
         for row, bag in zip(out, bags, strict=True):
@@ -168,7 +170,7 @@ class WordMargins:
         return out
 
 
-def _chunks(texts, most: int = 1 << 23):
+def _chunks(texts, most: int = 1 << 21):
     """Texts of an Arrow column in lists of about ``most`` characters."""
     part, size = [], 0
     for t in texts:
@@ -299,8 +301,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
         m = sent.value
         known, w = WordMargins(m["theta"], m["bias"]), m["weights"]
         for b in batches:
-            x = [known.worst(["" if t is None else t for t in part]) for part in _chunks(b.column(at).fill_null(""))]
-            if x:
-                yield b.filter(pa.array(np.concatenate(x) @ w[:-1] + w[-1] < 0))
+            for a in range(0, b.num_rows, ROWS):
+                rows = b.slice(a, ROWS)
+                x = [known.worst(part) for part in _chunks(rows.column(at).fill_null(""))]
+                yield rows.filter(pa.array(np.concatenate(x) @ w[:-1] + w[-1] < 0))
 
     return docs.mapInArrow(run, docs.schema)
