@@ -384,6 +384,14 @@ def test_toxicity_without_both_classes(spark):
     assert toxicity.toxicity_report(docs(spark, []), lab.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1), (2, 1)], [(1, 1), (2, 0)]])
+def test_nothing_to_learn_from_rejects_nothing(spark, labels):
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    df = docs(spark, [(1, "a text"), (2, "other words"), (3, None), (None, "more words")])
+    assert out(toxicity.drop_toxic(df, lab), "doc_id", "text") == out(df, "doc_id", "text")
+    assert out(toxicity.toxicity_report(df, lab), "predicted") == [(0,)] * 4
+
+
 # --- 10 ----------------------------------------------------------------------
 
 def test_top_k_equals_brute_force(spark, monkeypatch):

@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model, from a bounded sample of the labelled rows that are not held out.
 
     ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, toxic``. Rows with
-    a null label or id are left out. With one class only, every text scores 0.5.
+    a null label or id are left out. With one class only, or no telling word,
+    there is no evidence: every text scores 0.5 and none is toxic.
     """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(rows["toxic"].isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -283,17 +284,22 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Null text counts as empty; a text without words gets the score of no
-    evidence; a null id counts as held out; repeated rows score alike; an
-    empty table gives no rows; other columns are not read.
+    Predicted toxic is a score above 0.5: a model that found nothing to learn
+    from scores 0.5 and predicts 0. Null text counts as empty; a text without
+    words gets the score of no evidence; a null id counts as held out;
+    repeated rows score alike; an empty table gives no rows; other columns are
+    not read.
     """
     rows = id_and_text(docs)
     scored = score_texts(rows, train(rows, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") > 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, columns as they were."""
+    """The rows of ``docs`` that the model does not reject, columns as they were.
+
+    A model that found nothing to learn from rejects none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(id_and_text(docs), labels))
     at = docs.columns.index(text_col)
 
@@ -304,6 +310,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
             for a in range(0, b.num_rows, ROWS):
                 rows = b.slice(a, ROWS)
                 x = [known.worst(part) for part in _chunks(rows.column(at).fill_null(""))]
-                yield rows.filter(pa.array(np.concatenate(x) @ w[:-1] + w[-1] < 0))
+                yield rows.filter(pa.array(np.concatenate(x) @ w[:-1] + w[-1] <= 0))
 
     return docs.mapInArrow(run, docs.schema)
