@@ -133,6 +133,17 @@ def test_ngram_empty_table_and_keeping_one(spark):
     assert out(kept, "doc_id") == [(0,), (20,), (21,), (22,)]
 
 
+def test_keeping_one_goes_by_text_where_ids_are_null_or_repeated(spark):
+    copies = near_copies(4, 60, 1, 6)
+    rows = EDGES + [(None, "another null id"), (None, "another null id"), (None, "same text twice"), (4, "an unrelated text under id 4"),
+                    (None, copies[0]), (7, copies[1]), (6, copies[2]), (6, copies[3]), (6, "one more text")]
+    kept = out(ngram_join.keep_one_of_each(docs(spark, rows)), "doc_id", "text")
+    six = [r for r in kept if r[1] in copies]
+    assert len(six) == 1 and six[0] in [(6, copies[2]), (6, copies[3])]
+    want = [*EDGES[:4], (None, "another null id"), (4, "same text twice"), (4, "an unrelated text under id 4"), (6, "one more text")]
+    assert [r for r in kept if r not in six] == sorted(want, key=repr)
+
+
 def test_hopeful_pairs_lose_no_link():
     rng = np.random.default_rng(0)
     sets = [set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]

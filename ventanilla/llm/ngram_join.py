@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ventanilla.llm.common import connected, id_and_text, known_id, real_id, schema, staged
+from ventanilla.llm.common import NULL_ID, connected, id_and_text, known_id, real_id, schema, staged
 
 #: Words in an n-gram, least Jaccard similarity in percent.
 WORDS, PERCENT = 5, 75
@@ -64,6 +65,11 @@ def ngram_set(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
     return v[np.concatenate(([True], v[1:] != v[:-1]))]
 
 
+def signature(grams: np.ndarray) -> int | None:
+    """Identifies a set of n-grams; an empty one has none."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+
+
 def _sample(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Hashes of n-grams frequent in a bounded sample of documents, and the n-grams expected in all."""
     total = docs.count()
@@ -127,12 +133,11 @@ def _deal(docs: DataFrame, n: int, often: np.ndarray, fragments: int) -> DataFra
                 s = ngram_set(t.as_py(), cache, n)
                 doc.append(d)
                 size.append(len(s))
-                if not len(s):
-                    sig.append(None)
+                g = signature(s)
+                sig.append(g)
+                if g is None:
                     listed.append(None)
                     continue
-                g = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                sig.append(g)
                 at = np.searchsorted(often, s)
                 hit = often[np.minimum(at, len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
                 listed.append(at[hit].astype("<u4").tobytes())
@@ -420,7 +425,20 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     gives no rows; other columns are not read. N-grams are 64-bit hashes;
     inside a fragment 40 bits tell them apart.
     """
-    rows = id_and_text(docs, id_col, text_col).select(known_id().alias("doc"), "text")
+    info, named = _classes(id_and_text(docs, id_col, text_col).select(known_id().alias("doc"), "text"), words, percent)
+    lows = named.groupBy("root").agg(F.min("low").alias("component"))
+    groups = named.join(lows, "root").select("sig", "component")
+    return info.join(groups, "sig", "left").select(
+        real_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("sig").isNull(), real_id("doc")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``doc, text``: ``doc, sig, n`` per row, and ``sig, low, root`` per set.
+
+    ``low`` is the smallest id of the set's rows, null if they have none;
+    ``root`` names its component.
+    """
     often, expected = _sample(rows, words)
     fragments = max(8, -(-expected // PER_FRAGMENT))
     told = staged(_count_fragments(_deal(rows, words, often, fragments)), "ngrams")
@@ -435,25 +453,39 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     frags = staged(_fragments_of_sets(able.select("sig", "n", "often", "shares"), percent, fragments), "fragments")
     roots = connected(_links(frags, percent))
     named = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component"))
-    groups = named.join(lows, "root").select("sig", "component")
-    return info.join(groups, "sig", "left").select(
-        real_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("sig").isNull(), real_id("doc")).otherwise(F.col("component")).alias("component_id"))
+    return info, named
+
+
+def _signed(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``__sig``, the signature of each text's set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            sigs = [signature(ngram_set(t.as_py() or "", cache, n)) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.int64())], names=[*b.schema.names, "__sig"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sig", T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest id of each, one row of it.
+    """One row of ``docs`` for each group of linked texts: one with the group's smallest id.
 
-    Documents without n-grams link with nothing and all stay.
+    The texts decide what a group is: of rows with a null or repeated id only
+    those that link are one group. A group with no other id is stood for by a
+    row with a null id. Where the smallest id has several sets, the smallest
+    signature stays. Documents without n-grams link with nothing and all stay.
     """
-    groups = near_duplicate_groups(docs, words, percent)
-    keep = groups.where("n_shingles > 0 AND (doc_id <=> component_id)").select(F.col("doc_id").alias("__kept")).distinct()
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    _, named = _classes(id_and_text(docs).select(known_id().alias("doc"), "text"), words, percent)
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sig")).alias("first")
+    keep = named.groupBy("root").agg(first).select(
+        F.col("first.sig").alias("__sig"), F.coalesce("first.low", F.lit(NULL_ID).cast("bigint")).alias("__doc"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
-    alone = docs.where(blank)
-    rest = docs.where(~blank).alias("d").join(keep, F.col("d.doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*cols)
-    return alone.unionAll(rest.dropDuplicates(["doc_id"]))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rest = _signed(docs.where(~blank), words).withColumn("__doc", known_id())
+    kept = rest.dropDuplicates(["__sig", "__doc"]).join(keep, ["__sig", "__doc"], "left_semi").select(*cols)
+    return docs.where(blank).unionAll(kept)
 
 
 NGRAM_SQL = r"""
