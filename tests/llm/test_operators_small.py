@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -424,3 +425,27 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert out(topk_search.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk_search.top_k(df.limit(0)).count() == 0
     assert topk_search.top_k(spark.createDataFrame(rows[:3], df.select("vec_id", "embedding").schema)).count() == 2
+
+
+def test_top_k_of_large_components_equals_the_sql(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((120, 6)) * rng.choice([1.0, 300.0, 30_000.0, 60_000.0], (120, 1))
+    x[100], x[101], x[102] = 90_000.0, 90_001.0, 32_768.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = [tuple(int(c) for c in r) for r in con.sql(f"SELECT query_id, rank, vec_id, score FROM ({topk_search.TOP_SQL})").fetchall()]
+    assert out(topk_search.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_top_k_beyond_double_precision_and_64_bits(spark):
+    # products of 2**96, whose rounding hides the third component, cancel
+    rows = [(0, [2.0 ** 40, -2.0 ** 40, 1.0])] + [(i, [2.0 ** 40, 2.0 ** 40, float(i % 7)]) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = out(topk_search.top_k(df), "rank", "vec_id", "score")
+    best = sorted((-(256 * 256 * (i % 7)), i) for i in range(1, 30))[:5]
+    assert got == [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    with pytest.raises(Exception, match="does not fit a bigint"):
+        topk_search.top_k(spark.createDataFrame([(0, [2.0 ** 40]), (1, [2.0 ** 40])], df.schema)).collect()
+    with pytest.raises(Exception, match="does not fit a bigint"):
+        topk_search.top_k(spark.createDataFrame([(0, [2.0 ** 40]), (1, [-2.0 ** 40])], df.schema)).collect()
