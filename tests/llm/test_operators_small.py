@@ -192,6 +192,35 @@ def test_near_vectors_equal_brute_force(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def brute_vectors(x, lab):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None])
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([min([comp[i], *comp[link[i]]]) for i in range(len(x))])
+        if (new == comp).all():
+            break
+        comp = new
+    return sorted(((i, int(link[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(len(x))), key=repr)
+
+
+def copies_of_copies(groups, each, seed):
+    """Tight subgroups around one vector, all of them mutually linked."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal(16)
+    tops = base + rng.standard_normal((groups, 16)) * 0.06
+    return np.vstack([t + rng.standard_normal((each, 16)) * 0.0005 for t in tops])
+
+
+def test_near_vectors_of_tight_subgroups_are_one_component(spark):
+    x = np.vstack((copies_of_copies(6, 12, 4), np.random.default_rng(5).standard_normal((30, 16))))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    want = brute_vectors(x, np.ones(len(x)))
+    assert len({c for i, _, c, _ in want if i < 72}) == 1
+    assert out(nn_descent.near_vectors(df), "vec_id", "n_links", "component_id", "kept") == want
+
+
 # --- 4 -----------------------------------------------------------------------
 
 def brute_lines(rows):

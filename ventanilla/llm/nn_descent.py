@@ -1,9 +1,10 @@
 """Embedding near-duplicates by NN-descent.
 
 Random hyperplanes give every vector first neighbours; rounds then compare
-the neighbours of each vector with one another and keep the closest. Lists
-that are full of links are enlarged, recall is audited against brute force
-on a bounded sample, and the edges at the threshold stay.
+the neighbours of each vector with one another and keep the closest. Vectors
+whose lists are full of links are searched again for links out of their
+component, their components are counted in full, and recall is audited
+against brute force on a bounded sample.
 """
 
 from __future__ import annotations
@@ -75,13 +76,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFrame
         yield held
 
 
-def _first_neighbours(points: DataFrame, seed: int, tables: int, k: int) -> DataFrame:
-    """Closest vectors among those on the same side of some random hyperplanes, for several tables.
+def _leaves(points: DataFrame, seed: int, tables: int) -> DataFrame:
+    """``label, dims, tab, code, cut, node``: vectors on the same side of some random hyperplanes, for several tables.
 
     A label gets as many planes as bring its leaves to about ``LEAF``; a leaf
     of more than ``LEAF_MOST`` is cut at random, which rounds make up for.
     """
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.max(F.size("v")).alias("dims"))
+    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,13 +99,16 @@ def _first_neighbours(points: DataFrame, seed: int, tables: int, k: int) -> Data
                         [pa.array(g["label"]), pa.array(np.full(len(g), dims)), pa.array(np.full(len(g), table)),
                          pa.array(code), pa.array(g["node"])], names=["label", "dims", "tab", "code", "node"])
 
-    leaves = points.join(sizes.drop("dims"), "label").select("label", "size", "node", "v").mapInArrow(
-        side, schema("label string, dims bigint, tab bigint, code bigint, node bigint"))
+    leaves = staged(points.join(sizes, "label").select("label", "size", "node", "v").mapInArrow(
+        side, schema("label string, dims bigint, tab bigint, code bigint, node bigint")), "leaves")
     full = leaves.groupBy("label", "dims", "tab", "code").agg(F.ceil(F.count(F.lit(1)) / LEAF_MOST).cast("int").alias("cuts"))
-    placed = (leaves.join(full, ["label", "dims", "tab", "code"])
-              .withColumn("cut", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("cuts")))
-              .join(points.select("node", "v"), "node")
-              .select("label", "dims", "tab", "code", "cut", "node", "v"))
+    return (leaves.join(full, ["label", "dims", "tab", "code"])
+            .withColumn("cut", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("cuts")))
+            .select("label", "dims", "tab", "code", "cut", "node"))
+
+
+def _first_neighbours(points: DataFrame, seed: int, tables: int, k: int) -> DataFrame:
+    """Closest vectors of each leaf."""
     keys = ["label", "dims", "tab", "code", "cut"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +117,50 @@ def _first_neighbours(points: DataFrame, seed: int, tables: int, k: int) -> Data
                 x = _matrix(g["v"])
                 yield _best(g["node"].to_numpy(np.int64), x @ x.T, k)
 
+    placed = _leaves(points, seed, tables).join(points.select("node", "v"), "node").select(*keys, "node", "v")
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, schema("a bigint, b bigint, sim double"))
 
 
+def _joining(hit: np.ndarray, one: tuple, two: tuple) -> tuple[list, list]:
+    """Of the links of two blocks ``(nodes, roots)`` as few as join all the components that they join."""
+    i, j = np.nonzero(hit & (one[1][:, None] != two[1][None]))
+    if not len(i):
+        return [], []
+    pairs, first = np.unique(np.stack((one[1][i], two[1][j])), axis=1, return_index=True)
+    top: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while top.setdefault(r, r) != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    a, b = [], []
+    for p, q, at in zip(*pairs.tolist(), first.tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            top[p] = q
+            a.append(int(one[0][i[at]]))
+            b.append(int(two[0][j[at]]))
+    return a, b
+
+
+def _across(full: DataFrame, points: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` between different components among the vectors ``full (node, root)``, from leaves of fresh tables."""
+    keys = ["label", "dims", "tab", "code", "cut"]
+    held = staged(full.join(points.select("node", "label", "v"), "node"), "full")
+    several = held.groupBy("label").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("label")
+    held = held.join(several, "label")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _runs(batches, 5):
+            x, own = _matrix(g["v"]), (g["node"].to_numpy(np.int64), g["root"].to_numpy(np.int64))
+            a, b = _joining(x @ x.T >= threshold, own, own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    placed = _leaves(held.select("node", "label", "v"), seed, TABLES).join(held.select("node", "root", "v"), "node").select(*keys, "node", "root", "v")
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, schema("a bigint, b bigint"))
+
+
 def _lists(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` closest of every vector, of edges seen from both ends."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
@@ -148,36 +193,44 @@ def _round(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return meet.repartition("m").sortWithinPartitions("m").mapInArrow(near, schema("a bigint, b bigint, sim double"))
 
 
-def _enlarged(full: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
-    """Links of every member of a component with full lists to other points: ``node, n``, block against block.
+def _compared(members: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of each group of ``members (grp, root, node)``, block against block.
 
-    All links of a vector lie in its component, so a full list is enlarged to
-    the whole component, and only the counts leave the tasks.
+    Rows ``node, n, other``: the links ``n`` of a node in a block (``other``
+    null), and links between different roots, as few as join what they join.
     """
-    held = staged(full.join(points.select("node", "v", "copies"), "node").select("root", "node", "v", "copies"), "full")
-    sizes = held.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
-    cut = held.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    # a block meets every block of its component: one copy of each row per block
+    held = staged(members.join(points.select("node", "v", "copies"), "node").select("grp", "root", "node", "v", "copies"), "full")
+    sizes = held.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    cut = held.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    # a block meets every block of its group: one copy of each row per block
     dealt = cut.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "root", F.col("task").cast("bigint").alias("task"), F.col("own").cast("bigint").alias("own"), "node", "copies", "v")
+        "grp", F.col("task").cast("bigint").alias("task"), F.col("own").cast("bigint").alias("own"), "root", "node", "copies", "v")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, key = None, None
-        for g in _runs(batches, 4):  # root, task, other (0: the task's own block), own
+        for g in _runs(batches, 4):  # grp, task, other (0: the task's own block), own
+            now = (g["node"].to_numpy(np.int64), g["root"].to_numpy(np.int64))
             if g.iloc[0, 2] == 0:
-                key, mine = (g.iloc[0, 0], g.iloc[0, 1]), (g["node"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), _matrix(g["v"]))
+                key, mine = (g.iloc[0, 0], g.iloc[0, 1]), (*now, _matrix(g["v"]))
             if key != (g.iloc[0, 0], g.iloc[0, 1]):
                 continue
             hit = mine[2] @ _matrix(g["v"]).T >= threshold
             if g.iloc[0, 2] == 0:
                 np.fill_diagonal(hit, False)
             n = hit @ g["copies"].to_numpy(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mine[0]), pa.array(n)], names=["node", "n"])
+            a, b = _joining(hit, mine, now)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*mine[0].tolist(), *a], pa.int64()), pa.array([*n.tolist(), *[None] * len(a)], pa.int64()),
+                 pa.array([*[None] * len(n), *b], pa.int64())], names=["node", "n", "other"])
 
-    keys = ["root", "task", "other", "own"]
+    keys = ["grp", "task", "other", "own"]
     ordered = dealt.withColumn("other", (F.col("task") != F.col("own")).cast("bigint"))
-    return (ordered.select(*keys, "node", "copies", "v").repartition("root", "task").sortWithinPartitions(*keys)
-            .mapInArrow(count, schema("node bigint, n bigint")).groupBy("node").agg(F.sum("n").alias("n")))
+    return ordered.select(*keys, "root", "node", "copies", "v").repartition("grp", "task").sortWithinPartitions(*keys).mapInArrow(
+        count, schema("node bigint, n bigint, other bigint"))
+
+
+def _counts(compared: DataFrame) -> DataFrame:
+    return compared.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def _audit(points: DataFrame, edges: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -221,7 +274,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         "node", F.when(F.col("known"), F.xxhash64("label", "v")))
     points = staged(rows.where("known").groupBy("node").agg(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low")), "points")
-    lists, total, edges, roots, counts = None, points.count() * k, None, None, None
+    lists, total, roots, counts = None, points.count() * k, None, None
     for k_round in range(ROUNDS):
         fresh = _first_neighbours(points, 1 + k_round, TABLES, k) if lists is None or k_round > 1 else None
         if lists is None:
@@ -235,10 +288,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         edges = staged(lists.where(F.col("sim") >= threshold).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         roots = staged(connected(edges), "roots")
-        # a list whose last place is a link may miss others
-        full = lists.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("node"))
-        wide = roots.join(full, "node").select("root").distinct()
-        many = _enlarged(roots.join(wide, "root").select("root", "node"), points, threshold)
+        # a list whose last place is a link may miss others; a link between two lists is missed only where both are full
+        full = staged(lists.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("node")), "full-lists")
+        joined, seed = edges, 100 * (1 + k_round)
+        while True:
+            new = staged(_across(roots.join(full, "node").select("node", "root"), points, seed, threshold), "across")
+            if new.isEmpty():
+                break
+            joined, seed = joined.unionAll(new), seed + 1
+            roots = staged(connected(joined), "roots")
+        wide = staged(roots.join(full, "node").select("root").distinct(), "wide")
+        many = _counts(_compared(roots.join(wide, "root").select(F.col("root").alias("grp"), "root", "node"), points, threshold))
         ends = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         few = (ends.join(roots.join(wide, "root", "left_anti"), ends["a"] == F.col("node")).select("a", "b")
                .join(points.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
