@@ -221,6 +221,23 @@ def test_near_vectors_of_tight_subgroups_are_one_component(spark):
     assert out(nn_descent.near_vectors(df), "vec_id", "n_links", "component_id", "kept") == want
 
 
+def test_near_vectors_go_on_until_few_small_pairs_are_found(spark, monkeypatch):
+    # one dense group whose links outnumber those of some pairs; leaves so small that a search finds few of these
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "LEAF", 4)
+    monkeypatch.setattr(nn_descent, "LEAF_MOST", 8)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((400, 16))
+    x = np.vstack((base, base[:40] + rng.standard_normal((40, 16)) * 0.1, base[50] + rng.standard_normal((60, 16)) * 0.04))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = out(nn_descent.near_vectors(df), "vec_id", "n_links", "component_id", "kept")
+    want = brute_vectors(x, np.ones(len(x)))
+    missed = [min(g[1], w[1]) / w[1] for g, w in zip(got, want) if w[1]]
+    assert sum(missed) / len(missed) >= nn_descent.RECALL
+    monkeypatch.setattr(nn_descent, "ROUNDS", 1)  # rounds that reach nothing: all are compared
+    assert out(nn_descent.near_vectors(df), "vec_id", "n_links", "component_id", "kept") == want
+
+
 # --- 4 -----------------------------------------------------------------------
 
 def brute_lines(rows):

@@ -4,7 +4,8 @@ Random hyperplanes give every vector first neighbours; rounds then compare
 the neighbours of each vector with one another and keep the closest. Vectors
 whose lists are full of links are searched again for links out of their
 component, their components are counted in full, and recall is audited
-against brute force on a bounded sample.
+against brute force on a bounded sample. Where rounds do not reach it, all
+vectors of a label are compared.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from ventanilla.llm.common import connected, schema, staged
 THRESHOLD = 0.98
 #: Neighbours kept per vector; first hash tables; vectors a leaf should hold and may hold.
 NEIGHBOURS, TABLES, LEAF, LEAF_MOST = 8, 4, 128, 512
-#: Rounds at most; a round that changes a smaller share of the lists is the last.
+#: Cells an overfull leaf is split into at most, levels of such splits, members that a task assigns.
+SPLIT, LEVELS, ASSIGNED = 64, 3, 4096
+#: Rounds before all are compared; a round that changes a smaller share of the lists is the last.
 ROUNDS, SETTLED = 4, 0.002
-#: Vectors audited against brute force, and the recall that ends the search.
-AUDIT, RECALL = 200, 0.97
+#: Vectors with links, and vectors of any kind, audited against brute force; the recall that ends the search.
+AUDIT, AUDIT_ANY, RECALL = 200, 4096, 0.97
 #: Vectors in a block when saturated lists are enlarged.
 BLOCK = 1024
 
@@ -80,7 +83,7 @@ def _leaves(points: DataFrame, seed: int, tables: int) -> DataFrame:
     """``label, dims, tab, code, cut, node``: vectors on the same side of some random hyperplanes, for several tables.
 
     A label gets as many planes as bring its leaves to about ``LEAF``; a leaf
-    of more than ``LEAF_MOST`` is cut at random, which rounds make up for.
+    of more than ``LEAF_MOST`` is split by ``_split``.
     """
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
@@ -101,12 +104,49 @@ def _leaves(points: DataFrame, seed: int, tables: int) -> DataFrame:
 
     leaves = staged(points.join(sizes, "label").select("label", "size", "node", "v").mapInArrow(
         side, schema("label string, dims bigint, tab bigint, code bigint, node bigint")), "leaves")
+    leaves = _split(leaves, points, seed)
     full = leaves.groupBy("label", "dims", "tab", "code").agg(F.ceil(F.count(F.lit(1)) / LEAF_MOST).cast("int").alias("cuts"))
     return (leaves.join(full, ["label", "dims", "tab", "code"])
             .withColumn("cut", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("cuts")))
             .select("label", "dims", "tab", "code", "cut", "node"))
 
 
+def _split(leaves: DataFrame, points: DataFrame, seed: int) -> DataFrame:
+    """``leaves`` with overfull ones split: members go to the closest of some drawn by hash, level by level.
+
+    What is overfull after ``LEVELS`` is cut at random.
+    """
+    keys = ["label", "dims", "tab", "code"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, key = None, None
+        for g in _runs(batches, 6):  # label, dims, tab, code, salt, kind (0: drawn)
+            now = tuple(g.iloc[0, :5])
+            if g.iloc[0, 5] == 0:
+                key, drawn = now, (g["node"].to_numpy(np.int64), _matrix(g["v"]))
+                continue
+            code = g["code"].to_numpy(np.int64)
+            if key == now:
+                code = drawn[0][(_matrix(g["v"]) @ drawn[1].T).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(g["label"]), pa.array(g["dims"]), pa.array(g["tab"]), pa.array(code), pa.array(g["node"])],
+                                             names=[*keys, "node"])
+
+    for level in range(LEVELS):
+        big = staged(leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF_MOST), "overfull")
+        if big.isEmpty():
+            break
+        held = leaves.join(big, keys).withColumn("salts", F.ceil(F.col("size") / ASSIGNED))
+        cells = F.least(F.lit(SPLIT), F.ceil(F.col("size") * 2 / LEAF_MOST))
+        drawn = held.where(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(level)), F.col("size")) < cells)
+        rows = (drawn.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node")
+                .unionAll(held.select(*keys, F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "node")))
+        rows = rows.join(points.select("node", "v"), "node").select(*keys, "salt", "kind", "node", "v")
+        split = rows.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "kind", "node").mapInArrow(
+            assign, schema("label string, dims bigint, tab bigint, code bigint, node bigint"))
+        leaves = staged(leaves.join(big, keys, "left_anti").select(*keys, "node").unionAll(split), "leaves")
+    return leaves
+
+
 def _first_neighbours(points: DataFrame, seed: int, tables: int, k: int) -> DataFrame:
     """Closest vectors of each leaf."""
     keys = ["label", "dims", "tab", "code", "cut"]
@@ -233,28 +273,42 @@ def _counts(compared: DataFrame) -> DataFrame:
     return compared.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def _audit(points: DataFrame, edges: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of up to ``AUDIT`` vectors, found by brute force, that the graph counts."""
-    some = points.orderBy(F.xxhash64("node", F.lit(11))).limit(AUDIT).select("node", "label", "v").toPandas()
-    if not len(some):
+def _audit(points: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """Mean share, per vector, of its links by brute force that the graph counts.
+
+    Up to ``AUDIT_ANY`` vectors of any kind and up to ``AUDIT`` of those that
+    have links are looked at; the worse of the two means counts. Vectors
+    without a link have no share in a mean.
+    """
+    order = F.xxhash64("node", F.lit(11))
+    some = points.orderBy(order).limit(AUDIT_ANY).select("node", F.lit(0).alias("kind")).unionAll(
+        counts.where("n > 0").orderBy(order).limit(AUDIT).select("node", F.lit(1).alias("kind")))
+    some = staged(some, "audit")
+    asked_rows = some.select("node").distinct().join(points.select("node", "label", "v"), "node").toPandas()
+    if not len(asked_rows):
         return 1.0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {key: (g["node"].to_numpy(np.int64), _matrix(g["v"])) for key, g in some.groupby(["label", some["v"].map(len)])}
+        asked = {key: (g["node"].to_numpy(np.int64), _matrix(g["v"]))
+                 for key, g in asked_rows.groupby(["label", asked_rows["v"].map(len)])}
+        found = {key: np.zeros(len(ids), np.int64) for key, (ids, _) in asked.items()}
         for b in batches:
-            t = b.to_pandas()
-            for key, g in t.groupby(["label", t["v"].map(len)]):
-                if key in asked:
-                    ids, x = asked[key]
-                    hit = x @ _matrix(g["v"]).T >= threshold
-                    hit &= ids[:, None] != g["node"].to_numpy(np.int64)[None]
-                    n = (hit * g["copies"].to_numpy(np.int64)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["node", "n"])
+            for at in range(0, b.num_rows, 512):
+                t = b.slice(at, 512).to_pandas()
+                for key, g in t.groupby(["label", t["v"].map(len)]):
+                    if key in asked:
+                        ids, x = asked[key]
+                        hit = x @ _matrix(g["v"]).T >= threshold
+                        hit &= ids[:, None] != g["node"].to_numpy(np.int64)[None]
+                        found[key] += hit @ g["copies"].to_numpy(np.int64)
+        for key, n in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[key][0]), pa.array(n)], names=["node", "n"])
 
     true = points.select("node", "label", "v", "copies").mapInArrow(scan, schema("node bigint, n bigint")).groupBy("node").agg(F.sum("n").alias("n"))
-    got = true.where("n > 0").join(counts.withColumnRenamed("n", "got"), "node", "left").agg(
-        F.sum("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0))))).first()
-    return 1.0 if not got[0] else float(got[1]) / float(got[0])
+    share = F.least("n", F.coalesce("got", F.lit(0))) / F.col("n")
+    got = (some.join(true.where("n > 0"), "node").join(counts.withColumnRenamed("n", "got"), "node", "left")
+           .groupBy("kind").agg(F.avg(share).alias("recall")).collect())
+    return min([r["recall"] for r in got], default=1.0)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS,
@@ -268,7 +322,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     so many copies, repeated rows included; each copy counts as a link.
     ``component_id`` is the smallest linked id; an empty table gives no rows;
     other columns are not read. Every link reported holds; the search is
-    approximate and ends when the audited recall reaches ``RECALL``.
+    approximate and ends when the audited recall reaches ``RECALL``; if that
+    takes more than ``ROUNDS``, all vectors of a label are compared.
     """
     rows = sound_vectors(vectors, id_col, vector_col, label_col).withColumn(
         "node", F.when(F.col("known"), F.xxhash64("label", "v")))
@@ -304,8 +359,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
                .join(points.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
                .select(F.col("a").alias("node"), "n"))
         counts = staged(few.unionAll(many), "counts")
-        if _audit(points, edges, counts, threshold) >= RECALL:
+        if _audit(points, counts, threshold) >= RECALL:
             break
+    else:
+        own = points.join(roots, "node", "left") if roots is not None else points.withColumn("root", F.col("node"))
+        members = own.select(F.xxhash64("label", F.size("v")).alias("grp"), F.coalesce("root", "node").alias("root"), "node")
+        whole = staged(_compared(members, points, threshold), "compared")
+        counts = staged(_counts(whole), "counts")
+        links = whole.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        if roots is not None:
+            links = links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = staged(connected(links), "roots")
     named = points.select("node", "copies", "low").join(roots, "node", "left").join(counts, "node", "left").select(
         "node", "low", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
