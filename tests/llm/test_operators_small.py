@@ -145,6 +145,14 @@ def test_keeping_one_goes_by_text_where_ids_are_null_or_repeated(spark):
     assert [r for r in kept if r not in six] == sorted(want, key=repr)
 
 
+def test_ngrams_that_share_low_bits_of_their_hash_differ(spark, monkeypatch):
+    one = 0x123456789ABCDEF0
+    made = {"one text": one, "two texts": one ^ 1 << 41, "one text again": one}
+    monkeypatch.setattr(ngram_join, "ngram_set", lambda text, hashes, n: np.array([made[text]], np.uint64))
+    got = out(ngram_join.near_duplicate_groups(docs(spark, [(i, t) for i, t in enumerate(made)])), "doc_id", "component_id")
+    assert got == [(0, 0), (1, 1), (2, 0)]
+
+
 def test_hopeful_pairs_lose_no_link():
     rng = np.random.default_rng(0)
     sets = [set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]

@@ -119,10 +119,9 @@ def _deal(docs: DataFrame, n: int, often: np.ndarray, fragments: int) -> DataFra
             for a, b in zip(cut, cut[1:]):
                 first = np.flatnonzero(np.concatenate(([True], own[a + 1:b] != own[a:b - 1])))
                 counts = np.diff(np.append(first, b - a)).astype("<i4")
-                low = h[a:b] & np.uint64((1 << 40) - 1)
                 part.append(int(frag[a]))
                 body.append(np.int32(len(first)).tobytes() + sig[own[a + first]].tobytes() + counts.tobytes()
-                            + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("u1").tobytes())
+                            + (h[a:b] >> np.uint64(1)).astype("<i8").tobytes())
             none = [None] * len(part)
             return rows(part, none, none, none, none, body)
 
@@ -161,19 +160,18 @@ def _deal(docs: DataFrame, n: int, often: np.ndarray, fragments: int) -> DataFra
 def _count_fragments(dealt: DataFrame) -> DataFrame:
     """Per fragment and set: its n-grams that other sets hold too, with their frequency class.
 
-    Document rows pass through. ``toks`` are int64 (fragment, then hash),
+    Document rows pass through. ``toks`` are the upper 63 bits of the hashes,
     ``ranks`` the class ``floor(log2(number of sets))`` of each.
     """
 
-    def shared(part: int, bodies: list[bytes]) -> pa.RecordBatch | None:
+    def shared(bodies: list[bytes]) -> pa.RecordBatch | None:
         hs, ss = [], []
         for body in bodies:
             k = int(np.frombuffer(body, "<i4", 1)[0])
             sig = np.frombuffer(body, "<i8", k, 4)
             counts = np.frombuffer(body, "<i4", k, 4 + 8 * k)
             m, at = int(counts.sum()), 4 + 12 * k
-            hs.append(np.frombuffer(body, "<u4", m, at).astype(np.int64)
-                      | np.frombuffer(body, "u1", m, at + 4 * m).astype(np.int64) << 32)
+            hs.append(np.frombuffer(body, "<i8", m, at))
             ss.append(np.repeat(sig, counts))
         h, s = np.concatenate(hs), np.concatenate(ss)
         order = np.argsort(h, kind="stable")
@@ -195,7 +193,7 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
         if not len(h):
             return None
         order = np.lexsort((h, s))
-        h, s = h[order] | np.int64(part) << 40, s[order]
+        h, s = h[order], s[order]
         rank = np.minimum(np.log2(held[order]), CLASSES - 2).astype("u1")
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         cut = np.append(first, len(s))
@@ -218,12 +216,12 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
             t = t.filter(t["body"].is_valid())
             for p, body in zip(t["part"].to_pylist(), t["body"].to_pylist(), strict=True):
                 if p != part:
-                    got = shared(part, bodies) if bodies else None
+                    got = shared(bodies) if bodies else None
                     if got:
                         yield got
                     part, bodies = p, []
                 bodies.append(body)
-        got = shared(part, bodies) if bodies else None
+        got = shared(bodies) if bodies else None
         if got:
             yield got
 
@@ -252,7 +250,7 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
         order = np.lexsort((toks, rank))
         toks, rank = toks[order], rank[order]
         prefix = n - -(-n * percent // 100) + 1 - (n - len(toks))
-        v = rank * RANGES + np.where(toks < 0, 0, (toks >> 40) * RANGES // fragments)
+        v = rank * RANGES + np.where(toks < 0, 0, ((toks >> 39) * fragments >> 24) * RANGES // fragments)
         vs, lists, sizes, heads = [None], [toks], [np.bincount(rank, minlength=CLASSES).tolist()], [prefix]
         part = (toks.view(np.uint64) * _MIX >> np.uint64(32)).astype(np.int64) % FRAGMENTS
         parts = [np.bincount(part, minlength=FRAGMENTS).astype("<u4").tobytes()]
@@ -422,8 +420,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = WORDS, percent: int = PE
     (their component is their own id). Rows with equal sets, repeated rows
     included, are one class; a null id is never the smallest unless a
     component has no other, and then its component is null. An empty table
-    gives no rows; other columns are not read. N-grams are 64-bit hashes;
-    inside a fragment 40 bits tell them apart.
+    gives no rows; other columns are not read. N-grams are told
+    apart by 63 bits of their hashes.
     """
     info, named = _classes(id_and_text(docs, id_col, text_col).select(known_id().alias("doc"), "text"), words, percent)
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
