@@ -153,6 +153,14 @@ def test_ngrams_that_share_low_bits_of_their_hash_differ(spark, monkeypatch):
     assert got == [(0, 0), (1, 1), (2, 0)]
 
 
+def test_document_rows_of_equal_or_empty_texts_are_spread(spark):
+    rows = [(i, "the same text") for i in range(200)] + [(i, "") for i in range(200, 400)]
+    dealt = ngram_join._deal(docs(spark, rows).withColumnRenamed("doc_id", "doc"), 5, np.empty(0, np.uint64), 8).where("body is null")
+    for size in (0, 1):
+        held = [r["count"] for r in dealt.where(F.col("n") == size).groupBy("part").count().collect()]
+        assert sum(held) == 200 and len(held) == 8 and max(held) < 60
+
+
 def test_hopeful_pairs_lose_no_link():
     rng = np.random.default_rng(0)
     sets = [set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(60)]

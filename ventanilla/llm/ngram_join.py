@@ -151,7 +151,8 @@ def _deal(docs: DataFrame, n: int, often: np.ndarray, fragments: int) -> DataFra
             got = dealt(wait_sig, wait_set)
             if got:
                 yield got
-            yield rows([fragments + (g or 0) % fragments for g in sig], doc, sig, size, listed, [None] * len(doc))
+            # by set and id: neither copies of one text nor empty ones gather in one part
+            yield rows([fragments + ((g or 0) + d * 0x9E3779B97F4A7C15 >> 20) % fragments for g, d in zip(sig, doc, strict=True)], doc, sig, size, listed, [None] * len(doc))
 
     return docs.select("doc", "text").mapInArrow(
         run, schema("part int, doc bigint, sig bigint, n bigint, often binary, body binary"))
