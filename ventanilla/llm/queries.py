@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, suffix_dedup, topk_search, toxicity, url_filter
+from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, spelling, suffix_dedup, topk_search, toxicity, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -63,6 +63,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of ``documents`` with its form, root and number of near words."""
+    return spelling.spelling_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.LINE_SQL,
     "op6_url_filter": url_filter.URL_SQL,
     "op10_topk": topk_search.TOP_SQL,
+    "op11_spelling": spelling.SPELLING_SQL,
 }
