@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, spelling, suffix_dedup, topk_search, toxicity, url_filter
+from ventanilla.llm import conversation_repair, line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, spelling, suffix_dedup, topk_search, toxicity, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -68,6 +68,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every conversation of ``conversations``, damaged by the contract's rule."""
+    return conversation_repair.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
     "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
