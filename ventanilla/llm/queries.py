@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ventanilla.llm import conversation_repair, line_dedup, ngram_join, nn_descent, packing, pii, sentencepiece_fst, spelling, suffix_dedup, topk_search, toxicity, url_filter
+from ventanilla.llm import conversation_repair, line_dedup, mixing, ngram_join, nn_descent, packing, pii, sentencepiece_fst, spelling, suffix_dedup, topk_search, toxicity, url_filter
 from ventanilla.llm.common import read_table
 
 
@@ -73,6 +73,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of every row of ``documents`` in the mix of all sources."""
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_spelling": op11_spelling,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
