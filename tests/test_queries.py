@@ -10,6 +10,7 @@ import __spark_entry__ as E
 from ventanilla.plans.file_queries import FILE_QUERIES
 from ventanilla.plans.oracle import queries_sql
 from ventanilla.plans.queries import QUERIES
+from ventanilla.plans.store_queries import STORE_QUERIES
 from ventanilla.sources.tables import TABLES
 
 from conftest import SF_SMALL
@@ -37,7 +38,7 @@ def _key(cols, data):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) | set(FILE_QUERIES) == set(SQL)
+    assert set(QUERIES) | set(FILE_QUERIES) | set(STORE_QUERIES) == set(SQL)
     assert set(SQL) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 

@@ -139,9 +139,10 @@ def cr_by_terminal(facts: DataFrame, keys=("archivo_id",)) -> DataFrame:
 
 # --- P14 / J8: the dashboard row -----------------------------------------------
 
-def _sol_side(pick: DataFrame, sol_facts: DataFrame, group: list[str]) -> DataFrame:
+def _sol_side(pick: DataFrame, sol_facts: DataFrame, group: list[str], summary=file_summary) -> DataFrame:
+    """``summary`` aggregates what ``sol_facts`` holds per file: facts, or their partial states."""
     ids = pick.select(F.col("id").alias("archivo_id"))
-    summ = file_summary(sol_facts.join(ids, "archivo_id", "left_semi"))       # J5-style semi-join
+    summ = summary(sol_facts.join(ids, "archivo_id", "left_semi"))       # J5-style semi-join
     return pick.join(summ, pick.id == summ.archivo_id, "left").select(
         *group, F.lit(True).alias("_sol"), F.col("id").alias("archivo_id"),
         F.col("nombre_archivo").alias("fuente_sol"), F.col("tipo_periodo").alias("_per_sol"),
@@ -149,9 +150,9 @@ def _sol_side(pick: DataFrame, sol_facts: DataFrame, group: list[str]) -> DataFr
         "total_tramites", "promedio_mac", "funcionarios_activos")
 
 
-def _cr_side(pick: DataFrame, cr_facts: DataFrame, group: list[str]) -> DataFrame:
+def _cr_side(pick: DataFrame, cr_facts: DataFrame, group: list[str], summary=cr_summary) -> DataFrame:
     ids = pick.select(F.col("id").alias("archivo_id"))
-    summ = cr_summary(cr_facts.join(ids, "archivo_id", "left_semi"))
+    summ = summary(cr_facts.join(ids, "archivo_id", "left_semi"))
     return pick.join(summ, pick.id == summ.archivo_id, "left").select(
         *group, F.lit(True).alias("_cr"), F.col("nombre_archivo").alias("fuente_cr"),
         F.col("tipo_periodo").alias("_per_cr"), F.col("mac").alias("_mac_cr"),

@@ -6,7 +6,7 @@ result, so the cost is one scan regardless of the number of rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
@@ -61,15 +61,20 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str) -
                          F.col("huerfanos").cast("bigint")))
 
 
+def upload_reason(tipo: Column, mac: Column, expected: Column, role: Column, user_office: Column, admin_role: int = 1) -> Column:
+    """P20: why an upload is refused, null if it is not."""
+    admin = role == admin_role
+    return (F.when(expected.isNotNull() & (tipo != expected), F.lit("tipo_distinto"))
+             .when(~admin & (mac == C.UNKNOWN_OFFICE), F.lit("mac_desconocido"))
+             .when(~admin & user_office.isNull(), F.lit("usuario_sin_mac"))
+             .when(~admin & (mac != user_office), F.lit("mac_ajeno")))
+
+
 def upload_gate(uploads: DataFrame, admin_role: int = 1) -> DataFrame:
     """P20: accept or reject an upload: expected type, known office, the
     uploader's own office (administrators may upload any office)."""
     tipo = C.report_type_of("nombre_archivo")
     mac = C.office_of("nombre_archivo")
-    admin = F.col("role_id") == admin_role
-    reason = (F.when(F.col("tipo_esperado").isNotNull() & (tipo != F.col("tipo_esperado")), F.lit("tipo_distinto"))
-               .when(~admin & (mac == C.UNKNOWN_OFFICE), F.lit("mac_desconocido"))
-               .when(~admin & F.col("mac_usuario").isNull(), F.lit("usuario_sin_mac"))
-               .when(~admin & (mac != F.col("mac_usuario")), F.lit("mac_ajeno")))
+    reason = upload_reason(tipo, mac, F.col("tipo_esperado"), F.col("role_id"), F.col("mac_usuario"), admin_role)
     return uploads.select("id", mac.alias("mac"), tipo.alias("tipo"),
                           reason.isNull().alias("aceptado"), F.coalesce(reason, F.lit("")).alias("motivo"))

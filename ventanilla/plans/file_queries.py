@@ -66,7 +66,7 @@ def stream_cr_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return facts.select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
 
 
-def _mixed_landing(spark: SparkSession, sf: str) -> str:
+def _mixed_landing(spark: SparkSession, sf: str, one_file_per_report: bool = False) -> str:
     """A landing folder of both kinds in which some files deviate: by the last digit of the file id,
     SOL files head the type column ``TRAMITE`` (3), lack TERMINAL (5) or the header rows (7); CR files
     lack the duration (4) or hold no data rows (6)."""
@@ -87,7 +87,7 @@ def _mixed_landing(spark: SparkSession, sf: str) -> str:
     for p in parts[1:]:
         lines = lines.unionByName(p)
     folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
-    reports.write_exports(lines, folder)
+    reports.write_exports(lines, folder, one_file_per_report)
     return folder
 
 

@@ -213,6 +213,19 @@ icat AS (
          CAST(NULL AS TIMESTAMP) AS fecha_carga
   FROM (SELECT * FROM sol_state UNION ALL SELECT * FROM cr_state))"""
 
+# the upload of every report file, the gate's verdict on it, and the catalog of the accepted ones
+UPLOADS = """
+ups AS (SELECT DISTINCT archivo_id, mac, 'TIEMPOS_SOL' AS tipo, concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '.xls') AS nombre_archivo FROM sol_raw
+        UNION SELECT DISTINCT archivo_id, mac, 'TIEMPOS_CR', concat('Rep_TiemAten_CR_', mac, '_', archivo_id, '.xls') FROM cr_raw),
+gated AS (
+  SELECT *, CASE WHEN esperado <> tipo THEN 'tipo_distinto' WHEN archivo_id % 4 <> 0 AND oficina IS NULL THEN 'usuario_sin_mac'
+                 WHEN archivo_id % 4 <> 0 AND mac <> oficina THEN 'mac_ajeno' END AS motivo
+  FROM (SELECT *, CASE WHEN archivo_id % 3 = 0 THEN NULL WHEN archivo_id % 13 = 0 THEN 'TIEMPOS_CR' ELSE tipo END AS esperado,
+               CASE WHEN archivo_id % 9 = 0 THEN NULL WHEN archivo_id % 11 = 0 THEN '090852' ELSE mac END AS oficina,
+               TIMESTAMP '2024-01-01 00:00:00' + to_hours(archivo_id * 37 % 1000) AS carga FROM ups)),
+scat AS (SELECT icat.* EXCLUDE (fecha_carga), g.carga AS fecha_carga FROM icat
+         JOIN gated g ON g.archivo_id = icat.id AND g.tipo = icat.tipo WHERE g.motivo IS NULL)"""
+
 
 def w(*parts: str) -> str:
     return "WITH " + ",".join(parts)
@@ -576,6 +589,61 @@ UNION ALL
 SELECT DISTINCT concat('Rep_TiemAten_CR_', mac, '_', archivo_id, '.xls'), mac, 'TIEMPOS_CR',
        CASE WHEN archivo_id % 10 = 4 THEN 'Faltan columnas clave en CR: tiempo_total_atencion' ELSE 'Sin renglones de datos' END
 FROM cr_raw WHERE archivo_id % 10 IN (4, 6)"""
+    q["store_catalog"] = w(SOL, CR, LEDGER, UPLOADS) + """
+SELECT * REPLACE (strftime(fecha_carga, '%Y-%m-%d %H:%M:%S') AS fecha_carga) FROM scat"""
+    q["store_then_dashboard"] = w(SOL, CR, LEDGER, UPLOADS, f"""
+picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tipo, alcance ORDER BY {PICK_ORDER}) AS rn
+                         FROM (SELECT *, unnest([mac, '*']) AS alcance FROM scat) WHERE estatus = 'PROCESADO' AND activo) WHERE rn = 1),
+sp AS (SELECT p.*, f.tt, f.s, f.n, f.fa FROM picks p JOIN (
+         SELECT archivo_id, count(*) AS tt, sum(centesimas) AS s, count(centesimas) AS n, count(DISTINCT funcionario) AS fa
+         FROM sol_facts GROUP BY archivo_id) f ON f.archivo_id = p.id WHERE p.tipo = 'TIEMPOS_SOL'),
+cp AS (SELECT p.*, f.te, f.s, f.n, f.mn, f.mx, f.atip FROM picks p JOIN (
+         SELECT archivo_id, count(*) AS te, sum(centesimas) AS s, count(centesimas) AS n, min(centesimas) AS mn, max(centesimas) AS mx,
+                count(*) FILTER (WHERE centesimas > 1500) AS atip FROM cr_facts GROUP BY archivo_id) f ON f.archivo_id = p.id WHERE p.tipo = 'TIEMPOS_CR'),
+u AS (SELECT s_suppkey AS id, s_name AS username,
+             CASE WHEN s_nationkey = 1 THEN '*' WHEN s_suppkey % 3 = 0 THEN '090852' WHEN s_suppkey % 3 = 1 THEN '090853' END AS alcance FROM supplier)""") + f"""
+SELECT u.id, u.username, u.alcance, sp.id AS archivo_id,
+       coalesce(sp.nombre_archivo, 'Sin reporte') AS fuente_sol, coalesce(cp.nombre_archivo, 'Sin reporte') AS fuente_cr,
+       coalesce(sp.tipo_periodo, 'Sin dato') AS tipo_periodo_sol, coalesce(cp.tipo_periodo, 'Sin dato') AS tipo_periodo_cr,
+       coalesce(sp.mac, cp.mac, 'Sin datos') AS mac_archivo,
+       coalesce(CAST(CASE WHEN sp.id IS NULL THEN cp.fecha_operativa ELSE sp.fecha_operativa END AS VARCHAR), 'Sin datos') AS fecha_operativa,
+       {ratio_text('coalesce(cp.te, 0)', 'coalesce(sp.tt, 0)')} AS relacion_global, {hms_h(round_mean('sp.s', 'sp.n'))} AS promedio_mac,
+       {mean_hms('cp.s', 'cp.n')} AS promedio_entrega, {hms_h('cp.mn')} AS tiempo_minimo, {hms_h('cp.mx')} AS tiempo_maximo,
+       coalesce(sp.tt, 0) AS total_tramites, coalesce(cp.te, 0) AS total_entregas, coalesce(sp.fa, 0) AS funcionarios_activos,
+       coalesce(cp.atip, 0) AS atipicos_cr
+FROM u LEFT JOIN sp ON sp.alcance = u.alcance LEFT JOIN cp ON cp.alcance = u.alcance"""
+    # files without a TERMINAL column keep their header row; those without a type header take the other name for it
+    fate = """
+bare AS (SELECT archivo_id, count(*) FILTER (WHERE fecha IS NULL) AS sin_fecha, count(*) AS filas, min(fmin) AS primera, max(fmax) AS ultima FROM (
+           SELECT *, min(fecha) OVER (PARTITION BY archivo_id) AS fmin, max(fecha) OVER (PARTITION BY archivo_id) AS fmax,
+               row_number() OVER (PARTITION BY archivo_id, coalesce(folio, ''),
+               coalesce(CASE WHEN trim(clerk_txt) = '' OR lower(trim(clerk_txt)) = 'nan' THEN NULL ELSE trim(clerk_txt) END, '') ORDER BY row_no) AS rn
+           FROM sol_raw WHERE archivo_id % 10 = 5) WHERE rn = 1 GROUP BY archivo_id),
+fate AS (
+  SELECT g.*, CASE WHEN g.tipo = 'TIEMPOS_SOL' AND g.archivo_id % 10 = 7 THEN 'Sin renglones de encabezado'
+                   WHEN g.tipo = 'TIEMPOS_SOL' AND g.archivo_id % 10 = 5
+                     THEN CASE WHEN b.sin_fecha > 0 THEN 'null value in column "fecha" violates not-null constraint' END
+                   WHEN g.tipo = 'TIEMPOS_CR' AND g.archivo_id % 10 = 4 THEN 'Faltan columnas clave en CR: tiempo_total_atencion'
+                   WHEN g.tipo = 'TIEMPOS_CR' AND g.archivo_id % 10 = 6 THEN 'Sin renglones de datos'
+                   ELSE i.mensaje_error END AS falla
+  FROM gated g JOIN icat i ON i.id = g.archivo_id AND i.tipo = g.tipo LEFT JOIN bare b ON b.archivo_id = g.archivo_id AND g.tipo = 'TIEMPOS_SOL'),
+roll AS (
+  SELECT i.id, i.tipo, CASE WHEN b.archivo_id IS NULL THEN i.tipo_periodo WHEN b.primera <> b.ultima THEN 'SEMANAL' ELSE 'DIARIO' END AS periodo,
+         coalesce(b.filas, i.registros_insertados) AS filas
+  FROM icat i LEFT JOIN bare b ON b.archivo_id = i.id AND i.tipo = 'TIEMPOS_SOL')"""
+    q["arrival_states"] = w(SOL, CR, LEDGER, UPLOADS, fate) + """
+SELECT nombre_archivo, mac, tipo, CASE WHEN motivo IS NOT NULL THEN 'RECHAZADO' WHEN falla IS NOT NULL THEN 'ERROR' ELSE 'PROCESADO' END AS estatus,
+       coalesce(motivo, falla, '') AS motivo, strftime(carga, '%Y-%m-%d %H:%M:%S') AS fecha_carga FROM fate"""
+    q["ledger_states"] = w(SOL, CR, LEDGER, UPLOADS, fate) + """
+SELECT f.nombre_archivo, f.mac, f.tipo, CASE WHEN falla IS NOT NULL THEN 'ERROR' ELSE 'PROCESADO' END AS estatus, coalesce(falla, '') AS mensaje_error,
+       CAST(2 AS BIGINT) AS cambio, CASE WHEN falla IS NULL THEN i.periodo END AS tipo_periodo,
+       CASE WHEN falla IS NULL THEN i.filas ELSE 0 END AS registros_insertados, strftime(carga, '%Y-%m-%d %H:%M:%S') AS fecha_carga
+FROM fate f JOIN roll i ON i.id = f.archivo_id AND i.tipo = f.tipo WHERE f.motivo IS NULL"""
+    q["reupload_states"] = w(SOL, CR, LEDGER) + """
+SELECT nombre_archivo, estatus, coalesce(mensaje_error, '') AS motivo, coalesce(f.n, 0) AS filas
+FROM icat LEFT JOIN (SELECT archivo_id, count(*) AS n FROM sol_facts GROUP BY archivo_id) f ON f.archivo_id = icat.id WHERE tipo = 'TIEMPOS_SOL'
+UNION ALL
+SELECT concat('copia_', nombre_archivo), 'RECHAZADO', 'contenido_repetido', 0 FROM icat WHERE tipo = 'TIEMPOS_SOL' AND id % 3 = 0"""
     q["stream_ingest"] = w(SOL) + f"""
 SELECT nombre_archivo, mac, {sheet}, fecha, folio, funcionario, terminal, centesimas FROM sol_facts"""
     return q

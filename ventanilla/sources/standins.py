@@ -190,3 +190,18 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderkey") % 3 == 1, F.lit("TIEMPOS_SOL")).otherwise(F.lit("TIEMPOS_CR"))
          .alias("tipo_esperado"),
     )
+
+
+def report_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upload of every report file: uploader's role and office, expected kind and load time."""
+    names = (sol_report_rows(spark, sf_dir).select("archivo_id", "nombre_archivo")
+             .unionByName(cr_report_rows(spark, sf_dir).select("archivo_id", "nombre_archivo")).distinct())
+    a, name = F.col("archivo_id"), F.col("nombre_archivo")
+    own = F.when(name.contains("090852"), F.lit("090852")).otherwise(F.lit("090853"))
+    kind = F.when(name.contains("_SOL_"), F.lit("TIEMPOS_SOL")).otherwise(F.lit("TIEMPOS_CR"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return names.select(
+        "archivo_id", "nombre_archivo", F.when(a % 4 == 0, 1).otherwise(2).cast("bigint").alias("role_id"),
+        F.when(a % 9 == 0, F.lit(None).cast("string")).when(a % 11 == 0, F.lit("090852")).otherwise(own).alias("mac_usuario"),
+        F.when(a % 3 == 0, F.lit(None).cast("string")).when(a % 13 == 0, F.lit("TIEMPOS_CR")).otherwise(kind).alias("tipo_esperado"),
+        F.timestamp_add("HOUR", (a * 37 % 1000).cast("int"), start).alias("fecha_carga"))
