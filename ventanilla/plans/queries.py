@@ -120,12 +120,14 @@ def global_threshold(spark, sf):
 
 def sol_dedup(spark, sf):
     """Rows kept by first-row-wins dedup."""
-    return V.sol_kept(spark, sf).select("archivo_id", "row_no", "folio", "funcionario", "terminal", "fecha")
+    columns = ["archivo_id", "row_no", "folio", "funcionario", "terminal", "fecha"]
+    return V.sol_kept(spark, sf, [*columns, "funcionario_txt"]).select(*columns)
 
 
 def cr_dedup(spark, sf):
     """CR rows kept by first-row-wins dedup."""
-    return V.cr_kept(spark, sf).select("archivo_id", "row_no", "solicitud", "terminal", "fecha_entrega")
+    columns = ["archivo_id", "row_no", "solicitud", "terminal", "fecha_entrega"]
+    return V.cr_kept(spark, sf, [*columns, "_p9"]).select(*columns)
 
 
 def file_rollup(spark, sf):
@@ -148,7 +150,7 @@ def ledger_latest(spark, sf):
 
 def quality_counts(spark, sf):
     """Q1: rule violations among the rows to be stored."""
-    return quality.quality_counts(V.sol_kept(spark, sf), V.cr_kept(spark, sf))
+    return quality.quality_counts(V.sol_kept(spark, sf, V.SOL_GATE), V.cr_kept(spark, sf, V.CR_GATE))
 
 
 def orphans(spark, sf):

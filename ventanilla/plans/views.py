@@ -27,20 +27,27 @@ def sol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.sol_rows(sol_clean(spark, sf_dir))
 
 
-def sol_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 + A15 + Q3 in one aggregation per dedup key."""
+#: What the gate and the roll-up look at; the kept row carries only these where no other column is asked for.
+SOL_GATE = ["archivo_id", "row_no", "mac", "fecha", "centesimas", "funcionario_txt", *quality.SOL_LENGTHS]
+CR_GATE = ["archivo_id", "row_no", "mac", "fecha_entrega", "centesimas", "_p9", *quality.CR_LENGTHS]
+
+
+def sol_by_key(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """D1 + A15 + Q3 in one aggregation per dedup key; ``columns`` of the kept row (all by default)."""
     rows = sol_rows(spark, sf_dir)
+    if columns:
+        rows = rows.select(*columns)
     t = F.col("funcionario_txt")
     clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
     return store.ingest_by_key(rows, store.sol_keys(), "fecha", clerk_ok=clerk_ok)
 
 
-def sol_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.kept_rows(sol_by_key(spark, sf_dir))
+def sol_kept(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return store.kept_rows(sol_by_key(spark, sf_dir, columns))
 
 
 def sol_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.file_stats(sol_by_key(spark, sf_dir), ["fecha"], lengths=quality.SOL_LENGTHS)
+    return store.file_stats(sol_by_key(spark, sf_dir, SOL_GATE), ["fecha"], lengths=quality.SOL_LENGTHS)
 
 
 def sol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,18 +64,20 @@ def cr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_cr_report(cr_report(spark, sf_dir))
 
 
-def cr_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 (over rows P9 keeps) + A15 (over all cleaned rows) in one aggregation."""
+def cr_by_key(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """D2 (over rows P9 keeps) + A15 (over all cleaned rows) in one aggregation; ``columns`` of the kept row (all by default)."""
     proj = clean.cr_fact_projection(cr_clean(spark, sf_dir))
+    if columns:
+        proj = proj.select(*columns)
     return store.ingest_by_key(proj, store.cr_keys(), "fecha_entrega", valid=F.col("_p9"))
 
 
-def cr_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.kept_rows(cr_by_key(spark, sf_dir)).drop("_p9")
+def cr_kept(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return store.kept_rows(cr_by_key(spark, sf_dir, columns)).drop("_p9")
 
 
 def cr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.file_stats(cr_by_key(spark, sf_dir), ["fecha_entrega"], lengths=quality.CR_LENGTHS)
+    return store.file_stats(cr_by_key(spark, sf_dir, CR_GATE), ["fecha_entrega"], lengths=quality.CR_LENGTHS)
 
 
 def cr_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,10 +42,15 @@ def _hms_text(secs):
                     _lp2(idiv(secs % 3600, F.lit(60))), F.lit(":"), _lp2(secs % 60))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: the given tables are one row group each, report files are many splits."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of SOL report files as the sheet reader yields them: text cells
     under the flattened header names, plus file name, file id and row number."""
-    e = table(spark, sf_dir, "events")
+    e = _dealt(table(spark, sf_dir, "events"), "event_id")
     day = F.dayofmonth("ts")
     file_id = (F.lit(2) * F.when(day <= 20, day).otherwise(F.lit(100) + idiv(day, F.lit(7)))
                + F.col("user_id") % 2).cast("bigint")
@@ -86,7 +91,7 @@ def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cr_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of CR report files (text cells under the flattened headers)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = _dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     file_id = (F.lit(1000) + F.col("l_suppkey") % 40).cast("bigint")
     office = F.when(F.col("l_suppkey") % 2 == 0, F.lit("090852")).otherwise(F.lit("090853"))
     secs = (F.col("l_quantity") * 30).cast("bigint")
