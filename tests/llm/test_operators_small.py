@@ -454,7 +454,7 @@ def test_toxicity_on_held_out_rows_and_gapped_words(spark):
 
 def test_toxicity_without_both_classes(spark):
     lab = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
-    assert out(toxicity.toxicity_report(docs(spark, [(1, "a text"), (2, None)]), lab), "score") == [(0.5,), (0.5,)]
+    assert out(toxicity.toxicity_report(docs(spark, [(1, "a text"), (2, None)]), lab), "score", "predicted") == [(1 / (1 + np.e), 0)] * 2
     assert toxicity.toxicity_report(docs(spark, []), lab.limit(0)).count() == 0
 
 
@@ -511,3 +511,12 @@ def test_top_k_beyond_double_precision_and_64_bits(spark):
         topk_search.top_k(spark.createDataFrame([(0, [2.0 ** 40]), (1, [2.0 ** 40])], df.schema)).collect()
     with pytest.raises(Exception, match="does not fit a bigint"):
         topk_search.top_k(spark.createDataFrame([(0, [2.0 ** 40]), (1, [-2.0 ** 40])], df.schema)).collect()
+
+
+def test_toxicity_score_of_a_half_is_toxic(spark, monkeypatch):
+    model = toxicity.no_evidence()
+    model["weights"][-1] = 0.0
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: model)
+    df, lab = docs(spark, [(1, "a text"), (2, None)]), spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert out(toxicity.toxicity_report(df, lab), "score", "predicted") == [(0.5, 1)] * 2
+    assert toxicity.drop_toxic(df, lab).count() == 0

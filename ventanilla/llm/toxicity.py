@@ -203,21 +203,34 @@ def held_out(c: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(True))
 
 
+def no_evidence() -> dict:
+    """The model of no evidence: a score of about 0.27 for every text."""
+    weights = np.zeros(WORST + 2)
+    weights[-1] = -1.0
+    return {"theta": np.zeros(CLASSES ** 3), "bias": 0.0, "weights": weights}
+
+
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The scores of texts from their worst words."""
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model, from a bounded sample of the labelled rows that are not held out.
 
     ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, toxic``. Rows with
     a null label or id are left out. With one class only, or no telling word,
-    there is no evidence: every text scores 0.5 and none is toxic.
+    there is no evidence: every text gets one score below 0.5. Of the texts of
+    a repeated id the smallest is taken.
     """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(rows["toxic"].isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in enumerate(SAMPLE)]
     picked = F.broadcast(some[0].unionAll(some[1]))  # at most sum(SAMPLE) rows
-    bound = staged(docs.join(picked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]), "labelled")
+    bound = staged(docs.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     sizes = {r["toxic"]: r["count"] for r in bound.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return {"theta": np.zeros(CLASSES ** 3), "bias": 0.0, "weights": np.zeros(WORST + 2)}
+        return no_evidence()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     common = counts.where("c > 0").where(odds < 2).select("word")
     ordinary = [r["word"] for r in common.orderBy(F.xxhash64("word"), "word").limit(ORDINARY).collect()]
     if not telling or not ordinary:
-        return {"theta": np.zeros(CLASSES ** 3), "bias": 0.0, "weights": np.zeros(WORST + 2)}
+        return no_evidence()
     good = [r["word"] for r in telling]
     theta, bias = fit_words(good, ordinary)
 
@@ -275,8 +288,7 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             x = [known.worst(part) for part in _chunks(b.column(1))]
             x = np.concatenate(x) if x else np.zeros((0, WORST + 1))
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(x, w))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema("doc_id bigint, score double"))
 
@@ -284,15 +296,15 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Predicted toxic is a score above 0.5: a model that found nothing to learn
-    from scores 0.5 and predicts 0. Null text counts as empty; a text without
+    Predicted toxic is a score of 0.5 or more; a model that found nothing to
+    learn from scores below it. Null text counts as empty; a text without
     words gets the score of no evidence; a null id counts as held out;
     repeated rows score alike; an empty table gives no rows; other columns are
     not read.
     """
     rows = id_and_text(docs)
     scored = score_texts(rows, train(rows, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") > 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -310,6 +322,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
             for a in range(0, b.num_rows, ROWS):
                 rows = b.slice(a, ROWS)
                 x = [known.worst(part) for part in _chunks(rows.column(at).fill_null(""))]
-                yield rows.filter(pa.array(np.concatenate(x) @ w[:-1] + w[-1] <= 0))
+                yield rows.filter(pa.array(probability(np.concatenate(x), w) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
