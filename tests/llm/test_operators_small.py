@@ -520,3 +520,20 @@ def test_toxicity_score_of_a_half_is_toxic(spark, monkeypatch):
     df, lab = docs(spark, [(1, "a text"), (2, None)]), spark.createDataFrame([], "doc_id bigint, toxic int")
     assert out(toxicity.toxicity_report(df, lab), "score", "predicted") == [(0.5, 1)] * 2
     assert toxicity.drop_toxic(df, lab).count() == 0
+
+
+def test_ngram_cells_round_trip(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(-2 ** 63, 2 ** 63 - 1, 40, dtype=np.int64)[rng.integers(0, 40, 5000)]
+    toks, rank = rng.integers(0, 2 ** 62, 5000), rng.integers(0, 20, 5000).astype("u1")
+    whole = sorted(zip(sig.tolist(), toks.tolist(), rank.tolist()))
+    for ranges in (1, 7, 64, 1000):
+        cells = list(ngram_join.packed(sig, toks, rank, ranges))
+        assert len(cells) == len({c for c, _ in cells}) and sorted(zip(*(c.tolist() for c in ngram_join.unpacked([b for _, b in cells])))) == whole
+    monkeypatch.setattr(ngram_join, "FAN", 2)  # three further passes
+    parts = spark.createDataFrame([(c, bytearray(b)) for k in range(4) for c, b in ngram_join.packed(sig[k::4], toks[k::4], rank[k::4], 2)],
+                                  "cell int, body binary")
+    got = ngram_join._shares_of_sets(parts, 13).collect()
+    assert len(got) == len(set(sig.tolist())) and sorted((r.sig, t, k) for r in got for t, k in zip(
+        np.frombuffer(r.toks, "<i8").tolist(), np.frombuffer(r.ranks, "u1").tolist())) == whole
+    assert all(r.live == len(r.ranks) for r in got)

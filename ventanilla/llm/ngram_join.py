@@ -27,7 +27,9 @@ WORDS, PERCENT = 5, 75
 #: copies in that sample from which an n-gram counts as frequent. They steer the order only.
 SAMPLE_DOCS, FREQUENT = 20_000, 20
 #: n-grams a fragment should hold; n-grams a task gathers before it deals them out.
-PER_FRAGMENT, CHUNK = 2_000_000, 400_000
+PER_FRAGMENT, CHUNK = 1_000_000, 400_000
+#: Ranges of sets that a fragment's rows are packed for at once; more are split off in further passes.
+FAN = 64
 #: Frequency classes of the global order (the last: frequent in the sample); hash ranges of a class.
 CLASSES, RANGES = 24, 2
 #: Members of a bucket that the others are compared with, round by round, before the rest is compared in full.
@@ -158,11 +160,94 @@ def _deal(docs: DataFrame, n: int, often: np.ndarray, fragments: int) -> DataFra
         run, schema("part int, doc bigint, sig bigint, n bigint, often binary, body binary"))
 
 
-def _count_fragments(dealt: DataFrame) -> DataFrame:
-    """Per fragment and set: its n-grams that other sets hold too, with their frequency class.
+def set_ranges(sig: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each set: equal parts of the signatures' 32 upper bits."""
+    return ((sig.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def packed(sig: np.ndarray, toks: np.ndarray, rank: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """``(range, body)`` of entries ``(set, n-gram, class)``: one body holds all sets of a range."""
+    cell = set_ranges(sig, ranges)
+    order = np.lexsort((toks, sig, cell))
+    sig, toks, rank, cell = sig[order], toks[order], rank[order], cell[order]
+    cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))).tolist() + [len(cell)]
+    for a, b in zip(cut, cut[1:]):
+        first = np.flatnonzero(np.concatenate(([True], sig[a + 1:b] != sig[a:b - 1])))
+        counts = np.diff(np.append(first, b - a)).astype("<i4")
+        yield int(cell[a]), (np.int32(len(first)).tobytes() + sig[a + first].tobytes() + counts.tobytes()
+                             + toks[a:b].tobytes() + rank[a:b].tobytes())
+
+
+def unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries ``(set, n-gram, class)`` of packed bodies."""
+    out = []
+    for body in bodies:
+        k = int(np.frombuffer(body, "<i4", 1)[0])
+        counts = np.frombuffer(body, "<i4", k, 4 + 8 * k)
+        m, at = int(counts.sum()), 4 + 12 * k
+        out.append((np.repeat(np.frombuffer(body, "<i8", k, 4), counts), np.frombuffer(body, "<i8", m, at),
+                    np.frombuffer(body, "u1", m, at + 8 * m)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _cells(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["cell", "body"])
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[list[bytes]]:
+    """The bodies of one cell after another, from rows sorted by cell; in lists of about ``most`` bytes if given."""
+    cell, bodies, size = None, [], 0
+    for b in batches:
+        for c, body in zip(b.column(0).to_pylist(), b.column(1)):
+            if bodies and (c != cell or most and size > most):
+                yield bodies
+                bodies, size = [], 0
+            cell = c
+            bodies.append(body.as_py())
+            size += len(bodies[-1])
+    if bodies:
+        yield bodies
+
+
+def _shares_of_sets(parts: DataFrame, ranges: int) -> DataFrame:
+    """``sig, live, toks, ranks`` per set: the n-grams that it shares, from the fragments' packed rows.
+
+    A range of sets is gathered in one task; it holds about as many n-grams as
+    a fragment. Where there are more than ``FAN`` ranges, the rows are split to
+    finer ranges in passes that hold a few bodies at a time.
+    """
+    now = min(ranges, FAN)
+    while now < ranges:
+        finer = min(ranges, now * FAN)
+
+        def split(batches: Iterator[pa.RecordBatch], finer: int = finer) -> Iterator[pa.RecordBatch]:
+            for bodies in _by_cell(batches, most=9 * CHUNK):
+                yield _cells(list(packed(*unpacked(bodies), finer)))
+
+        salt = F.pmod(F.xxhash64("body"), F.lit(FAN))
+        parts = staged(parts.repartition("cell", salt).sortWithinPartitions("cell").mapInArrow(split, schema("cell int, body binary")), "ngram-cells")
+        now = finer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bodies in _by_cell(batches):
+            sig, toks, rank = unpacked(bodies)
+            order = np.argsort(sig, kind="stable")
+            sig, toks, rank = sig[order], toks[order], rank[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            cut = np.append(first, len(sig))
+            toks, rank = toks.tobytes(), rank.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[first]), pa.array(np.diff(cut)), pa.array([toks[8 * a:8 * b] for a, b in zip(cut, cut[1:])], pa.binary()),
+                 pa.array([rank[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], names=["sig", "live", "toks", "ranks"])
 
-    Document rows pass through. ``toks`` are the upper 63 bits of the hashes,
-    ``ranks`` the class ``floor(log2(number of sets))`` of each.
+    return parts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema("sig bigint, live bigint, toks binary, ranks binary"))
+
+
+def _count_fragments(dealt: DataFrame, ranges: int) -> DataFrame:
+    """Per fragment and range of sets: their n-grams that other sets hold too, packed in one row (``cell``, ``body``).
+
+    Document rows pass through. N-grams are the upper 63 bits of the hashes;
+    the class of each is ``floor(log2(number of sets))``.
     """
 
     def shared(bodies: list[bytes]) -> pa.RecordBatch | None:
@@ -193,26 +278,20 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
         h, s, held = h[held > 1], s[held > 1], held[held > 1]
         if not len(h):
             return None
-        order = np.lexsort((h, s))
-        h, s = h[order], s[order]
-        rank = np.minimum(np.log2(held[order]), CLASSES - 2).astype("u1")
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        cut = np.append(first, len(s))
-        toks, ranks = h.tobytes(), rank.tobytes()
-        k = len(first)
+        rank = np.minimum(np.log2(held), CLASSES - 2).astype("u1")
+        rows = list(packed(s, h, rank, min(ranges, FAN)))
+        none = [None] * len(rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([None] * k, pa.int64()), pa.array(s[first]), pa.array(np.diff(cut)),
-             pa.array([None] * k, pa.binary()), pa.array([toks[8 * a:8 * b] for a, b in zip(cut, cut[1:])], pa.binary()),
-             pa.array([ranks[a:b] for a, b in zip(cut, cut[1:])], pa.binary())],
-            names=["doc", "sig", "n", "often", "toks", "ranks"])
+            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), *_cells(rows).columns],
+            names=["doc", "sig", "n", "often", "cell", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bodies = None, []
         for b in batches:
             t = pa.Table.from_batches([b])
             info = t.filter(t["body"].is_null()).select(["doc", "sig", "n", "often"])
-            for r in info.append_column("toks", pa.nulls(len(info), pa.binary())).append_column(
-                    "ranks", pa.nulls(len(info), pa.binary())).to_batches():
+            for r in info.append_column("cell", pa.nulls(len(info), pa.int32())).append_column(
+                    "body", pa.nulls(len(info), pa.binary())).to_batches():
                 yield r
             t = t.filter(t["body"].is_valid())
             for p, body in zip(t["part"].to_pylist(), t["body"].to_pylist(), strict=True):
@@ -227,7 +306,7 @@ def _count_fragments(dealt: DataFrame) -> DataFrame:
             yield got
 
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(
-        run, schema("doc bigint, sig bigint, n bigint, often binary, toks binary, ranks binary"))
+        run, schema("doc bigint, sig bigint, n bigint, often binary, cell int, body binary"))
 
 
 def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFrame:
@@ -242,9 +321,8 @@ def _fragments_of_sets(rows: DataFrame, percent: int, fragments: int) -> DataFra
     another shares one of its first ``n - ceil(n * percent / 100) + 1``.
     """
 
-    def one(sig: int, n: int, often: bytes, shares: list | None) -> tuple[list, ...]:
-        toks = np.frombuffer(b"".join(x["toks"] for x in shares or ()), "<i8")
-        rank = np.frombuffer(b"".join(x["ranks"] for x in shares or ()), "u1")
+    def one(sig: int, n: int, often: bytes, toks: bytes | None, ranks: bytes | None) -> tuple[list, ...]:
+        toks, rank = np.frombuffer(toks or b"", "<i8"), np.frombuffer(ranks or b"", "u1")
         listed = np.frombuffer(often, "<u4").astype(np.int64)
         toks = np.concatenate((toks, -1 - listed))
         rank = np.concatenate((rank, np.full(len(listed), CLASSES - 1, "u1"))).astype(np.int64)
@@ -440,16 +518,16 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     """
     often, expected = _sample(rows, words)
     fragments = max(8, -(-expected // PER_FRAGMENT))
-    told = staged(_count_fragments(_deal(rows, words, often, fragments)), "ngrams")
-    info, parts = told.where("toks is null"), told.where("toks is not null")
+    told = staged(_count_fragments(_deal(rows, words, often, fragments), fragments), "ngrams")
+    info, parts = told.where("body is null"), told.where("body is not null").select("cell", "body")
     sets = staged(info.where("sig is not null").groupBy("sig").agg(
         F.max("n").alias("n"), F.min(F.when(F.col("doc") != F.lit(-(2 ** 63)).cast("bigint"), F.col("doc"))).alias("low"),
         F.first("often").alias("often")), "sets")
     # every n-gram a set shares with any other set, summed over the fragments
-    shares = parts.groupBy("sig").agg(F.sum("n").alias("live"), F.collect_list(F.struct("toks", "ranks")).alias("shares"))
+    shares = _shares_of_sets(parts, fragments)
     able = sets.join(shares, "sig", "left").where(
         (F.coalesce("live", F.lit(0)) + F.length("often") / 4) * 100 >= F.col("n") * percent)
-    frags = staged(_fragments_of_sets(able.select("sig", "n", "often", "shares"), percent, fragments), "fragments")
+    frags = staged(_fragments_of_sets(able.select("sig", "n", "often", "toks", "ranks"), percent, fragments), "fragments")
     roots = connected(_links(frags, percent))
     named = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     return info, named
