@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,32 @@ def test_url_filter_cases(spark):
     assert url_filter.split_url("x://Ho.ST?a/b") == ("ho.st", "")
 
 
+def test_url_filter_empty_repeated_and_null_rows(spark):
+    ddl = "page_id bigint, url string, verdict string"
+    assert url_filter.judge_urls(spark.createDataFrame([], ddl)).collect() == []
+    rows = [(1, "http://a.org/", "v"), (1, "http://a.org/", "v"), (None, "http://com/de/", "v"), (None, None, "v")]
+    got = [tuple(r) for r in url_filter.judge_urls(spark.createDataFrame(rows, ddl)).collect()]
+    one = (1, "a.org", "/", "org/", "allow")
+    assert sorted(got, key=repr) == sorted([one, one, (None, "com", "/de/", "com/de/", "block"), (None, "", "", None, "allow")], key=repr)
+
+
+def test_url_filter_many_rules_at_a_node_equal_brute_force():
+    rng = random.Random(9)
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["org", "a.org"]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 9))))
+             for _ in range(3000)]
+    root = url_filter.build_trie(rules)
+    longest = {}
+    for verdict, host, path in rules:
+        if longest.get((host, path)) != "block":
+            longest[host, path] = verdict
+    for _ in range(300):
+        host, path = rng.choice(["org", "a.org", "b.org", "x.a.org", "com"]), "/" + "".join(rng.choice("ab/c") for _ in range(rng.randint(0, 12)))
+        fits = [(len(h + p), h.count("."), v, h + p) for (h, p), v in longest.items()
+                if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits)[2:] if fits else None
+        assert url_filter.longest_match(root, host, path) == best, (host, path)
+
+
 # --- 7 -----------------------------------------------------------------------
 
 def test_sentencepiece_equals_the_library():
@@ -369,6 +396,16 @@ def test_sentencepiece_equals_the_library():
         assert fst.decode(ids) == text.replace("▁", " ")
 
 
+def test_sentencepiece_long_runs_of_spaces():
+    import sentencepiece
+
+    model, fst = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_fst.PieceTransducer(PIECES)
+    for n in [*range(1, 70), 999, 1001, 100_000]:
+        for text in (" " * n, "a" + " " * n + "b", "x" + " " * n + "\n"):
+            assert np.frombuffer(fst.encode(text), "<u4").tolist() == model.encode(text), n
+    assert max(fst.runs) <= sentencepiece_fst.LONGEST_RUN
+
+
 def test_sentencepiece_documents(spark):
     df = docs(spark, EDGES + [(9, "x" * 30_000 + " y\n z")])
     enc = sentencepiece_fst.encode_documents(df, PIECES)
@@ -537,3 +574,17 @@ def test_ngram_cells_round_trip(spark, monkeypatch):
     assert len(got) == len(set(sig.tolist())) and sorted((r.sig, t, k) for r in got for t, k in zip(
         np.frombuffer(r.toks, "<i8").tolist(), np.frombuffer(r.ranks, "u1").tolist())) == whole
     assert all(r.live == len(r.ranks) for r in got)
+
+
+def test_packing_ids_equal_the_library():
+    words = packing.WordIds(BPE)
+    texts = [None, "", " ", "\n\n", "It's <|endoftext|>x né ß İ ı ﬁ 你好 a b\tc\r\nd", "a" * 5000, "É'LL 12,5%% ***", "x y  z",
+             "<|startoftext|>", " lead and trail ", "don't WE'VE o'clock 'd ''s", "mañana " * 300]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("aé'sß1 .\nÑ<|×÷x") for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [words.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most, piece in ((packing.CACHE, 400), (3, 7)):  # small caches age in the middle of a slice
+        words.odd, words.part = packing.Aged(words._odd, most), packing.Aged(words._part, most)
+        got = [x for a in range(0, len(texts), piece) for x in words.encode(pa.array(texts[a:a + piece], pa.string()))]
+        assert [g.tolist() for g in got] == want
+    assert list(words.encode(pa.array([], pa.string()))) == []

@@ -8,11 +8,13 @@ document goes to the level that leaves the smallest sum of squared counts.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -22,20 +24,48 @@ from ventanilla.llm.common import id_and_text, schema
 WINDOW, END_ID = 2048, 1
 #: A leftover window missing at most this many tokens is padded; fuller ones are re-laid.
 SLACK = 8
-#: Entries of a task's word cache before it starts anew (a speed setting; ids do not depend on it).
-CACHE = 500_000
+#: Entries of a generation of a task's word cache (a speed setting; ids do not depend on it).
+CACHE = 400_000
+#: Bytes of text whose words are looked up together (a longer text alone).
+SLICE = 16 << 20
 
 # Words of these characters are lower-cased and split here as the tokenizer's own
 # normaliser and pattern do; every other word goes through the tokenizer whole.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x20]+|\x20")
+#: Longer words and parts are not kept in the cache, so its entries bound its bytes.
+LONGEST_KEPT = 100
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian uint32 bytes, computed once per distinct word of a task.
+class Aged:
+    """A bounded cache of two generations: what the older one still answers moves to the younger."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, key: str) -> bytes:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.make(key)
+            if len(key) > LONGEST_KEPT:
+                return got
+            if len(self.young) >= self.most:
+                self.young, self.old = {}, self.young
+            self.young[key] = got
+        return got
+
+
+class WordIds:
+    """Ids of texts by way of their distinct words.
 
     The vocabulary drops white space and never merges across it, so a text's
-    ids are those of its words one after the other.
+    ids are those of its words one after the other. The words of a slice of
+    texts are dictionary-encoded, and so are the parts of the distinct words;
+    each distinct part is looked up once, and ids are gathered by position.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,42 +74,97 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.parts: dict[str, bytes] = {"": b""}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # printable stand-ins of bytes, as in every byte-level vocabulary
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.shown = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+        self.odd, self.part = Aged(self._odd, CACHE), Aged(self._part, CACHE)
 
-    def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            out = b"".join(map(self._part, _PART.findall(word.lower())))
-        else:
-            out = _bytes(self.whole.encode(word, add_special_tokens=False).ids)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out
-        return out
+    def _odd(self, word: str) -> bytes:
+        return _bytes(self.whole.encode(word, add_special_tokens=False).ids) if word else b""
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            got = self.parts[part] = _bytes([t.id for t in self.model.tokenize(part.translate(self.shown))])
-        return got
+        # letters of ASCII stand for themselves
+        shown = part if part.isascii() and part.isalpha() else part.translate(self.shown)
+        return _bytes([t.id for t in self.model.tokenize(shown)])
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+    def encode_batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(key, ids) of every row of (key, text) batches, which are gathered to ``SLICE`` bytes first."""
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= SLICE:
+                yield from self._rows(held)
+                held, size = [], 0
+        if held:
+            yield from self._rows(held)
+
+    def _rows(self, batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        keys, texts = table.column(0).to_pylist(), table.column(1).cast(pa.large_string()).combine_chunks()
+        return zip(keys, self.encode(texts), strict=True)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(texts):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+            yield from self._slice(texts.slice(a, b - a))
+            a = b
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        table, start, size = self._word_ids(words.dictionary)
+        ends = np.concatenate([[0], np.cumsum(size[code])])
+        rows = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return np.split(_gathered(table, start[code], size[code]), ends[rows[1:-1]])
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: a table of ids, and where each word's begin and how many they are."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        mask = plain.to_numpy(zero_copy_only=False)
+        simple = words.filter(plain)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(simple)], simple), pa.scalar(" ", simple.type))[0].as_py()
+        parts = pa.array(_PART.findall(joined.lower()), pa.large_string())
+        word_of = np.cumsum(pc.equal(parts, " ").to_numpy(zero_copy_only=False))
+        parts = parts.dictionary_encode()
+        code = parts.indices.to_numpy()
+        table, start, size = _laid([b"" if p == " " else self.part(p) for p in parts.dictionary.to_pylist()])
+        odd, _, odd_size = _laid([self.odd(w) for w in words.filter(pc.invert(plain)).to_pylist()])
+        out = np.empty(len(words), np.int64)
+        out[mask] = np.bincount(word_of, size[code], len(simple)).astype(np.int64)
+        out[~mask] = odd_size
+        order = np.argsort(~mask, kind="stable")  # plain words first, as their ids lie in the table
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(out[order]) - out[order]
+        return np.concatenate([_gathered(table, start[code], size[code]), odd]), begin, out
+
+
+def _laid(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids laid end to end, with the start and the number of each entry's."""
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size
+
+
+def _gathered(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of a table one after the other."""
+    return table[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class SquaresPacker:
@@ -182,20 +267,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                 c.clear()
             return pa.RecordBatch.from_arrays(cols, names=names + ["ids"] * with_ids)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = words.encode(text.as_py()) + end
-                total = len(ids) // 4
-                key = (doc, total)
-                whole = total - total % window
-                for start in range(0, whole, window):
-                    emit(packer.made, [(key, start, ids[4 * start:4 * (start + window)])])
-                    packer.made += 1
-                if total > whole:
-                    for number, pieces in packer.place((key, whole, ids[4 * whole:]), total - whole):
-                        emit(number, pieces)
-                if len(rows[0]) >= 4096:
-                    yield flush()
+        for doc, text_ids in words.encode_batches(batches):
+            ids = text_ids.tobytes() + end
+            total = len(ids) // 4
+            key = (doc, total)
+            whole = total - total % window
+            for start in range(0, whole, window):
+                emit(packer.made, [(key, start, ids[4 * start:4 * (start + window)])])
+                packer.made += 1
+            if total > whole:
+                for number, pieces in packer.place((key, whole, ids[4 * whole:]), total - whole):
+                    emit(number, pieces)
+            if len(rows[0]) >= 4096:
+                yield flush()
         for number, pieces in packer.close():
             emit(number, pieces)
         if rows[0]:
