@@ -7,6 +7,7 @@ Rules are few and given by the caller; the compiled trie is checked against
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,14 +51,27 @@ def build_trie(rules) -> dict:
         for label in reversed(host.translate(_LOWER).split(".")):
             node = node["hosts"].setdefault(label, {"hosts": {}})
         *inner, last = path.split("/")[1:]
-        place = node.setdefault("path", {"next": {}, "ends": {}})
+        place = node.setdefault("path", {"next": {}, "ends": {}, "lengths": []})
         for seg in inner:
-            place = place["next"].setdefault(seg, {"next": {}, "ends": {}})
+            place = place["next"].setdefault(seg, {"next": {}, "ends": {}, "lengths": []})
         if last not in place["ends"] or verdict == "block":
             place["ends"][last] = (verdict, host + path)
+        at = bisect_left(place["lengths"], len(last))
+        if place["lengths"][at:at + 1] != [len(last)]:
+            place["lengths"].insert(at, len(last))
     return root
 
 
+def _longest_end(place: dict, seg: str):
+    """The entry of the longest partial segment that begins this one: one lookup per length that ends here."""
+    lengths, ends = place["lengths"], place["ends"]
+    for n in reversed(lengths[:bisect_right(lengths, len(seg))]):
+        hit = ends.get(seg[:n])
+        if hit:
+            return hit
+    return None
+
+
 def longest_match(root: dict, host: str, path: str):
     """(verdict, rule) of the longest fitting rule, host and path together (ties: the deeper host); or None."""
     best, node = None, root
@@ -70,9 +84,8 @@ def longest_match(root: dict, host: str, path: str):
         for seg in segments:
             if place is None:
                 break
-            fits = [end for end in place["ends"] if seg.startswith(end)]
-            if fits:
-                deepest = place["ends"][max(fits, key=len)]
+            deepest = _longest_end(place, seg)
+            if deepest:
                 best = deepest if best is None or len(deepest[1]) >= len(best[1]) else best
             place = place["next"].get(seg)
     return best
