@@ -11,6 +11,7 @@ is the model's own segmentation.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from ventanilla.llm.common import id_and_text, schema
 SPACE = "▁"
 #: Words a task remembers (a speed setting).
 CACHE = 500_000
+#: Longer runs of spaces are merged anew each time and not kept.
+LONGEST_RUN = 1000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,17 +101,28 @@ class PieceTransducer:
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Byte-pair merging itself, the best-scored pair first, ties to the left; and the last pair merged."""
         parts, pair = list(text), None
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            pair = parts[at], parts[at + 1]
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts, pair
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple] = []
+
+        def offer(i: int, j: int) -> None:
+            s = self.score.get(parts[i] + parts[j])
+            if s is not None:
+                heapq.heappush(queue, (-s, i, parts[i], parts[j]))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, x, y = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] != x or j >= len(parts) or parts[j] != y:
+                continue  # one of the two has been merged since
+            pair, parts[i], parts[j], after[i] = (x, y), x + y, "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [p for p in parts if p], pair
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """The two pieces that are merged last to make this one; null for a single character."""
@@ -201,7 +215,9 @@ class PieceTransducer:
         """Ids of ``n`` spaces in a row, which merge after everything else."""
         got = self.runs.get(n)
         if got is None:
-            got = self.runs[n] = [self.id[p] for p in self.merged(SPACE * n)[0]]
+            got = [self.id[p] for p in self.merged(SPACE * n)[0]]
+            if n <= LONGEST_RUN:
+                self.runs[n] = got
         return got
 
     def unit(self, unit: str) -> list[int]:
