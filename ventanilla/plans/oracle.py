@@ -338,7 +338,8 @@ SELECT archivo_id, total_entregas, {mean_hms('s', 'n')} AS promedio_tiempo, {hms
     q["cr_by_terminal"] = w(CR, """
 g AS (SELECT archivo_id, coalesce(terminal, 'Sin dato') AS terminal, count(*) AS entregas, sum(centesimas) AS s,
              count(centesimas) AS n, min(centesimas) AS mn, max(centesimas) AS mx FROM cr_facts GROUP BY ALL)""") + f"""
-SELECT archivo_id, terminal, entregas, {mean_hms('s', 'n')} AS promedio, {hms_h('mn')} AS minimo, {hms_h('mx')} AS maximo FROM g"""
+SELECT archivo_id, terminal, entregas, {mean_hms('s', 'n')} AS promedio, {hms_h('mn')} AS minimo, {hms_h('mx')} AS maximo,
+       row_number() OVER (PARTITION BY archivo_id ORDER BY entregas DESC, terminal) AS posicion FROM g"""
     q["cr_relative_outliers"] = w(CR, """
 t AS (SELECT archivo_id, count(centesimas) AS n, sum(centesimas) AS s FROM cr_clean GROUP BY archivo_id),
 g AS (SELECT c.archivo_id, count(*) AS total_entregas, any_value(t.n) AS n, any_value(t.s) AS s,
@@ -351,7 +352,8 @@ SELECT archivo_id, total_entregas, {mean_hms('s', 'n', '00:00:00')} AS promedio_
 g AS (SELECT archivo_id, terminal, count(solicitud) AS entregas, sum(centesimas) AS s, count(centesimas) AS n,
              min(centesimas) AS mn, max(centesimas) AS mx FROM cr_clean GROUP BY ALL)""") + f"""
 SELECT archivo_id, terminal, entregas, {mean_hms('s', 'n', '00:00:00')} AS promedio_tiempo,
-       {hms_h('mn', '00:00:00')} AS tiempo_minimo, {hms_h('mx', '00:00:00')} AS tiempo_maximo FROM g"""
+       {hms_h('mn', '00:00:00')} AS tiempo_minimo, {hms_h('mx', '00:00:00')} AS tiempo_maximo,
+       row_number() OVER (PARTITION BY archivo_id ORDER BY entregas DESC, terminal NULLS LAST) AS posicion FROM g"""
     q["dashboard_row"] = w(SOL, CR, LEDGER, _dashboard_side_sql()) + f"""
 SELECT (SELECT id FROM sp) AS archivo_id,
        coalesce((SELECT nombre_archivo FROM sp), 'Sin reporte') AS fuente_sol,
@@ -405,13 +407,15 @@ tg AS (SELECT f.funcionario, coalesce(f.categoria, 'Sin dato') AS tipo_tramite_c
               count(*) FILTER (WHERE f.centesimas > 1500) AS mayores_15
        FROM sol_facts f JOIN lr USING (funcionario, mac, fecha) GROUP BY ALL)""") + f"""
 SELECT funcionario, tipo_tramite_categoria, total, {hms_h(round_mean('s', 'n'))} AS promedio_tiempo,
-       {hms_h('mn')} AS tiempo_minimo, {hms_h('mx')} AS tiempo_maximo, mayores_15 FROM tg"""
+       {hms_h('mn')} AS tiempo_minimo, {hms_h('mx')} AS tiempo_maximo, mayores_15,
+       row_number() OVER (PARTITION BY funcionario ORDER BY total DESC, tipo_tramite_categoria) AS posicion FROM tg"""
     q["terminal_share"] = w(SOL, """
 per AS (SELECT archivo_id, terminal_txt AS terminal, count(*) AS registros FROM sol_rows GROUP BY ALL),
 tot AS (SELECT archivo_id, count(*) AS total FROM sol_rows GROUP BY ALL)""") + f"""
 SELECT archivo_id, terminal, registros, {pct_double('registros', 'total')} AS porcentaje FROM per JOIN tot USING (archivo_id)"""
     q["category_counts"] = w(SOL) + "\nSELECT archivo_id, categoria, count(*) AS cantidad FROM sol_rows GROUP BY ALL"
-    q["clerk_metrics"] = w(SOL, _clerk_metric_sql(["archivo_id"])) + "\nSELECT * FROM cm"
+    q["clerk_metrics"] = w(SOL, _clerk_metric_sql(["archivo_id"])) + """
+SELECT *, row_number() OVER (PARTITION BY archivo_id ORDER BY total_registros DESC, funcionario) AS posicion FROM cm"""
     q["clerk_category_metrics"] = w(SOL, f"""
 thr AS (SELECT archivo_id, count(duracion_us) AS nv, sum(duracion_us) AS sv FROM sol_rows GROUP BY archivo_id),
 r AS (SELECT s.*, coalesce(s.duracion_us * t.nv * 2 > t.sv * 3, FALSE) AS outl FROM sol_rows s JOIN thr t USING (archivo_id)
@@ -421,7 +425,8 @@ g AS (SELECT archivo_id, funcionario_txt AS funcionario, categoria AS tipo_trami
              count(*) FILTER (WHERE outl AND duracion_us IS NOT NULL) AS tramites_atipicos FROM r GROUP BY ALL)""") + f"""
 SELECT archivo_id, funcionario, tipo_tramite, cantidad,
        {td_hms('CASE WHEN v > 0 THEN s // v END', 'Sin datos')} AS promedio_tiempo,
-       {td_hms('mn', 'Sin datos')} AS tiempo_minimo, {td_hms('mx', 'Sin datos')} AS tiempo_maximo, tramites_atipicos FROM g"""
+       {td_hms('mn', 'Sin datos')} AS tiempo_minimo, {td_hms('mx', 'Sin datos')} AS tiempo_maximo, tramites_atipicos,
+       row_number() OVER (PARTITION BY archivo_id ORDER BY funcionario, cantidad DESC, tipo_tramite NULLS LAST) AS posicion FROM g"""
     q["global_threshold"] = w(SOL, """
 g AS (SELECT archivo_id, count(*) AS total_registros, count(duracion_us) AS nv, sum(duracion_us) AS sv
       FROM sol_rows GROUP BY archivo_id)""") + f"""

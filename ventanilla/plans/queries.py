@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
 from ventanilla.operators import compare, dashboard, export, metrics, quality, store
+from ventanilla.operators.ranking import with_position
 from ventanilla.plans import views as V
 from ventanilla.sources import standins
 
@@ -54,8 +55,9 @@ def cr_summary(spark, sf):
 
 
 def cr_by_terminal(spark, sf):
-    """A9 per stored CR file and terminal."""
-    return dashboard.cr_by_terminal(V.cr_facts(spark, sf))
+    """A9 + O5 per stored CR file and terminal."""
+    return with_position(dashboard.cr_by_terminal(V.cr_facts(spark, sf)), ["archivo_id"],
+                         [F.col("entregas").desc(), F.col("terminal").asc()])
 
 
 def cr_relative_outliers(spark, sf):
@@ -64,8 +66,9 @@ def cr_relative_outliers(spark, sf):
 
 
 def cr_terminal_metrics(spark, sf):
-    """A11 per cleaned CR report and terminal."""
-    return metrics.cr_terminal_metrics(V.cr_clean(spark, sf))
+    """A11 + O7 per cleaned CR report and terminal (no terminal comes last of equals)."""
+    return with_position(metrics.cr_terminal_metrics(V.cr_clean(spark, sf)), ["archivo_id"],
+                         [F.col("entregas").desc(), F.col("terminal").asc_nulls_last()])
 
 
 def dashboard_row(spark, sf):
@@ -89,8 +92,9 @@ def clerk_latest_summary(spark, sf):
 
 
 def clerk_type_summary(spark, sf):
-    """A13 for every clerk at the latest office and day."""
-    return dashboard.clerk_type_summary(V.sol_facts(spark, sf))
+    """A13 + O5 for every clerk at the latest office and day."""
+    return with_position(dashboard.clerk_type_summary(V.sol_facts(spark, sf)), ["funcionario"],
+                         [F.col("total").desc(), F.col("tipo_tramite_categoria").asc()])
 
 
 def terminal_share(spark, sf):
@@ -104,13 +108,15 @@ def category_counts(spark, sf):
 
 
 def clerk_metrics(spark, sf):
-    """A4 + P10 + J4 per cleaned SOL report."""
-    return metrics.clerk_metrics(V.sol_rows(spark, sf))
+    """A4 + P10 + J4 + O6 per cleaned SOL report (equal counts by clerk)."""
+    return with_position(metrics.clerk_metrics(V.sol_rows(spark, sf)), ["archivo_id"],
+                         [F.col("total_registros").desc(), F.col("funcionario").asc()])
 
 
 def clerk_category_metrics(spark, sf):
-    """A5 per cleaned SOL report."""
-    return metrics.clerk_category_metrics(V.sol_rows(spark, sf))
+    """A5 + O6 per cleaned SOL report (equal counts by category)."""
+    return with_position(metrics.clerk_category_metrics(V.sol_rows(spark, sf)), ["archivo_id"],
+                         [F.col("funcionario").asc(), F.col("cantidad").desc(), F.col("tipo_tramite").asc_nulls_last()])
 
 
 def global_threshold(spark, sf):
