@@ -36,6 +36,11 @@ def catalog_filter(catalog: DataFrame, tipo: str, mac: str | None = None, fecha=
     return catalog.where(cond)
 
 
+def catalog_files(catalog: DataFrame, tipo: str) -> DataFrame:
+    """The ids of all files of a type, whatever their state, as ``archivo_id``."""
+    return catalog.where(F.col("tipo") == tipo).select(F.col("id").alias("archivo_id"))
+
+
 def _period_rank() -> Column:
     expr = F.lit(len(PERIOD_ORDER))
     for name, rank in sorted(PERIOD_ORDER.items(), key=lambda kv: -kv[1]):
@@ -247,7 +252,7 @@ def clerk_detail(facts: DataFrame, nombre=None, mac=None, fecha=None, tipo=None)
     (office, date), optional category filter, presentation texts."""
     f = _clerk_scope(facts, nombre, mac, fecha)
     if tipo:
-        f = f.where((F.col("categoria") == tipo) | (F.col("categoria").isNull() & (F.lit(tipo) == C.NO_VALUE)))
+        f = f.where(F.coalesce("categoria", F.lit(C.NO_VALUE)) == tipo)
     d = f.join(_latest_groups(facts, nombre, mac, fecha), ["funcionario", "mac", "fecha"], "inner")
     return d.select(
         "funcionario", "mac", "fecha", "row_no",
@@ -316,3 +321,22 @@ def scoped_counts(users: DataFrame, facts: DataFrame) -> DataFrame:
     u = users.select("id", "username", "role_id", scope_of(F.col("role_id"), F.col("mac_asignado")).alias("alcance"))
     return (u.join(counts, u.alcance == counts._scope, "left")
              .select("id", "username", "alcance", F.coalesce("filas", F.lit(0)).cast("bigint").alias("filas_visibles")))
+
+
+def _scope(users: DataFrame, username: str) -> Column:
+    """P13 of one user as a scalar subquery: '*', an office, or null for nothing (also an unknown user)."""
+    one = users.where(F.col("username") == username)
+    return one.agg(F.min(scope_of(F.col("role_id"), F.col("mac_asignado")))).scalar()
+
+
+def scoped_rows(rows: DataFrame, users: DataFrame, username: str) -> DataFrame:
+    """The rows (of facts or of the catalog) that a user may see. The scope is a
+    one-row subquery inside the filter, so an administrator's rows are neither copied nor joined."""
+    scope = _scope(users, username)
+    return rows.where((scope == "*") | (F.col("mac") == scope))
+
+
+def latest_scoped_rows(facts: DataFrame, catalog: DataFrame, users: DataFrame, username: str, tipo: str = SOL_TYPE) -> DataFrame:
+    """P13 in "latest" mode: the fact rows of the O1 pick among the files that a user may see."""
+    pick = latest_file(scoped_rows(catalog, users, username), tipo)
+    return facts.join(pick.select(F.col("id").alias("archivo_id")), "archivo_id", "left_semi")

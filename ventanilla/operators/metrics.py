@@ -162,6 +162,16 @@ def cr_relative_outliers(cr_rows: DataFrame, keys=FILE, factor: float = OUTLIER_
         "atipicos")
 
 
+def cr_file_metrics(cr_rows: DataFrame, files: DataFrame, factor: float = OUTLIER_FACTOR) -> DataFrame:
+    """A10 for every received file: one without cleaned rows has the zero record
+    (no deliveries, no outliers, times of zero). ``files`` holds ``archivo_id``, repeated ids count once."""
+    m = cr_relative_outliers(cr_rows, FILE, factor)
+    all_files = files.select("archivo_id").distinct().join(m, "archivo_id", "full_outer")
+    zero = {"total_entregas": F.lit(0), "atipicos": F.lit(0)} | dict.fromkeys(
+        ("promedio_tiempo", "tiempo_minimo", "tiempo_maximo"), F.lit(C.ZERO_HMS))
+    return all_files.select("archivo_id", *[F.coalesce(c, zero[c]).alias(c) for c in m.columns if c != "archivo_id"])
+
+
 def cr_terminal_metrics(cr_rows: DataFrame, keys=FILE) -> DataFrame:
     """Per terminal (null kept as a group): non-null requests, mean / min / max."""
     h = F.col("centesimas")

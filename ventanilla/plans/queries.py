@@ -21,6 +21,10 @@ from ventanilla.sources import standins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Arguments of the registered queries for one user, office and category.
+USER, OFFICE, CATEGORY = "Supplier#000000003", "090852", "ENTREGA"
+SCOPED_COLUMNS = ["archivo_id", "row_no", "mac", "fecha", "funcionario", "centesimas"]
+
 
 def clerk_ranking(spark, sf):
     """A7 + F12 + O2 per stored SOL file."""
@@ -65,6 +69,12 @@ def cr_relative_outliers(spark, sf):
     return metrics.cr_relative_outliers(V.cr_clean(spark, sf))
 
 
+def cr_file_metrics(spark, sf):
+    """A10 + J4 for every CR file of the catalog: files without rows have the zero record."""
+    files = dashboard.catalog_files(standins.file_catalog(spark, sf), dashboard.CR_TYPE)
+    return metrics.cr_file_metrics(V.cr_clean(spark, sf), files)
+
+
 def cr_terminal_metrics(spark, sf):
     """A11 + O7 per cleaned CR report and terminal (no terminal comes last of equals)."""
     return with_position(metrics.cr_terminal_metrics(V.cr_clean(spark, sf)), ["archivo_id"],
@@ -237,6 +247,23 @@ def scoped_facts(spark, sf):
     return dashboard.scoped_counts(standins.users(spark, sf), V.sol_facts(spark, sf))
 
 
+def scoped_rows(spark, sf):
+    """The stored SOL rows that one user may see."""
+    seen = dashboard.scoped_rows(V.sol_facts(spark, sf), standins.users(spark, sf), USER)
+    return seen.select(*SCOPED_COLUMNS)
+
+
+def scoped_latest_rows(spark, sf):
+    """P13 + O1: the stored SOL rows of the latest file that one user may see."""
+    seen = dashboard.latest_scoped_rows(V.sol_facts(spark, sf), V.ingest_catalog(spark, sf), standins.users(spark, sf), USER)
+    return seen.select(*SCOPED_COLUMNS)
+
+
+def clerk_detail_for(spark, sf):
+    """P12 + P19: the detail rows of one office's clerks at their latest day there, of one category."""
+    return dashboard.clerk_detail(V.sol_facts(spark, sf), mac=OFFICE, tipo=CATEGORY)
+
+
 def upload_gate(spark, sf):
     """P20: accepted / rejected uploads with reason."""
     return quality.upload_gate(standins.uploads(spark, sf))

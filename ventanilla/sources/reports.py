@@ -13,8 +13,10 @@ SOL: header rows 21-22, data from row 23; CR: header rows 16-17, data from 18.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ventanilla.functions import columns as C
 
@@ -178,7 +180,13 @@ def union_listings(listings: list[DataFrame]) -> DataFrame:
 
 def read_csv_report(spark: SparkSession, path: str) -> DataFrame:
     """S7 + D5: CSV report with header (a UTF-8 BOM is dropped); repeated header
-    names keep their first occurrence; names are stripped and lower-cased."""
+    names keep their first occurrence; names are stripped and lower-cased. A path
+    that does not exist gives an empty report without columns."""
     from ventanilla.operators.compare import normalize_header
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    try:
+        df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([]))
     return normalize_header(df)
