@@ -557,7 +557,7 @@ c AS (SELECT mac AS alcance, count(*) AS filas FROM sol_facts GROUP BY mac UNION
 SELECT u.id, u.username, u.alcance, CAST(coalesce(c.filas, 0) AS BIGINT) AS filas_visibles FROM u LEFT JOIN c USING (alcance)"""
     user = """
 u AS (SELECT CASE WHEN s_nationkey = 1 THEN '*' WHEN s_suppkey % 3 = 0 THEN '090852' WHEN s_suppkey % 3 = 1 THEN '090853' END AS alcance
-      FROM supplier WHERE s_name = 'Supplier#000000003')"""
+      FROM supplier WHERE s_name = 'Supplier#000000004')"""
     seen = "SELECT archivo_id, row_no, mac, fecha, funcionario, centesimas FROM sol_facts"
     q["scoped_rows"] = w(SOL, user) + f"""
 {seen} WHERE EXISTS (SELECT 1 FROM u WHERE alcance = '*' OR alcance = mac)"""
@@ -565,13 +565,13 @@ u AS (SELECT CASE WHEN s_nationkey = 1 THEN '*' WHEN s_suppkey % 3 = 0 THEN '090
 {seen} WHERE archivo_id IN (SELECT id FROM icat JOIN u ON alcance = '*' OR alcance = icat.mac
   WHERE tipo = 'TIEMPOS_SOL' AND estatus = 'PROCESADO' AND activo ORDER BY {PICK_ORDER} LIMIT 1)"""
     q["clerk_detail_for"] = w(SOL, """
-lr AS (SELECT funcionario, max(fecha) AS fecha FROM sol_facts WHERE mac = '090852' GROUP BY funcionario)""") + f"""
+lr AS (SELECT funcionario, max(fecha) AS fecha FROM sol_facts WHERE mac = '090853' GROUP BY funcionario)""") + f"""
 SELECT f.funcionario, f.mac, f.fecha, f.row_no, coalesce(f.folio, 'Sin dato') AS folio_tramite,
        coalesce(f.tipo_tramite, 'Sin dato') AS tipo_tramite, coalesce(f.categoria, 'Sin dato') AS tipo_tramite_categoria,
        coalesce(strftime(f.hora_inicio, '%H:%M:%S'), 'Sin dato') AS hora_inicio, coalesce(f.hora_fin_txt, 'Sin dato') AS hora_fin,
        {hms_h('f.centesimas')} AS tiempo_atencion, coalesce(f.terminal, 'Sin dato') AS terminal,
        coalesce(f.domicilio_visible, 'Sin dato') AS domicilio_visible, 'Sin dato' AS estatus_tramite
-FROM sol_facts f JOIN lr USING (funcionario, fecha) WHERE f.mac = '090852' AND f.categoria = 'ENTREGA'"""
+FROM sol_facts f JOIN lr USING (funcionario, fecha) WHERE f.mac = '090853' AND f.categoria = 'ENTREGA'"""
     q["cr_file_metrics"] = w(CATALOG, q["cr_relative_outliers"].removeprefix("WITH").rsplit("\nSELECT archivo_id, total_entregas", 1)[0]) + f"""
 SELECT coalesce(g.archivo_id, f.archivo_id) AS archivo_id, coalesce(total_entregas, 0) AS total_entregas,
        coalesce({mean_hms('s', 'n', '00:00:00')}, '00:00:00') AS promedio_tiempo,

@@ -22,7 +22,7 @@ from ventanilla.sources import standins
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Arguments of the registered queries for one user, office and category.
-USER, OFFICE, CATEGORY = "Supplier#000000003", "090852", "ENTREGA"
+USER, OFFICE, CATEGORY = "Supplier#000000004", "090853", "ENTREGA"
 SCOPED_COLUMNS = ["archivo_id", "row_no", "mac", "fecha", "funcionario", "centesimas"]
 
 
