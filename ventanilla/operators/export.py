@@ -44,6 +44,6 @@ def report_name(file_name_col) -> F.Column:
     return F.concat(C.base_name(file_name_col), F.lit(REPORT_SUFFIX))
 
 
-def terminal_csv_rows(shares: DataFrame) -> DataFrame:
-    """Terminal, registros, porcentaje (the sample result layout)."""
-    return shares.select("terminal", "registros", "porcentaje")
+def terminal_csv_rows(shares: DataFrame, keys=()) -> DataFrame:
+    """Terminal, registros, porcentaje (the sample result layout), behind the group's keys."""
+    return shares.select(*keys, "terminal", "registros", "porcentaje")

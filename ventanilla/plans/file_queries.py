@@ -1,5 +1,6 @@
 """Queries that write and read files: batch ingest of a landing folder of
-report exports (S1-S5, S4) and the streaming ingest (T1, T2).
+report exports or workbooks (S1-S5, S4), the streaming ingest (T1, T2) and the
+report files (S9, S11).
 
 The landing folder is generated by Spark from the stand-in report rows
 (that only builds the input files); everything after the write -- reading,
@@ -15,12 +16,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventanilla.operators import clean
+from ventanilla.functions import columns as C
+from ventanilla.operators import clean, export, metrics
+from ventanilla.plans import views as V
 from ventanilla.session import scratch_path
-from ventanilla.sources import arrivals, reports, standins
+from ventanilla.sources import arrivals, named_files, reports, sheets, standins
 from ventanilla.streaming import ingest
 
 SOL_TITLE = "REPORTE DE TIEMPOS DE ATENCION"
+FILE_NAME = ("archivo_id", "nombre_archivo")
 CR_TITLE = "REPORTE DE ENTREGA DE CREDENCIALES"
 
 
@@ -110,6 +114,73 @@ def file_errors(spark: SparkSession, sf: str) -> DataFrame:
     return arrivals.file_errors(arrivals.received_files(spark, folder), reports.read_cells(spark, folder, by_directory=True))
 
 
+def _workbooks(spark: SparkSession, rows: DataFrame, headers: list[str], header_row: int, title: str) -> str:
+    """A landing folder with one workbook per report."""
+    folder = scratch_path(spark, f"libros-{uuid.uuid4().hex[:12]}")
+    parts = F.split("value", "\t")
+    lines = reports.export_lines(rows, headers, header_row, title).select(
+        F.lit("recibidos").alias("tipo"), C.base_name("reporte").alias("reporte"), "row_no", F.slice(parts, 2, F.size(parts) - 1).alias("cells"))
+    named_files.write_named(lines, folder, ["row_no"], named_files.ReportSheet)
+    return folder
+
+
+def _sol_workbooks(spark: SparkSession, sf: str) -> str:
+    return _workbooks(spark, standins.sol_report_rows(spark, sf), standins.SOL_HEADERS, reports.SOL_LAYOUT["header_row"], SOL_TITLE)
+
+
+def sheet_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + S4 + P1 + P8 from a landing folder of SOL workbooks: typed rows of every report."""
+    cells = sheets.read_sheets(sheets.sheet_files(spark, _sol_workbooks(spark, sf)))
+    return arrivals.sol_rows_of_files(cells).select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
+                                                    "terminal", "centesimas")
+
+
+def sheet_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and widest row of every workbook of a landing folder."""
+    cells = sheets.read_sheets(sheets.sheet_files(spark, _sol_workbooks(spark, sf)))
+    return reports.probe(cells)[0].select("nombre_archivo", "filas", "columnas")
+
+
+def sheet_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 + S3: stream a landing folder of CR workbooks into a table of cells; cleaned rows of the complete files."""
+    folder = _workbooks(spark, standins.cr_report_rows(spark, sf), standins.CR_HEADERS, reports.CR_LAYOUT["header_row"], CR_TITLE)
+    out = scratch_path(spark, f"celdas-{uuid.uuid4().hex[:12]}")
+    stream = sheets.read_sheets(sheets.sheet_file_stream(spark, folder))
+    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(out, "_avance"))
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = arrivals.cr_rows_of_files(spark.read.schema(stream.schema).parquet(out))[0]
+    return rows.select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
+
+
+def _written(spark: SparkSession, rows: DataFrame, tipo: str, report: F.Column, order: list, null: str = "") -> DataFrame:
+    """Writes one CSV file per report of ``rows`` and reads all files again, with their names as ``archivo``.
+
+    An empty cell reads as null where ``null`` is '', else as empty text.
+    """
+    folder = scratch_path(spark, f"reportes-{uuid.uuid4().hex[:12]}")
+    own = rows.drop(*FILE_NAME)
+    named_files.write_named(rows.select(F.lit(tipo).alias("tipo"), report.alias("reporte"), *own.columns), folder, order)
+    back = (spark.read.schema(own.schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).option("nullValue", null)
+            .csv(os.path.join(folder, tipo)))
+    return back.select(F.col("_metadata.file_name").alias("archivo"), *own.columns)
+
+
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 + F18 + P18: the clerks' report of every SOL file as one named CSV file, read back with its name."""
+    rows = V.sol_rows(spark, sf)
+    out = export.export_rows(metrics.clerk_metrics(rows, FILE_NAME), metrics.global_threshold(rows, FILE_NAME), FILE_NAME)
+    return _written(spark, out, "tiempos_sol", export.report_name("nombre_archivo"), ["funcionario"], null="(null)")
+
+
+def terminal_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and share per terminal of every SOL file as one named CSV file, the busiest first; read back with its name."""
+    shares = metrics.terminal_share(V.sol_rows(spark, sf), FILE_NAME)
+    out = export.terminal_csv_rows(shares, FILE_NAME)
+    name = F.concat(C.base_name("nombre_archivo"), F.lit("_metricas"))
+    return _written(spark, out, "terminales", name, [F.desc("registros"), "terminal"])
+
+
 FILE_QUERIES = {"sol_file_ingest": sol_file_ingest, "cr_file_ingest": cr_file_ingest, "file_errors": file_errors,
                 "report_file_ingest": report_file_ingest, "stream_ingest": stream_ingest,
-                "stream_cr_ingest": stream_cr_ingest}
+                "stream_cr_ingest": stream_cr_ingest, "sheet_file_ingest": sheet_file_ingest, "sheet_probe": sheet_probe,
+                "sheet_stream_ingest": sheet_stream_ingest, "report_files": report_files, "terminal_files": terminal_files}

@@ -9,6 +9,7 @@ DATE / DOUBLE / BOOLEAN only).
 from __future__ import annotations
 
 from ventanilla.sources.reports import CR_LAYOUT, SOL_LAYOUT
+from ventanilla.sources.standins import SOL_HEADERS
 
 # ---- scalar macros ----------------------------------------------------------
 
@@ -597,6 +598,24 @@ JOIN (SELECT archivo_id, row_no, centesimas FROM sol_facts) m ON t.archivo_id =
     sheet = f"row_no + {SOL_LAYOUT['header_row'] + 2} AS row_no"
     q["report_file_ingest"] = w(SOL) + f"""
 SELECT nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas FROM sol_rows"""
+    q["sheet_file_ingest"] = w(SOL) + f"""
+SELECT replace(nombre_archivo, '.xls', '.xlsx') AS nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas
+FROM sol_rows"""
+    # three rows of a report are its title and its two header rows
+    q["sheet_probe"] = w(SOL) + f"""
+SELECT concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '.xlsx') AS nombre_archivo, count(*) + 3 AS filas, {len(SOL_HEADERS)} AS columnas
+FROM sol_raw GROUP BY archivo_id, mac"""
+    q["sheet_stream_ingest"] = w(CR) + f"""
+SELECT replace(nombre_archivo, '.xls', '.xlsx') AS nombre_archivo, mac, row_no + {CR_LAYOUT['header_row'] + 2} AS row_no, fecha_entrega,
+       solicitud, terminal, centesimas FROM cr_clean"""
+    q["report_files"] = w(SOL, _clerk_metric_sql(["archivo_id"]), _export_sql(["archivo_id"])) + """
+SELECT concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '_reporte_funcionarios.csv') AS archivo, ex.* EXCLUDE (archivo_id)
+FROM ex JOIN (SELECT DISTINCT archivo_id, mac FROM sol_rows) USING (archivo_id)"""
+    q["terminal_files"] = w(SOL, """
+per AS (SELECT archivo_id, mac, terminal_txt AS terminal, count(*) AS registros FROM sol_rows GROUP BY ALL),
+tot AS (SELECT archivo_id, count(*) AS total FROM sol_rows GROUP BY ALL)""") + f"""
+SELECT concat('Rep_TiemAten_SOL_', mac, '_', archivo_id, '_metricas.csv') AS archivo, terminal, registros,
+       {pct_double('registros', 'total')} AS porcentaje FROM per JOIN tot USING (archivo_id)"""
     # which files deviate and how: see the queries' landing folder
     q["sol_file_ingest"] = w(SOL) + f"""
 SELECT nombre_archivo, mac, {sheet}, fecha, folio, categoria, funcionario, terminal, centesimas
