@@ -76,7 +76,10 @@ def test_unreadable_and_empty_workbooks(spark, tmp_path):
     workbook(tmp_path / "roto.xlsx", "<row r='1'><c r='A1'><v>1</v></c></row><row r='2'><c></row>")
     got = read(spark, tmp_path)
     assert [(r[0], r[1], r[4]) for r in got] == [
-        ("no.xlsx", None, sheets.UNREADABLE), ("roto.xlsx", None, sheets.UNREADABLE)]
+        ("no.xlsx", None, sheets.UNREADABLE), ("roto.xlsx", 1, None), ("roto.xlsx", None, sheets.UNREADABLE)]
+    workbook(tmp_path / "bien.xlsx", "<row r='1'><c r='A1'><v>1</v></c></row>")
+    whole = sheets.whole_files(sheets.read_sheets(sheets.sheet_files(spark, str(tmp_path)))).collect()
+    assert [(r.nombre_archivo, r.cells) for r in whole] == [("bien.xlsx", ["1"])]
     os.mkdir(tmp_path / "vacia")
     assert read(spark, tmp_path / "vacia") == []
 

@@ -128,39 +128,47 @@ def _sol_workbooks(spark: SparkSession, sf: str) -> str:
     return _workbooks(spark, standins.sol_report_rows(spark, sf), standins.SOL_HEADERS, reports.SOL_LAYOUT["header_row"], SOL_TITLE)
 
 
+def _cells_table(spark: SparkSession) -> str:
+    return scratch_path(spark, f"celdas-{uuid.uuid4().hex[:12]}")
+
+
+def _stored_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the SOL workbooks, each file parsed once into a table: headers and rows are read apart."""
+    cells, out = sheets.read_sheets(sheets.sheet_files(spark, _sol_workbooks(spark, sf))), _cells_table(spark)
+    cells.write.parquet(out)
+    return sheets.whole_files(spark.read.schema(cells.schema).parquet(out))
+
+
 def sheet_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """S2 + S4 + P1 + P8 from a landing folder of SOL workbooks: typed rows of every report."""
-    cells = sheets.read_sheets(sheets.sheet_files(spark, _sol_workbooks(spark, sf)))
+    cells = _stored_cells(spark, sf)
     return arrivals.sol_rows_of_files(cells).select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
                                                     "terminal", "centesimas")
 
 
 def sheet_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and widest row of every workbook of a landing folder."""
-    cells = sheets.read_sheets(sheets.sheet_files(spark, _sol_workbooks(spark, sf)))
+    cells = _stored_cells(spark, sf)
     return reports.probe(cells)[0].select("nombre_archivo", "filas", "columnas")
 
 
 def sheet_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """T1 + S3: stream a landing folder of CR workbooks into a table of cells; cleaned rows of the complete files."""
     folder = _workbooks(spark, standins.cr_report_rows(spark, sf), standins.CR_HEADERS, reports.CR_LAYOUT["header_row"], CR_TITLE)
-    out = scratch_path(spark, f"celdas-{uuid.uuid4().hex[:12]}")
+    out = _cells_table(spark)
     stream = sheets.read_sheets(sheets.sheet_file_stream(spark, folder))
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(out, "_avance"))
      .trigger(availableNow=True).start().awaitTermination())
-    rows = arrivals.cr_rows_of_files(spark.read.schema(stream.schema).parquet(out))[0]
+    rows = arrivals.cr_rows_of_files(sheets.whole_files(spark.read.schema(stream.schema).parquet(out)))[0]
     return rows.select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
 
 
-def _written(spark: SparkSession, rows: DataFrame, tipo: str, report: F.Column, order: list, null: str = "") -> DataFrame:
-    """Writes one CSV file per report of ``rows`` and reads all files again, with their names as ``archivo``.
-
-    An empty cell reads as null where ``null`` is '', else as empty text.
-    """
+def _written(spark: SparkSession, rows: DataFrame, tipo: str, report: F.Column, order: list) -> DataFrame:
+    """Writes one CSV file per report of ``rows`` and reads all files again, with their names as ``archivo``; empty cells are null."""
     folder = scratch_path(spark, f"reportes-{uuid.uuid4().hex[:12]}")
     own = rows.drop(*FILE_NAME)
     named_files.write_named(rows.select(F.lit(tipo).alias("tipo"), report.alias("reporte"), *own.columns), folder, order)
-    back = (spark.read.schema(own.schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).option("nullValue", null)
+    back = (spark.read.schema(own.schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False)
             .csv(os.path.join(folder, tipo)))
     return back.select(F.col("_metadata.file_name").alias("archivo"), *own.columns)
 
@@ -169,7 +177,8 @@ def report_files(spark: SparkSession, sf: str) -> DataFrame:
     """S9 + F18 + P18: the clerks' report of every SOL file as one named CSV file, read back with its name."""
     rows = V.sol_rows(spark, sf)
     out = export.export_rows(metrics.clerk_metrics(rows, FILE_NAME), metrics.global_threshold(rows, FILE_NAME), FILE_NAME)
-    return _written(spark, out, "tiempos_sol", export.report_name("nombre_archivo"), ["funcionario"], null="(null)")
+    # P18 has empty texts and no null ones
+    return _written(spark, out, "tiempos_sol", export.report_name("nombre_archivo"), ["funcionario"]).fillna("")
 
 
 def terminal_files(spark: SparkSession, sf: str) -> DataFrame:

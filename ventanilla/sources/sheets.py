@@ -107,6 +107,11 @@ def read_sheets(files: DataFrame, block: int = BLOCK) -> DataFrame:
                         "modificationTime", "row_no", "cells", "tipos", "motivo")
 
 
+def whole_files(cells: DataFrame) -> DataFrame:
+    """The cells of the files that could be read to their end. Reads ``cells`` twice: store them first."""
+    return cells.join(cells.where("motivo is not null").select("archivo_id").distinct(), "archivo_id", "left_anti")
+
+
 UNREADABLE = "Libro ilegible"
 WORKBOOK_ERRORS = (StopIteration, zipfile.BadZipFile, zlib.error, EOFError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, ET.ParseError)
 BLOCK_FIELDS = [("path", pa.string()), ("modificationTime", None), ("inicio", pa.int64()), ("fin", pa.int64()), ("motivo", pa.string())]
