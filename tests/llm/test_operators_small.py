@@ -588,3 +588,46 @@ def test_packing_ids_equal_the_library():
         got = [x for a in range(0, len(texts), piece) for x in words.encode(pa.array(texts[a:a + piece], pa.string()))]
         assert [g.tolist() for g in got] == want
     assert list(words.encode(pa.array([], pa.string()))) == []
+
+
+def test_windows_hold_all_neighbours_of_a_sentence():
+    assert toxicity.windows("") == [] and toxicity.windows(" \n. ") == []
+    assert toxicity.windows("One. Two") == ["one", "two"]
+    assert toxicity.windows("a b c d e f g! h.i") == ["a b c d", "d e f g", "h.i"]
+    for n in range(2, 30):
+        words = [str(i) for i in range(n)]
+        got = toxicity.windows(" ".join(words))
+        assert all(any(f" {a} {b} " in f" {w} " for w in got) for a, b in zip(words, words[1:], strict=False))
+
+
+def test_window_margins_in_parts_and_on_long_texts():
+    rng = np.random.default_rng(1)
+    theta = rng.normal(size=toxicity.CLASSES ** 3)
+    texts = ["", "one", "some more words here. And more of them", " ".join(f"w{i}x" for i in range(30_000))]
+    want = {i: toxicity.margins(toxicity.windows(t), theta, 0.5) for i, t in enumerate(texts) if t}
+    for most in (1, 3, 20_000):
+        got: dict[int, list] = {}
+        for i, mine, m in toxicity.window_margins(texts[:3] if most < 9 else texts, theta, 0.5, most):
+            assert len(mine) == len(m) <= most
+            got.setdefault(i, []).extend(m)
+        assert all(np.allclose(got[i], want[i]) for i in got) and set(got) == set(list(want)[:len(got)])
+
+
+def test_toxicity_machine_learns_from_windows_across_word_borders(spark):
+    rows = [(i, f"plain words {'dirty rat' if i % 2 else 'rat and dirty'} end {i % 7}") for i in range(200)]
+    bound = spark.createDataFrame([(i, i % 2, t) for i, t in rows], "doc_id bigint, toxic int, text string")
+    theta, bias = toxicity.fit_words(["dirty"], ["plain", "words"])
+    a, b, both = toxicity.fit_windows(bound, theta, bias)
+    for machine in (a, b, both):
+        near, apart = toxicity.margins(["words dirty rat end", "words rat and dirty"], *machine)
+        assert near > apart
+    empty = toxicity.fit_windows(bound.limit(0), theta, bias)
+    assert all(not t.any() and c == toxicity.NONE for t, c in empty)
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows, labels = toxic_rows()
+    lab = spark.createDataFrame(labels + labels, "doc_id bigint, toxic int")
+    once = out(toxicity.toxicity_report(docs(spark, rows), lab), "doc_id", "score")
+    twice = out(toxicity.toxicity_report(docs(spark, rows + rows), lab), "doc_id", "score")
+    assert sorted(twice) == sorted(once + once)

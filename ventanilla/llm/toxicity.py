@@ -2,13 +2,17 @@
 
 Two words are alike in the kernel when they share subsequences of three
 letters, each weighted by the stretch it spans, so letters put in between
-lower a match without losing it. The machine is trained on words of labelled
-texts; a text's score comes from its worst words.
+lower a match without losing it. One machine is trained on words of labelled
+texts. A second one is trained on windows of the labelled texts' sentences,
+across word borders: the worst window of a toxic text against windows of
+clean texts, found again with the machine just trained. A text's score comes
+from its worst words and its worst window.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,12 @@ LANDMARKS, DECAY, SPAN = 96, 0.8, 6
 CLASSES = 64
 #: Worst words of a text that its score sees, and the margin that stands for a missing one.
 WORST, NONE = 3, -2.0
+#: Numbers of a text that its score sees: worst words, worst window, log of its number of words.
+FEATURES = WORST + 2
+#: Words of a window and from one window's start to the next: any two neighbours of a sentence share one.
+WINDOW, STRIDE = 4, 3
+#: Times that the worst windows of the labelled texts are taken and the window machine is trained.
+WINDOW_ROUNDS = 2
 #: Words whose margin a task remembers.
 CACHE = 150_000
 #: Rows of a batch that are handled at a time.
@@ -40,6 +50,17 @@ ROWS = 1000
 #: Three or more single characters in a row are read as one word.
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
+_SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
+
+
+def windows(text: str) -> list[str]:
+    """The windows of a text's sentences, in lower case; none without words."""
+    out = []
+    for sentence in _SENTENCE.split(text.lower()):
+        words = sentence.split()
+        out += [" ".join(words[a:a + WINDOW]) for a in range(0, max(len(words) - 1, min(len(words), 1)), STRIDE)]
+    return out
+
 
 def _letter_classes() -> np.ndarray:
     """Class of each code point below 0x250: a-z in either case, other letters; 0 for all else (a gap)."""
@@ -94,10 +115,10 @@ def _gapped(words: list[str], rng) -> list[str]:
     return out
 
 
-def fit_words(good: list[str], ordinary: list[str], seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights per feature and bias of the machine that tells telling words from ordinary ones.
+def fit_words(good: list[str], ordinary: list[str], seed: int = 3, gapped: bool = True) -> tuple[np.ndarray, float]:
+    """Weights per feature and bias of the machine that tells telling words (or windows) from ordinary ones.
 
-    Landmarks are the commonest telling words and some ordinary ones. The
+    Landmarks are the first telling words and some ordinary ones. The
     Nystroem features of a word are its kernels with the landmarks times the
     inverse root of their own kernel matrix; the squared hinge is minimised
     by Newton steps. Both maps are linear, so they fold into one weight per
@@ -105,22 +126,27 @@ def fit_words(good: list[str], ordinary: list[str], seed: int = 3) -> tuple[np.n
     """
     rng = np.random.default_rng(seed)
     marks = good[:LANDMARKS * 2 // 3] + [str(w) for w in rng.permutation(ordinary)[:LANDMARKS // 3]]
-    yes = good + _gapped(good, rng)
-    no = ordinary + _gapped([str(w) for w in rng.permutation(ordinary)[:1500]], rng)
+    yes = good + (_gapped(good, rng) if gapped else [])
+    no = ordinary + (_gapped([str(w) for w in rng.permutation(ordinary)[:1500]], rng) if gapped else [])
     words = marks + yes + no
     y = np.concatenate((np.where(np.arange(len(marks)) < len(good[:LANDMARKS * 2 // 3]), 1.0, -1.0), np.ones(len(yes)), -np.ones(len(no))))
     m = len(marks)
-    table = np.zeros((CLASSES ** 3, m), np.float32)
+    # only features of landmarks count; the last row stands for all others
+    found = list(subsequences(marks))
+    held = np.unique(np.concatenate([f for _, f, _ in found] + [np.zeros(0, np.int32)]))
+    slot = np.full(CLASSES ** 3, len(held), np.int32)
+    slot[held] = np.arange(len(held))
+    table = np.zeros((len(held) + 1, m), np.float32)
     norm = np.zeros(m)
-    for word, feature, weight in subsequences(marks):
-        np.add.at(table, (feature, word), weight)
+    for word, feature, weight in found:
+        np.add.at(table, (slot[feature], word), weight)
         norm += np.bincount(word, minlength=m) * weight ** 2
     table /= np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
     k = np.zeros((len(words), m))
     norm = np.zeros(len(words))
     for word, feature, weight in subsequences(words):
         for a in range(0, len(word), 50_000):
-            w, part = word[a:a + 50_000], table[feature[a:a + 50_000]]
+            w, part = word[a:a + 50_000], table[slot[feature[a:a + 50_000]]]
             first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
             k[w[first]] += weight * np.add.reduceat(part, first)
         norm += np.bincount(word, minlength=len(words)) * weight ** 2
@@ -138,14 +164,48 @@ def fit_words(good: list[str], ordinary: list[str], seed: int = 3) -> tuple[np.n
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
-    return (table @ (root @ w[:m])).astype(np.float64), float(w[m])
+    theta = np.zeros(CLASSES ** 3)
+    theta[held] = (table @ (root @ w[:m]))[:-1]
+    return theta, float(w[m])
+
+
+def window_margins(texts: list[str], theta: np.ndarray, bias: float, most: int = 20_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """``text number, its windows, their margins`` for every text; a text of many windows comes in parts."""
+    part, owners = [], []
+
+    def settle():
+        if part:
+            m = margins(part, theta, bias)
+            at = 0
+            for i, n in owners:
+                yield i, part[at:at + n], m[at:at + n]
+                at += n
+
+    for i, t in enumerate(texts):
+        mine = windows(t)
+        for a in range(0, len(mine), most):
+            some = mine[a:a + most]
+            part += some
+            owners.append((i, len(some)))
+            if len(part) >= most:
+                yield from settle()
+                part, owners = [], []
+    yield from settle()
 
 
 class WordMargins:
-    """Margins of words, each distinct one computed once while it is remembered."""
+    """Margins of words, each distinct one computed once while it is remembered, and of windows."""
+
+    def __init__(self, theta: np.ndarray, bias: float, window: tuple[np.ndarray, float] | None = None) -> None:
+        self.theta, self.bias, self.window, self.known = theta, bias, window, {}
 
-    def __init__(self, theta: np.ndarray, bias: float) -> None:
-        self.theta, self.bias, self.known = theta, bias, {}
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Per text what its score sees: its worst words, its worst window, the log of its number of words."""
+        words = self.worst(texts)
+        top = np.full(len(texts), NONE)
+        for i, _, m in window_margins(texts, *self.window):
+            top[i] = max(top[i], m.max())
+        return np.column_stack((words[:, :WORST], top, words[:, WORST:]))
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Per text: its ``WORST`` largest margins of distinct words, and the log of their number."""
@@ -205,9 +265,9 @@ def held_out(c: str = "doc_id") -> Column:
 
 def no_evidence() -> dict:
     """The model of no evidence: a score of about 0.27 for every text."""
-    weights = np.zeros(WORST + 2)
+    weights = np.zeros(FEATURES + 1)
     weights[-1] = -1.0
-    return {"theta": np.zeros(CLASSES ** 3), "bias": 0.0, "weights": weights}
+    return {"theta": np.zeros(CLASSES ** 3), "bias": 0.0, "window": (np.zeros(CLASSES ** 3), 0.0), "weights": weights}
 
 
 def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -266,16 +326,71 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         ordinary = list(dict.fromkeys(ordinary + [r["word"] for r in hard]))
         theta, bias = fit_words(good, ordinary)
 
+    rounds = fit_windows(bound, theta, bias)
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordMargins(theta, bias)
+        # the window machine that judges a labelled text here has not seen it
+        known = [WordMargins(theta, bias, rounds[f]) for f in (0, 1)]
         for b in batches:
-            x = [known.worst(part) for part in _chunks(b.column(1))]
-            x = np.concatenate(x) if x else np.zeros((0, WORST + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
+            for toxic, fold, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = known[fold].features([text])
+                yield pa.RecordBatch.from_arrays([pa.array([toxic.as_py()], pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))],
+                                                 names=["toxic", "x"])
 
-    found = bound.select("toxic", "text").mapInArrow(seen, schema("toxic int, x array<double>")).toPandas()
+    found = bound.select("toxic", _fold().alias("fold"), "text").mapInArrow(seen, schema("toxic int, x array<double>")).toPandas()
     x = np.stack([np.asarray(v) for v in found["x"]])
-    return {"theta": theta, "bias": bias, "weights": _logistic(x, found["toxic"].to_numpy(np.float64))}
+    return {"theta": theta, "bias": bias, "window": rounds[2], "weights": _logistic(x, found["toxic"].to_numpy(np.float64))}
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int")
+
+
+def fit_windows(bound: DataFrame, theta: np.ndarray, bias: float) -> list[tuple[np.ndarray, float]]:
+    """Window machines of the labelled texts ``bound(doc_id, toxic, text)``: without fold 0, without fold 1, of all.
+
+    A toxic text gives its worst window, a clean one its worst and one more; at
+    first the worst is that of the worst word, then that of the machine before.
+    The driver gets two windows a labelled text, a bounded number.
+    """
+    machine, no = None, {}
+    for _ in range(WINDOW_ROUNDS):
+
+        def pick(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for fold, toxic, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    mine = windows(text)
+                    if not mine:
+                        continue
+                    if machine is None:
+                        words = sorted(set(" ".join(mine).split()))
+                        worst = words[int(np.argmax(margins(words, theta, bias)))]
+                        at = next(i for i, w in enumerate(mine) if worst in w.split())
+                    else:
+                        at = int(np.argmax(margins(mine, *machine)))
+                    rows.append((fold, toxic, mine[at], mine[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(mine)]))
+                if rows:
+                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                                     names=["fold", "toxic", "worst", "any"])
+
+        got = bound.select(_fold().alias("fold"), "toxic", "text").mapInArrow(pick, schema("fold int, toxic int, worst string, any string"))
+        got = sorted(got.collect())
+        yes = [(r["fold"], r["worst"]) for r in got if r["toxic"]]
+        for r in got:
+            if not r["toxic"]:
+                no[r["any"]] = no[r["worst"]] = r["fold"]
+        machine = _fit_part(yes, no, None)
+    return [_fit_part(yes, no, 0), _fit_part(yes, no, 1), machine]
+
+
+def _fit_part(yes: list[tuple[int, str]], no: dict[str, int], without: int | None) -> tuple[np.ndarray, float]:
+    good, plain = [w for f, w in yes if f != without], [w for w, f in no.items() if f != without]
+    if not good or not plain:
+        return np.zeros(CLASSES ** 3), NONE
+    rng = np.random.default_rng(7)
+    return fit_words([good[i] for i in rng.permutation(len(good))], plain, gapped=False)
 
 
 def score_texts(docs: DataFrame, model: dict) -> DataFrame:
@@ -284,10 +399,10 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        known, w = WordMargins(m["theta"], m["bias"]), m["weights"]
+        known, w = WordMargins(m["theta"], m["bias"], m["window"]), m["weights"]
         for b in batches:
-            x = [known.worst(part) for part in _chunks(b.column(1))]
-            x = np.concatenate(x) if x else np.zeros((0, WORST + 1))
+            x = [known.features(part) for part in _chunks(b.column(1))]
+            x = np.concatenate(x) if x else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(x, w))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema("doc_id bigint, score double"))
@@ -317,11 +432,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        known, w = WordMargins(m["theta"], m["bias"]), m["weights"]
+        known, w = WordMargins(m["theta"], m["bias"], m["window"]), m["weights"]
         for b in batches:
             for a in range(0, b.num_rows, ROWS):
                 rows = b.slice(a, ROWS)
-                x = [known.worst(part) for part in _chunks(rows.column(at).fill_null(""))]
+                x = [known.features(part) for part in _chunks(rows.column(at).fill_null(""))]
                 yield rows.filter(pa.array(probability(np.concatenate(x), w) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
