@@ -353,7 +353,7 @@ def fit_windows(bound: DataFrame, theta: np.ndarray, bias: float) -> list[tuple[
     first the worst is that of the worst word, then that of the machine before.
     The driver gets two windows a labelled text, a bounded number.
     """
-    machine, no = None, {}
+    machine, no = None, set()
     for _ in range(WINDOW_ROUNDS):
 
         def pick(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
@@ -380,13 +380,13 @@ def fit_windows(bound: DataFrame, theta: np.ndarray, bias: float) -> list[tuple[
         yes = [(r["fold"], r["worst"]) for r in got if r["toxic"]]
         for r in got:
             if not r["toxic"]:
-                no[r["any"]] = no[r["worst"]] = r["fold"]
+                no.update({(r["fold"], r["any"]), (r["fold"], r["worst"])})
         machine = _fit_part(yes, no, None)
     return [_fit_part(yes, no, 0), _fit_part(yes, no, 1), machine]
 
 
-def _fit_part(yes: list[tuple[int, str]], no: dict[str, int], without: int | None) -> tuple[np.ndarray, float]:
-    good, plain = [w for f, w in yes if f != without], [w for w, f in no.items() if f != without]
+def _fit_part(yes: list[tuple[int, str]], no: set[tuple[int, str]], without: int | None) -> tuple[np.ndarray, float]:
+    good, plain = [w for f, w in yes if f != without], sorted({w for f, w in no if f != without})
     if not good or not plain:
         return np.zeros(CLASSES ** 3), NONE
     rng = np.random.default_rng(7)
