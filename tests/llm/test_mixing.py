@@ -123,3 +123,20 @@ def test_very_long_and_hot(spark):
     total = sum(r.size for r in got)
     assert total == 406_003 and {(r.target) for r in got if r.doc_id == 3} == {9.0}
     assert sum(r.taken for r in got if r.doc_id == 2) == 18_000 and [r.taken for r in got if r.doc_id == 1] == [total - 18_009]
+
+
+def test_report_comes_from_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    df = docs(spark, [(k, "w " * (k % 9), "abc"[k % 3]) for k in range(300)])
+    held = defaultdict(list)
+    for r in mixing.mix_documents(df, per_shard=4).collect():
+        held[r.shard].append(r)
+    first, taken = {}, Counter()
+    for shard in sorted(held):
+        for place, r in enumerate(sorted(held[shard], key=lambda r: r.place)):
+            first.setdefault(r.doc_id, (shard, place))
+            taken[r.doc_id] += r.words
+    got = mixing.mix_report(df, per_shard=4).collect()
+    assert len(held) > 3
+    assert {r.doc_id: (r.first_shard, r.first_place) for r in got if r.taken} == first
+    assert all(r.taken == taken[r.doc_id] and (r.taken > 0) == (r.first_shard is not None) for r in got)

@@ -212,12 +212,27 @@ def _each_copy(placed: DataFrame) -> DataFrame:
             .withColumn("last", last.cast("bigint")))
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
-    """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    sources, placed, _ = mix_plan(docs)
-    taken = F.col("epochs") * F.col("size") + F.col("last")
-    return (_each_copy(placed).join(sources.select("no", "source_size", "target"), "no")
-            .select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken")))
+def _pieces(placed: DataFrame, blocks: DataFrame, per_shard: int) -> DataFrame:
+    """One row per copy and drawn epoch: its words, its shard and ``place``, by which the shard is shuffled."""
+    copies = _each_copy(placed.where("size > 0"))
+    words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("last"))
+    return (copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs")))).withColumn("words", words).where("words > 0")
+            .join(shard_draws(blocks, per_shard), ["no", "block", "epoch"]).withColumn("place", _hash("place", "key", "copy", "epoch")))
+
+
+def mix_report(docs: DataFrame, per_shard: int = SHARD_DRAWS) -> DataFrame:
+    """Per document its size, its source's size and target, the words that the shards of the mix hold of it (``taken``),
+    and where the mix has it first: ``first_shard`` and its row there, ``first_place``, from 0; null if nowhere."""
+    sources, placed, blocks = mix_plan(docs)
+    shuffled = Window.partitionBy("shard").orderBy("place", "key", "copy", "epoch")  # a shard is a few blocks
+    row = F.row_number().over(shuffled).cast("bigint") - 1
+    mine = ["no", "doc_id", "size", "key", "copy"]
+    drawn = _pieces(placed, blocks, per_shard).select(*mine, "words", (F.shiftleft(F.col("shard"), 32) + row).alias("at"))
+    none = _each_copy(placed).select(*mine, F.lit(0).cast("bigint").alias("words"), F.lit(None).cast("bigint").alias("at"))
+    per_copy = none.unionByName(drawn).groupBy(*mine).agg(F.sum("words").alias("taken"), F.min("at").alias("at"))
+    return (per_copy.join(sources.select("no", "source_size", "target"), "no")
+            .select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"),
+                    F.shiftright("at", 32).alias("first_shard"), F.col("at").bitwiseAND((1 << 32) - 1).alias("first_place")))
 
 
 def shard_draws(blocks: DataFrame, per_shard: int = SHARD_DRAWS) -> DataFrame:
@@ -239,12 +254,9 @@ def mix_documents(docs: DataFrame, per_shard: int = SHARD_DRAWS) -> DataFrame:
     A document comes once per epoch; a cut one ends with its last taken word.
     """
     _, placed, blocks = mix_plan(docs)
-    copies = _each_copy(placed.where("size > 0"))
-    words = F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("last"))
-    taken = (copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs")))).withColumn("words", words).where("words > 0")
-             .join(shard_draws(blocks, per_shard), ["no", "block", "epoch"]))
+    taken = _pieces(placed, blocks, per_shard)
     texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"])
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"))
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")).otherwise(F.col("text"))
-    out = taken.join(texts, "key").select("shard", _hash("place", "key", "copy", "epoch").alias("place"), "doc_id", "source", "epoch", "words", text.alias("text"))
+    out = taken.join(texts, "key").select("shard", "place", "doc_id", "source", "epoch", "words", text.alias("text"))
     return out.repartition("shard").sortWithinPartitions("shard", "place")
