@@ -74,17 +74,18 @@ def file_stats(by_key: DataFrame, required: list[str], office_col: str | None =
     kept = first.isNotNull()
     long_viol = [(n, F.coalesce(F.length(first.getField(c)) > n, F.lit(False))) for c, n in (lengths or {}).items()]
     range_viol = F.coalesce(F.abs(first.getField("centesimas")) >= max_hundredths, F.lit(False)) if lengths else F.lit(False)
-    reason = (F.when(kept & null_viol, F.format_string(MSG_NOT_NULL.replace("{col}", "%s"), F.lit(required[0])))
-               .when(kept & office_viol, F.lit(MSG_CHECK.replace("{col}", office_col or ""))))
-    for n, viol in long_viol:
-        reason = reason.when(kept & viol, F.lit(MSG_LENGTH.format(n=n)))
-    reason = reason.when(kept & range_viol, F.lit(MSG_RANGE))
+    viols = [(MSG_NOT_NULL.format(col=required[0]), null_viol), (MSG_CHECK.format(col=office_col or ""), office_viol),
+             *[(MSG_LENGTH.format(n=n), viol) for n, viol in long_viol], (MSG_RANGE, range_viol)]
+    # reasons by their rank among all texts: whole numbers are aggregated by hash, texts would be sorted
+    texts = sorted({text for text, _ in viols})
+    reason = reduce(lambda rest, v: F.when(kept & v[1], F.lit(texts.index(v[0]))).otherwise(rest), reversed(viols), F.lit(None).cast("int"))
     return (by_key.groupBy(F.col("_k0").alias(FILE))
                   .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
                        F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
                        F.count_if(kept).alias("filas_conservadas"),
                        F.count_if(reason.isNotNull()).alias("violaciones"),
-                       F.min(reason).alias("motivo_rechazo"))
+                       F.min(reason).alias("_motivo"))
+                  .withColumn("motivo_rechazo", F.get(F.array(*[F.lit(t) for t in texts]), F.col("_motivo"))).drop("_motivo")
                   .withColumn("aceptado", F.col("violaciones") == 0)
                   .withColumn("fecha_operativa", F.col("fecha_fin"))
                   .withColumn("tipo_periodo", F.when(F.col("fecha_inicio") != F.col("fecha_fin"), F.lit(PERIOD_WEEKLY))

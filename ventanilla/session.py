@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -64,3 +65,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for staged tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that what follows computes it only once."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.partitionBy(*partition_by or []).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
