@@ -55,6 +55,37 @@ def test_t2_a_replayed_batch_replaces_its_own_output(spark, tmp_path):
     assert ledger.count() == 4 and final == {"1": "PROCESADO", "2": "ERROR"}
 
 
+def test_a_stream_without_accepted_files_has_no_facts(spark, tmp_path):
+    from ventanilla.plans import file_queries
+    from ventanilla.streaming import ingest
+    landing = tmp_path / "landing" / "reporte=Rep_TiemAten_SOL_090852_1.xls"
+    landing.mkdir(parents=True)
+    # the one data row has no date, so the gate refuses its file
+    (landing / "a.txt").write_text("21\tTERMINAL\tSOLICITUD\tFECHA DE TRAMITE\tTIPO DE TRAMITE\tNOMBRE FUNCIONARIO\n22\t\t\t\t\t\n"
+                                   "23\tT1\tS1\tsin fecha\tInscripción\tANA\n")
+    out = file_queries._streamed(spark, str(tmp_path / "landing"))
+    assert ingest.stored(spark, out, "facts").count() == 0 and ingest.stored(spark, out, "facts_cr").count() == 0
+    assert [r.estatus for r in spark.read.parquet(os.path.join(out, "ledger")).where("seq = 1").collect()] == ["ERROR"]
+    ingest.compact(spark, out, str(tmp_path / "compact"))
+
+
+def test_of_equal_type_headers_the_last_one_a_row_reaches_counts(spark):
+    rows = [(1, "f", 1, ["A", "TRAMITE", " tramite "]), (1, "f", 2, ["", "", ""]), (1, "f", 3, ["x", "y", "z"]), (1, "f", 4, ["x", "y"]), (1, "f", 5, [])]
+    cells = spark.createDataFrame(rows, "archivo_id bigint, nombre_archivo string, row_no bigint, cells array<string>")
+    got = reports.report_rows(cells, ["A", "TRAMITE", "B"], 1, False, any_case=["TRAMITE"])
+    assert sorted((r.row_no, r.A, r.TRAMITE, r.B) for r in got.collect()) == [(3, "x", "z", None), (4, "x", "y", None), (5, None, None, None)]
+    plan = reports.flatten_headers(cells, 1, False)._jdf.queryExecution().toString()
+    assert "Join" not in plan  # both header rows in one reading
+
+
+def test_a_query_parses_every_report_once(spark, monkeypatch):
+    parsed = []
+    was_by_key = V.store.ingest_by_key
+    monkeypatch.setattr(V.store, "ingest_by_key", lambda *a, **k: (parsed.append(1), was_by_key(*a, **k))[1])
+    V.facts_and_catalog(spark, SF_SMALL, ["archivo_id"], ["archivo_id"])
+    assert len(parsed) == 2
+
+
 def test_list_reports_prunes_content(spark, tmp_path):
     for n in ["Rep_TiemAten_SOL_090852_a.xls", "x_cr_090853.xlsx", "notes.txt"]:
         (tmp_path / n).write_text("x")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ventanilla.operators import clean, intake, rollups
 from ventanilla.plans import views as V
 from ventanilla.plans.file_queries import SOL_TITLE, _mixed_landing
-from ventanilla.session import scratch_path
+from ventanilla.session import scratch_path, staged
 from ventanilla.sources import reports, standins
 from ventanilla.sources.fact_store import FactStore
 from ventanilla.streaming.intake import start_intake
@@ -25,7 +25,7 @@ def new_store(spark: SparkSession) -> FactStore:
 def stored(spark: SparkSession, sf: str) -> FactStore:
     """A store with all reports of both kinds, gated by their uploads, ingested as one batch."""
     target = new_store(spark)
-    uploads = standins.report_uploads(spark, sf)
+    uploads = staged(standins.report_uploads(spark, sf), "subidas")
     received = uploads.select("archivo_id", "nombre_archivo", V.C.office_of("nombre_archivo").alias("mac"),
                               V.C.report_type_of("nombre_archivo").alias("tipo"), "fecha_carga")
     intake.ingest_reports(target, 0, received, V.sol_rows(spark, sf), clean.cr_fact_projection(V.cr_clean(spark, sf)), uploads)
@@ -47,7 +47,7 @@ def store_catalog(spark: SparkSession, sf: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf: str) -> FactStore:
     target = new_store(spark)
     folder = _mixed_landing(spark, sf, one_file_per_report=True)
-    start_intake(target, os.path.join(folder, "*", "*.txt"), target.path("_avance"), standins.report_uploads(spark, sf)).awaitTermination()
+    start_intake(target, os.path.join(folder, "*", "*.txt"), target.path("_avance"), staged(standins.report_uploads(spark, sf), "subidas")).awaitTermination()
     return target
 
 
@@ -68,11 +68,11 @@ def reupload_states(spark: SparkSession, sf: str) -> DataFrame:
     """D6 + T1: every third SOL report is uploaded again under a new name; refused while the option is on."""
     target = new_store(spark)
     folder = scratch_path(spark, f"landing-{uuid.uuid4().hex[:12]}")
-    rows = standins.sol_report_rows(spark, sf)
+    rows = staged(standins.sol_report_rows(spark, sf), "renglones")
     again = rows.where("archivo_id % 3 = 0").withColumn("nombre_archivo", F.concat(F.lit("copia_"), "nombre_archivo"))
     lines = reports.export_lines(rows.unionByName(again), standins.SOL_HEADERS, reports.SOL_LAYOUT["header_row"], SOL_TITLE)
     reports.write_exports(lines, folder, one_file_per_report=True)
-    uploads = standins.report_uploads(spark, sf).withColumn("role_id", F.lit(1)).withColumn("tipo_esperado", F.lit(None).cast("string"))
+    uploads = staged(standins.report_uploads(spark, sf), "subidas").withColumn("role_id", F.lit(1)).withColumn("tipo_esperado", F.lit(None).cast("string"))
     copies = uploads.where("archivo_id % 3 = 0").select(
         "archivo_id", F.concat(F.lit("copia_"), "nombre_archivo").alias("nombre_archivo"), "role_id", "mac_usuario", "tipo_esperado",
         (F.col("fecha_carga") + F.expr("interval 1 day")).alias("fecha_carga"))

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ventanilla.functions import columns as C
+from ventanilla.session import staged
 
 SOL_LAYOUT = {"header_row": 21, "strip_header": False, "drop_empty_rows": False}
 CR_LAYOUT = {"header_row": 16, "strip_header": True, "drop_empty_rows": True}
+#: Part files of a report that may have several.
+SLICES = 8
 UNNAMED = "col_sin_nombre"
 REPORT_SUFFIXES = ("xls", "xlsx")
 
@@ -66,6 +69,11 @@ def read_cells(spark: SparkSession, folder: str, by_directory: bool = False) ->
     return cells_of_lines(lines, by_directory)
 
 
+def stored_cells(cells: DataFrame) -> DataFrame:
+    """The cells written once, apart by kind (``tipo``), as headers, columns and rows of a file are read one after another."""
+    return staged(cells.withColumn("tipo", C.report_type_of("nombre_archivo")), "celdas", ["tipo"])
+
+
 def export_lines(rows: DataFrame, headers: list[str], header_row: int, title: str) -> DataFrame:
     """Lines of tab-delimited sheet exports for report rows (one report per
     ``nombre_archivo``): a title row, the two header rows (a name 'A_B' is
@@ -73,13 +81,9 @@ def export_lines(rows: DataFrame, headers: list[str], header_row: int, title: st
     ``row_no`` order. Output: (reporte, row_no, value)."""
     h1 = [h.split("_", 1)[0] if "_" in h else h for h in headers]
     h2 = [h.split("_", 1)[1] if "_" in h else "" for h in headers]
-    names = rows.select(F.col("nombre_archivo").alias("reporte")).distinct()
-
-    def fixed(n, cells):
-        return names.select("reporte", F.lit(n).cast("bigint").alias("row_no"),
-                            F.concat_ws("\t", F.lit(str(n)), *[F.lit(c) for c in cells]).alias("value"))
-    top = fixed(1, [title] + [""] * (len(headers) - 1)).unionByName(fixed(header_row, h1)) \
-        .unionByName(fixed(header_row + 1, h2))
+    fixed = [(n, "\t".join([str(n), *cells])) for n, cells in ((1, [title] + [""] * (len(headers) - 1)), (header_row, h1), (header_row + 1, h2))]
+    lines = F.array(*[F.struct(F.lit(n).cast("bigint").alias("row_no"), F.lit(line).alias("value")) for n, line in fixed])
+    top = rows.select(F.col("nombre_archivo").alias("reporte")).distinct().select("reporte", F.inline(lines))
     sheet_row = (F.col("row_no") + header_row + 2).cast("bigint")
     data = rows.select(F.col("nombre_archivo").alias("reporte"), sheet_row.alias("row_no"),
                        F.concat_ws("\t", sheet_row.cast("string"),
@@ -90,9 +94,8 @@ def export_lines(rows: DataFrame, headers: list[str], header_row: int, title: st
 def write_exports(lines: DataFrame, out_dir: str, one_file_per_report: bool = False) -> None:
     """Write export lines as 'reporte=<name>/part-*.txt'. With ``one_file_per_report``
     each report becomes a single file (the arrival unit of a landing folder)."""
-    w = lines
-    if one_file_per_report:
-        w = w.repartition("reporte")
+    # a task writes slices of few reports, so the number of files does not grow with tasks times reports
+    w = lines.repartition("reporte") if one_file_per_report else lines.repartition("reporte", F.pmod(F.xxhash64("row_no"), F.lit(SLICES)))
     (w.sortWithinPartitions("reporte", "row_no").select("reporte", "value")
       .write.mode("overwrite").partitionBy("reporte").text(out_dir))
 
@@ -105,9 +108,12 @@ def _empty_to_null_array(arr):
 def flatten_headers(cells: DataFrame, header_row: int, strip_parts: bool) -> DataFrame:
     """Per file, the column names from the two header rows: both -> 'a_b',
     one -> that one, none -> 'col_sin_nombre'; a repeated name gets '_<position>'."""
-    def row(n, alias):
-        return cells.where(F.col("row_no") == n).select("archivo_id", _empty_to_null_array("cells").alias(alias))
-    h = row(header_row, "h1").join(row(header_row + 1, "h2"), "archivo_id", "full")
+    def row(n):
+        return F.collect_list(F.when(F.col("row_no") == n, _empty_to_null_array("cells")))
+    # both rows in one reading of the cells
+    both = (cells.where(F.col("row_no").isin(header_row, header_row + 1)).groupBy("archivo_id")
+            .agg(row(header_row).alias("_1"), row(header_row + 1).alias("_2")))
+    h = (both.select("archivo_id", "_2", F.explode_outer("_1").alias("h1")).select("archivo_id", "h1", F.explode_outer("_2").alias("h2")))
     n = F.greatest(F.coalesce(F.size("h1"), F.lit(0)), F.coalesce(F.size("h2"), F.lit(0)))
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
 
@@ -142,18 +148,23 @@ def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_hea
     hdr = flatten_headers(cells, header_row, strip_header)
     data = cells.where(F.col("row_no") > header_row + 1)
     if drop_empty_rows:
-        data = data.where(F.exists("cells", lambda x: C.strip(x) != ""))
-    j = data.join(hdr, "archivo_id", "inner")
-    n = F.least(F.size("columnas"), F.size("cells"))
-    m = F.map_from_arrays(F.slice("columnas", 1, n), F.slice(_empty_to_null_array("cells"), 1, n))
-    alike = F.transform(F.slice("columnas", 1, n), lambda x: F.upper(C.strip(x)))
-
-    def value(c):
-        if c not in any_case:
-            return F.element_at(m, F.lit(c))
-        from_end = F.array_position(F.reverse(alike), c)
-        return F.when(from_end > 0, F.get(_empty_to_null_array("cells"), (n - from_end).cast("int")))
-    return j.select("archivo_id", "nombre_archivo", "row_no", *[value(c).alias(c) for c in columns])
+        data = data.where(F.ltrim(F.array_join("cells", ""), F.lit(C.PY_BLANKS)) != "")
+    alike = F.transform("columnas", lambda x: F.upper(C.strip(x)))
+    # where a column stands is found once per file: in a row of n cells, the last place up to n
+    heads = {c: (alike if c in any_case else F.col("columnas")) for c in columns}
+    places = hdr.select("archivo_id", *[_last_places(names, c).alias(f"_en{i}") for i, (c, names) in enumerate(heads.items())])
+    j = data.join(places, "archivo_id", "inner")
+
+    def value(i):
+        n = F.least(F.size(f"_en{i}"), F.size("cells"))
+        return F.nullif(F.get("cells", F.get(f"_en{i}", n - 1)), F.lit(""))
+    return j.select("archivo_id", "nombre_archivo", "row_no", *[value(i).alias(c) for i, c in enumerate(heads)])
+
+
+def _last_places(names, wanted: str):
+    """For every prefix of ``names`` the place (from 0) of its last ``wanted``, or null."""
+    places = F.transform(names, lambda x, i: F.when(x == wanted, i))
+    return F.transform(places, lambda _, i: F.array_max(F.slice(places, 1, i + 1)))
 
 
 def probe(cells: DataFrame, first: int = 21, last: int = 60) -> DataFrame:

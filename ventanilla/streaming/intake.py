@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
 from ventanilla.operators import clean, intake
+from ventanilla.session import staged
 from ventanilla.sources import arrivals, reports
 from ventanilla.sources.fact_store import FactStore
 
@@ -62,16 +63,13 @@ def ingest_files(target: FactStore, batch_id: int, files: DataFrame, uploads: Da
     paths = [r.path for r in files.select("path").distinct().collect()]  # at most files_per_batch
     if not paths:
         return
-    cells = cells_of(spark, paths).persist()
-    try:
-        received = received_files(files)
-        faulty = arrivals.file_errors(received, cells).select("nombre_archivo", "motivo")
-        errors = received.join(faulty, "nombre_archivo").select("archivo_id", "motivo")
-        sol = arrivals.sol_rows_of_files(cells)
-        cr = clean.cr_fact_projection(arrivals.cr_rows_of_files(cells)[0])
-        intake.ingest_reports(target, batch_id, received, sol, cr, uploads, errors, intake.content_digests(cells), refuse_repeats)
-    finally:
-        cells.unpersist()
+    cells = reports.stored_cells(cells_of(spark, paths))
+    received = staged(received_files(files), "recibidos")
+    faulty = arrivals.file_errors(received, cells).select("nombre_archivo", "motivo")
+    errors = staged(received.join(faulty, "nombre_archivo").select("archivo_id", "motivo"), "errores")
+    sol = arrivals.sol_rows_of_files(cells)
+    cr = clean.cr_fact_projection(arrivals.cr_rows_of_files(cells)[0])
+    intake.ingest_reports(target, batch_id, received, sol, cr, uploads, errors, intake.content_digests(cells), refuse_repeats)
 
 
 def start_intake(target: FactStore, landing_glob: str, checkpoint: str, uploads: DataFrame | None = None,
