@@ -69,6 +69,17 @@ def test_blocks_give_every_row_once(spark, tmp_path, block, chunk):
     assert [(n, c) for n, c, _ in got] == [(i, ["é" * (i % 11) + str(i)]) for i in range(3, 33)]
 
 
+@pytest.mark.parametrize("block", [1, 400, 1 << 20])
+def test_a_sheet_is_inflated_once_for_all_blocks(spark, tmp_path, monkeypatch, block):
+    rows = "".join(f'<row{f" r=\'{i}\'" if i % 3 == 0 else ""}><c t="inlineStr"><is><t>{i}</t></is></c></row>' for i in range(3, 33))
+    workbook(tmp_path / "b.xlsx", rows)
+    monkeypatch.setattr(sheets, "CHUNK", 64)
+    blocks = list(sheets.sheet_blocks(str(tmp_path / "b.xlsx"), block))
+    assert sum(len(b[3]) for b in blocks) <= sheets.sheet_size(str(tmp_path / "b.xlsx"))
+    assert len(blocks) == (1 if block > 400 else len(blocks)) and (block > 400 or len(blocks) > 3)
+    assert [(r[1], r[2]) for r in sorted(read(spark, tmp_path, block=block), key=lambda r: r[1])] == [(i, [str(i)]) for i in range(3, 33)]
+
+
 def test_unreadable_and_empty_workbooks(spark, tmp_path):
     (tmp_path / "no.xlsx").write_text("not a workbook")
     (tmp_path / "cero.xlsx").write_bytes(b"")

@@ -23,6 +23,7 @@ import codecs
 import csv
 import dataclasses
 import datetime as dt
+import functools
 import io
 import json
 import re
@@ -30,7 +31,6 @@ import sys
 import uuid
 import zipfile
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
 
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -93,8 +93,12 @@ WORKBOOK_PARTS = {
     "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELS}/worksheet" '
                                   'Target="worksheets/sheet1.xml"/></Relationships>',
 }
-#: Characters that XML cannot hold.
-_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+#: Marks of XML and how a text holds them; characters that XML cannot hold are left out.
+_XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;",
+        **dict.fromkeys([*map(chr, range(9)), "\x0b", "\x0c", *map(chr, range(14, 32)), "\ufffe", "\uffff"], "")}
+_XML_TABLE = str.maketrans(_XML)
+#: Rows of a sheet that are handed to the compressor at once.
+_ROWS = 256
 
 
 class SheetFile:
@@ -105,7 +109,7 @@ class SheetFile:
     def __init__(self, out, columns: list[str]) -> None:
         if list(columns) != ["row_no", "cells"]:
             raise ValueError("a sheet takes the columns row_no and cells")
-        self.out = out
+        self.out, self.held = out, []
         self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
         for name, xml in WORKBOOK_PARTS.items():
             self.zip.writestr(name, _HEAD + xml)
@@ -114,17 +118,25 @@ class SheetFile:
 
     def add(self, values: tuple) -> None:
         number, cells = values
-        xml = "".join(f'<c r={quoteattr(_letters(i) + str(number))} t="inlineStr"><is><t xml:space="preserve">{escape(_NOT_XML.sub("", c), {"\r": "&#13;"})}</t></is></c>'
-                      for i, c in enumerate(cells or ()) if c)
-        self.sheet.write(f'<row r="{number}">{xml}</row>'.encode())
+        xml = "".join([f'<c r="{_letters(i)}{number}" t="inlineStr"><is><t xml:space="preserve">{c.translate(_XML_TABLE)}</t></is></c>'
+                       for i, c in enumerate(cells or ()) if c])
+        self.held.append(f'<row r="{number}">{xml}</row>')
+        if len(self.held) == _ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.sheet.write("".join(self.held).encode())
+        self.held = []
 
     def close(self) -> None:
+        self._flush()
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
         self.zip.close()
         self.out.close()
 
 
+@functools.cache
 def _letters(column: int) -> str:
     """A for 0, Z for 25, AA for 26."""
     out = ""

@@ -2,10 +2,10 @@
 
 Files come from Spark's ``binaryFile`` listing, in batch or as a stream, with
 the content column pruned. A sheet is one deflate stream and cannot be read
-from its middle, but inflating costs little beside parsing: a large sheet is
-cut into blocks of its inflated bytes, every block is a row of its own, and the
-task that takes it inflates up to the block, parses only the rows that begin
-inside it and holds a few of them at a time. The cells have the layout of
+from its middle, but inflating costs little beside parsing: one task inflates
+the sheet once and cuts it between rows into blocks, which are compressed and
+dealt over all tasks; each task parses its blocks and holds a few rows at a
+time. So the work grows with the sheet. The cells have the layout of
 ``reports.read_cells``, so headers, cleaners and error records are shared.
 
 Cell texts: text as it is; whole numbers without a fraction; dates as
@@ -20,12 +20,14 @@ no bytes out, so they and folders without files give no rows.
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import io
 import posixpath
 import re
 import sys
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -38,10 +40,12 @@ from ventanilla.sources.shared_files import locate
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
-BLOCKS = "path string, modificationTime timestamp, inicio bigint, fin bigint, motivo string"
+BLOCKS = "path string, modificationTime timestamp, inicio bigint, numero bigint, cabeza binary, bloque binary, largo bigint, motivo string"
 CELLS = "path string, modificationTime timestamp, row_no bigint, cells array<string>, tipos array<string>, motivo string"
 #: Inflated bytes of a block; rows of an Arrow batch; inflated bytes read at once.
-BLOCK, ROWS, CHUNK = 32 << 20, 2000, 1 << 20
+BLOCK, ROWS, CHUNK = 8 << 20, 2000, 1 << 20
+#: How blocks are compressed on their way to the tasks.
+CODEC = "zstd"
 
 # Fixed values of the workbook format: built-in number formats that show dates and times of day.
 DATE_FORMATS = {14, 15, 16, 17, 22}
@@ -69,34 +73,37 @@ def read_sheets(files: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for path, loaded in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                start = 0
                 try:
-                    size, why = sheet_size(path), None
+                    for start, number, head, xml in sheet_blocks(path, block):
+                        packed = pa.compress(xml, codec=CODEC, asbytes=True)
+                        yield _batch(BLOCK_FIELDS, path, loaded, [(start, number, head, packed, len(xml), None)])
                 except WORKBOOK_ERRORS:
-                    size, why = 0, UNREADABLE
-                rows += [(path, loaded, a, a + block, why) for a in range(0, max(size, 1), block)]
-            for some in _slices(rows):
-                yield _batch(some, BLOCK_FIELDS, b.schema)
+                    yield _batch(BLOCK_FIELDS, path, loaded, [(start, 0, b"", b"", 0, UNREADABLE)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, reader = None, None
         for b in batches:
-            for path, loaded, start, end, why in zip(b.column(0).to_pylist(), b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)),
-                                                     strict=True):
+            for i, (path, loaded) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                number, head, packed, size, why = (b.column(k)[i].as_py() for k in range(3, 8))
                 part = []
                 if why is None:
                     try:
-                        for n, cells, kinds in sheet_rows(path, start, end):
-                            part.append((path, loaded, n, cells, kinds, None))
+                        if known != path:
+                            known, reader = path, cell_reader(path)
+                        xml = pa.decompress(packed, decompressed_size=size, codec=CODEC, asbytes=True)
+                        for n, cells, kinds in _rows_of(io.BytesIO(head + xml), 0, sys.maxsize, reader, number):
+                            part.append((n, cells, kinds, None))
                             if len(part) == ROWS:
-                                yield _batch(part, CELL_FIELDS, b.schema)
+                                yield _batch(CELL_FIELDS, path, loaded, part)
                                 part = []
                     except WORKBOOK_ERRORS:
                         why = UNREADABLE
                 if why is not None:
-                    part.append((path, loaded, None, [], [], why))
+                    part.append((None, [], [], why))
                 if part:
-                    yield _batch(part, CELL_FIELDS, b.schema)
+                    yield _batch(CELL_FIELDS, path, loaded, part)
 
     found = files.select("path", "modificationTime").mapInArrow(cut, BLOCKS)
     # blocks of one large sheet go to different tasks
@@ -114,26 +121,19 @@ def whole_files(cells: DataFrame) -> DataFrame:
 
 UNREADABLE = "Libro ilegible"
 WORKBOOK_ERRORS = (StopIteration, zipfile.BadZipFile, zlib.error, EOFError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, ET.ParseError)
-BLOCK_FIELDS = [("path", pa.string()), ("modificationTime", None), ("inicio", pa.int64()), ("fin", pa.int64()), ("motivo", pa.string())]
-CELL_FIELDS = [("path", pa.string()), ("modificationTime", None), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())),
-               ("tipos", pa.list_(pa.string())), ("motivo", pa.string())]
+BLOCK_FIELDS = [("inicio", pa.int64()), ("numero", pa.int64()), ("cabeza", pa.binary()), ("bloque", pa.binary()), ("largo", pa.int64()),
+                ("motivo", pa.string())]
+CELL_FIELDS = [("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("tipos", pa.list_(pa.string())), ("motivo", pa.string())]
 
 
-def _slices(rows: list) -> Iterator[list]:
-    for a in range(0, len(rows), ROWS):
-        yield rows[a:a + ROWS]
-
-
-def _batch(rows: list[tuple], fields: list, given: pa.Schema) -> pa.RecordBatch:
-    """Rows as a batch; a field without a type is an Arrow scalar of the given batch's column of that name."""
-    arrays = []
-    for (name, kind), values in zip(fields, zip(*rows, strict=True), strict=True):
-        if kind is None:
-            kind, values = given.field(name).type, [v.as_py() for v in values]
-        arrays.append(pa.array(values, kind))
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+def _batch(fields: list, path: str, loaded: pa.Scalar, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of one file as a batch, behind its path and time."""
+    arrays = [pa.repeat(pa.scalar(path, pa.string()), len(rows)), pa.repeat(loaded, len(rows))]
+    arrays += [pa.array(values, kind) for (_, kind), values in zip(fields, zip(*rows, strict=True), strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["path", "modificationTime", *[n for n, _ in fields]])
 
 
+@functools.cache
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
@@ -207,15 +207,56 @@ def sheet_rows(path: str, start: int, end: int) -> Iterator[tuple[int, list[str]
     before the block are looked at, and no more of them.
     """
     book = Workbook(path)
+    with book.zip, book.zip.open(book.sheet) as f:
+        yield from _rows_of(f, start, end, cell_reader(path))
+
+
+def cell_reader(path: str) -> Callable:
+    """Text and kind of a cell element, by the workbook's styles, shared texts and date system."""
+    book = Workbook(path)
     with book.zip:
         kinds, texts = book.kinds_of_styles(), book.shared_texts()
-        with book.zip.open(book.sheet) as f:
-            yield from _rows_of(f, start, end, lambda e: _cell(e, kinds, texts, book.epoch))
+    return lambda e: _cell(e, kinds, texts, book.epoch)
 
 
-def _rows_of(f, start: int, end: int, cell) -> Iterator[tuple[int, list[str], list[str | None]]]:
+def sheet_blocks(path: str, block: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """``start, number, head, xml``: the first sheet, inflated once and cut before row tags into blocks of at least
+    ``block`` bytes; the number of the row before a block, and the root's opening tag."""
+    book = Workbook(path)
+    with book.zip, book.zip.open(book.sheet) as f:
+        head, buffer, at, number = None, b"", 0, 0
+        while True:
+            chunk = f.read(CHUNK)
+            buffer += chunk
+            if head is None:
+                root = re.search(rb"<(?![?!])[^>]*>", buffer)
+                if root is None:
+                    if not chunk:
+                        return
+                    continue
+                head, buffer, at = re.sub(rb"/>$", b">", root[0]), buffer[root.end():], root.end()
+            while len(buffer) > block and (m := _ROW.search(buffer, block)):
+                yield at, number, head, buffer[:m.start()]
+                number = _last_number(buffer, m.start(), number)
+                buffer, at = buffer[m.start():], at + m.start()
+            if not chunk:
+                if buffer:
+                    yield at, number, head, buffer
+                return
+
+
+def _last_number(buffer: bytes, end: int, number: int) -> int:
+    """The number of the last row that begins before ``end``; rows without one follow the row before."""
+    for m in _ROW.finditer(buffer, 0, end):
+        said = _NUMBER.search(m[0])
+        number = int(said[1]) if said else number + 1
+    return number
+
+
+def _rows_of(f, start: int, end: int, cell: Callable, number: int = 0) -> Iterator[tuple[int, list[str], list[str | None]]]:
+    """The rows of a sheet that begin from ``start`` to ``end``; ``number`` is that of the row before."""
     parser = ET.XMLPullParser(["end"])
-    head, buffer, at, number, inside = None, b"", 0, 0, False
+    head, buffer, at, inside = None, b"", 0, False
     while True:
         chunk = f.read(CHUNK)
         buffer += chunk
@@ -288,8 +329,13 @@ def _cells_of(row: ET.Element, cell) -> tuple[list[str], list[str | None]]:
 
 def _column(reference: str) -> int:
     """0 for A, 25 for Z, 26 for AA."""
+    return _place(re.match("[A-Za-z]+", reference)[0])
+
+
+@functools.cache
+def _place(letters: str) -> int:
     n = 0
-    for c in re.match("[A-Za-z]+", reference)[0].upper():
+    for c in letters.upper():
         n = n * 26 + ord(c) - ord("A") + 1
     return n - 1
 
