@@ -79,15 +79,15 @@ def sol_rows(clean: DataFrame) -> DataFrame:
     stripped = clean.select(
         "archivo_id", "nombre_archivo", "row_no",
         cell(clean, "TERMINAL").alias("terminal_txt"),
-        C.strip(cell(clean, "TERMINAL")).alias("_terminal"),
-        C.strip(cell(clean, "SOLICITUD")).alias("_folio"),
-        C.strip(tipo_raw).alias("_tipo"),
-        C.strip(clerk_raw).alias("_clerk"),
-        C.strip(cell(clean, "DOMICILIO VISIBLE")).alias("_dom"),
-        C.strip(cell(clean, "FECHA DE TRAMITE")).alias("_fecha"),
-        C.strip(cell(clean, "HORA INICIO ATENCIÓN")).alias("_hi"),
-        C.strip(cell(clean, "HORA FIN ATENCIÓN")).alias("_hf"),
-        C.strip(cell(clean, "TIEMPO TOTAL DE ATENCIÓN")).alias("_dur"))
+        C.strip_cell(cell(clean, "TERMINAL")).alias("_terminal"),
+        C.strip_cell(cell(clean, "SOLICITUD")).alias("_folio"),
+        C.strip_cell(tipo_raw).alias("_tipo"),
+        C.strip_cell(clerk_raw).alias("_clerk"),
+        C.strip_cell(cell(clean, "DOMICILIO VISIBLE")).alias("_dom"),
+        C.strip_cell(cell(clean, "FECHA DE TRAMITE")).alias("_fecha"),
+        C.strip_cell(cell(clean, "HORA INICIO ATENCIÓN")).alias("_hi"),
+        C.strip_cell(cell(clean, "HORA FIN ATENCIÓN")).alias("_hf"),
+        C.strip_cell(cell(clean, "TIEMPO TOTAL DE ATENCIÓN")).alias("_dur"))
     parsed = stripped.select(
         "*", C.office_of("nombre_archivo").alias("mac"), C.parse_date("_fecha").alias("fecha"),
         C.duration_us("_dur").alias("duracion_us"), C.duration_us("_hi").alias("_hi_us"),
@@ -132,11 +132,12 @@ def clean_cr_report(df: DataFrame) -> DataFrame:
     t, so, d = C.strip("terminal"), C.strip("solicitud"), C.strip("tiempo_total_atencion")
     rows = renamed.select(*meta, *keep).where(                         # P6 + valid duration
         (F.length(t) > 0) & (F.length(so) > 0) & (F.upper(t) != HEADER_TERMINAL) & C.duration_ok(d))
-    norm = {"terminal": t, "solicitud": so, "_dur": d}                 # P5 (non-blank here)
+    norm = {"terminal": C.strip_cell("terminal"), "solicitud": C.strip_cell("solicitud"),
+            "_dur": C.strip_cell("tiempo_total_atencion")}             # P5 (non-blank here)
     if "folio_nec" in keep:
         norm["folio_nec"] = C.blank_to_null("folio_nec")
     if "fecha_entrega" in keep:
-        norm["_fecha"] = C.strip("fecha_entrega")
+        norm["_fecha"] = C.strip_cell("fecha_entrega")
     out = rows.withColumns(norm)
     derived = {"duracion_us": C.duration_us("_dur")}
     if "fecha_entrega" in keep:
@@ -156,8 +157,8 @@ def cr_fact_projection(clean: DataFrame) -> DataFrame:
         "archivo_id", "nombre_archivo", "mac", "row_no", fecha.alias("fecha_entrega"), "solicitud",
         (C.clean_stripped("folio_nec") if "folio_nec" in clean.columns
          else F.lit(None).cast("string")).alias("folio_nec"), "terminal",
-        C.strip(cell(clean, "hora_inicio_atencion")).alias("_hi"),
-        C.strip(cell(clean, "captura_hora_fin")).alias("_hf"), "centesimas",
+        C.strip_cell(cell(clean, "hora_inicio_atencion")).alias("_hi"),
+        C.strip_cell(cell(clean, "captura_hora_fin")).alias("_hf"), "centesimas",
         (fecha.isNotNull() & C.has_value("solicitud") & C.has_value("terminal")).alias("_p9"))
     timed = staged.withColumns({"_hi_us": C.duration_us("_hi"), "_hf_us": C.duration_us("_hf")})
     return timed.select(

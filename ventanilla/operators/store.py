@@ -44,16 +44,18 @@ def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Col
     """One aggregation per dedup key (file first): the first valid row in file
     order (D1/D2) plus the key's share of the per-file roll-up over *all*
     cleaned rows (A15 dates, row counts, Q3 clerk rows). Partial aggregation,
-    so a hot key is reduced map-side."""
+    so a hot key is reduced map-side. Rows with texts are aggregated in sorted
+    order; a hash before the keys tells most of them apart in one comparison."""
     cols = rows.columns
     names = [f"_k{i}" for i in range(len(keys))]
     v = valid if valid is not None else F.lit(True)
     c = clerk_ok if clerk_ok is not None else F.lit(True)
     return (rows.select(*[k.alias(n) for k, n in zip(keys, names)], *cols, v.alias("_valid"), c.alias("_clerk"))
-                .groupBy(*names)
+                .groupBy(F.xxhash64(*names).alias("_h"), *names)
                 .agg(F.min_by(F.struct(*cols), F.when(F.col("_valid"), F.col(order_col))).alias("_first"),
                      F.min(date_col).alias("_dmin"), F.max(date_col).alias("_dmax"),
-                     F.count(F.lit(1)).alias("_n"), F.count_if("_clerk").alias("_nc")))
+                     F.count(F.lit(1)).alias("_n"), F.count_if("_clerk").alias("_nc"))
+                .drop("_h"))
 
 
 def kept_rows(by_key: DataFrame) -> DataFrame:
@@ -79,12 +81,13 @@ def file_stats(by_key: DataFrame, required: list[str], office_col: str | None =
     # reasons by their rank among all texts: whole numbers are aggregated by hash, texts would be sorted
     texts = sorted({text for text, _ in viols})
     reason = reduce(lambda rest, v: F.when(kept & v[1], F.lit(texts.index(v[0]))).otherwise(rest), reversed(viols), F.lit(None).cast("int"))
-    return (by_key.groupBy(F.col("_k0").alias(FILE))
+    judged = by_key.select(F.col("_k0").alias(FILE), "_n", "_dmin", "_dmax", "_nc", kept.alias("_kept"), reason.alias("_reason"))
+    return (judged.groupBy(FILE)
                   .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
                        F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
-                       F.count_if(kept).alias("filas_conservadas"),
-                       F.count_if(reason.isNotNull()).alias("violaciones"),
-                       F.min(reason).alias("_motivo"))
+                       F.count_if("_kept").alias("filas_conservadas"),
+                       F.count("_reason").alias("violaciones"),
+                       F.min("_reason").alias("_motivo"))
                   .withColumn("motivo_rechazo", F.get(F.array(*[F.lit(t) for t in texts]), F.col("_motivo"))).drop("_motivo")
                   .withColumn("aceptado", F.col("violaciones") == 0)
                   .withColumn("fecha_operativa", F.col("fecha_fin"))

@@ -13,7 +13,7 @@ roles / users    <- nation / supplier
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventanilla.functions.columns import idiv
@@ -47,20 +47,39 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def _sol_file() -> tuple[Column, Column]:
+    """The report file of an event: its id, and whether it is of the first office."""
+    day, user = F.dayofmonth("ts"), F.col("user_id")
+    file_id = F.lit(2) * F.when(day <= 20, day).otherwise(F.lit(100) + idiv(day, F.lit(7))) + user % 2
+    return file_id.cast("bigint"), F.coalesce(user % 2 == 0, F.lit(False))
+
+
+def _cr_file() -> tuple[Column, Column]:
+    """The report file of an order line: its id, and whether it is of the first office."""
+    supplier = F.col("l_suppkey")
+    return (F.lit(1000) + supplier % 40).cast("bigint"), F.coalesce(supplier % 2 == 0, F.lit(False))
+
+
+def _file_name(kind: str, file_id: Column, first_office: Column) -> Column:
+    office = F.when(first_office, F.lit("090852")).otherwise(F.lit("090853"))
+    return F.concat(F.lit(f"Rep_TiemAten_{kind}_"), office, F.lit("_"), file_id.cast("string"), F.lit(".xls"))
+
+
+def _file_names(rows: DataFrame, kind: str, file_id: Column, first_office: Column) -> DataFrame:
+    """The report files of some rows; a file's name is made once, not for each of its rows."""
+    files = rows.select(file_id.alias("archivo_id"), first_office.alias("primera")).distinct()
+    return files.select("archivo_id", _file_name(kind, F.col("archivo_id"), F.col("primera")).alias("nombre_archivo"))
+
+
 def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of SOL report files as the sheet reader yields them: text cells
     under the flattened header names, plus file name, file id and row number."""
     e = _dealt(table(spark, sf_dir, "events"), "event_id")
-    day = F.dayofmonth("ts")
-    file_id = (F.lit(2) * F.when(day <= 20, day).otherwise(F.lit(100) + idiv(day, F.lit(7)))
-               + F.col("user_id") % 2).cast("bigint")
-    office = F.when(F.col("user_id") % 2 == 0, F.lit("090852")).otherwise(F.lit("090853"))
+    file_id, first_office = _sol_file()
     secs = F.floor(F.col("value") * 15).cast("bigint")
     bad_time = F.col("event_id") % 11 == 0
     return e.select(
-        file_id.alias("archivo_id"),
-        F.concat(F.lit("Rep_TiemAten_SOL_"), office, F.lit("_"), file_id.cast("string"),
-                 F.lit(".xls")).alias("nombre_archivo"),
+        file_id.alias("archivo_id"), _file_name("SOL", file_id, first_office).alias("nombre_archivo"),
         F.col("event_id").alias("row_no"),
         F.when(F.col("event_id") % 1009 == 0, F.lit("TERMINAL"))
          .when(F.col("event_id") % 29 == 0, F.lit(None).cast("string"))
@@ -92,13 +111,10 @@ def sol_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cr_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of CR report files (text cells under the flattened headers)."""
     li = _dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    file_id = (F.lit(1000) + F.col("l_suppkey") % 40).cast("bigint")
-    office = F.when(F.col("l_suppkey") % 2 == 0, F.lit("090852")).otherwise(F.lit("090853"))
+    file_id, first_office = _cr_file()
     secs = (F.col("l_quantity") * 30).cast("bigint")
     return li.select(
-        file_id.alias("archivo_id"),
-        F.concat(F.lit("Rep_TiemAten_CR_"), office, F.lit("_"), file_id.cast("string"),
-                 F.lit(".xls")).alias("nombre_archivo"),
+        file_id.alias("archivo_id"), _file_name("CR", file_id, first_office).alias("nombre_archivo"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
         F.when(F.col("l_partkey") % 17 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("CLIENTE "), (F.col("l_suppkey") % 6 + 1).cast("string")))
@@ -199,8 +215,8 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upload of every report file: uploader's role and office, expected kind and load time."""
-    names = (sol_report_rows(spark, sf_dir).select("archivo_id", "nombre_archivo")
-             .unionByName(cr_report_rows(spark, sf_dir).select("archivo_id", "nombre_archivo")).distinct())
+    names = (_file_names(table(spark, sf_dir, "events"), "SOL", *_sol_file())
+             .unionByName(_file_names(table(spark, sf_dir, "lineitem"), "CR", *_cr_file())).distinct())
     a, name = F.col("archivo_id"), F.col("nombre_archivo")
     own = F.when(name.contains("090852"), F.lit("090852")).otherwise(F.lit("090853"))
     kind = F.when(name.contains("_SOL_"), F.lit("TIEMPOS_SOL")).otherwise(F.lit("TIEMPOS_CR"))
