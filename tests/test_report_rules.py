@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ventanilla.functions import columns as C
 from ventanilla.operators import clean
+from ventanilla.plans import views as V
+from ventanilla.plans.store_queries import stored
 from ventanilla.sources import standins
+from ventanilla.sources.fact_store import Batch
 
 from conftest import SF_SMALL
 
@@ -49,3 +52,26 @@ def test_uploads_name_every_report_file_without_shuffling_its_rows(spark):
     got = [tuple(r) for r in uploads.select("archivo_id", "nombre_archivo").collect()]
     assert len(got) == len(names) and set(got) == names
     assert "RepartitionByExpression" not in uploads._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_filter_rules_equal_strip(spark):
+    blanks = ["", " ", "\t", "　", "\x85", "  \n"]
+    texts = [a + t + b for t in ("", "x", "é", "\x7f", "TERMINAL", "terminal", "termınal", "TERMINAL 1", "-TERMINAL") for a in blanks for b in blanks]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", C.not_blank("t").alias("n"), C.is_heading("t", "TERMINAL").alias("h"))
+    for r in df.collect():
+        assert (r.n, r.h) == ((None, None) if r.t is None else (r.t.strip() != "", r.t.strip().upper() == "TERMINAL")), repr(r.t)
+
+
+def test_sorted_rows_hold_a_key_once_and_no_file_name(spark, monkeypatch):
+    kept = {}
+    keep = Batch.keep
+    monkeypatch.setattr(Batch, "keep", lambda self, name, rows: kept.setdefault(name, keep(self, name, rows)))
+    s = stored(spark, SF_SMALL)
+    for name, table, own in [("sol", "tramites", V.sol_facts(spark, SF_SMALL)), ("cr", "entregas_cr", V.cr_facts(spark, SF_SMALL))]:
+        fields = set(kept[name].schema["_first"].dataType.names)
+        keys = {c.removeprefix("_k_") for c in kept[name].columns if c.startswith("_k_")}
+        assert "archivo_id" in keys and not fields & (keys | {"nombre_archivo", "mac"})
+        # the stored rows are those of reports parsed with names and keys, of the accepted uploads
+        ids = s.table("arribos").where("motivo is null").select("archivo_id")
+        want = own.join(ids, "archivo_id", "left_semi").select(*s.table(table).columns)
+        assert want.count() and want.exceptAll(s.table(table)).count() == s.table(table).exceptAll(want).count() == 0

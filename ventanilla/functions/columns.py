@@ -98,6 +98,18 @@ def strip_cell(c) -> Column:
     return F.when(_visible(s) & _visible(F.substring(s, -1, 1)), s).otherwise(strip(s))
 
 
+def not_blank(c) -> Column:
+    """True for text of which ``strip`` leaves something; one that starts with a visible character is not trimmed."""
+    s = col_(c)
+    return _visible(s) | (F.length(strip(s)) > 0)
+
+
+def is_heading(c, heading: str) -> Column:
+    """True for text that reads ``heading`` once stripped and upper-cased; only text that contains it is stripped."""
+    s = col_(c)
+    return F.upper(s).contains(heading) & (F.upper(strip(s)) == heading)
+
+
 def _visible(s: Column) -> Column:
     """True for text that starts with one of the characters ``!`` to ``~``."""
     return (s >= "!") & (s < "\x7f")

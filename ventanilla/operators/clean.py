@@ -60,7 +60,7 @@ def clean_sol_report(df: DataFrame, has_terminal: Column | None = None, extra: t
     out = df
     if HEADER_TERMINAL in df.columns:
         t = F.col(HEADER_TERMINAL)
-        usable = t.isNotNull() & (F.upper(C.strip(t)) != HEADER_TERMINAL)
+        usable = t.isNotNull() & ~C.is_heading(t, HEADER_TERMINAL)
         out = out.where(usable if has_terminal is None else ~has_terminal | usable)
     out = out.drop(*extra)
     data = _data_columns(out)
@@ -129,17 +129,20 @@ def clean_cr_report(df: DataFrame) -> DataFrame:
     if absent:
         raise ValueError("Faltan columnas clave en CR: " + ", ".join(absent))
     meta = [c for c in META_COLUMNS if c in renamed.columns]
-    t, so, d = C.strip("terminal"), C.strip("solicitud"), C.strip("tiempo_total_atencion")
+    d = F.col("tiempo_total_atencion")
     rows = renamed.select(*meta, *keep).where(                         # P6 + valid duration
-        (F.length(t) > 0) & (F.length(so) > 0) & (F.upper(t) != HEADER_TERMINAL) & C.duration_ok(d))
+        C.not_blank("terminal") & C.not_blank("solicitud") & ~C.is_heading("terminal", HEADER_TERMINAL)
+        & (d.rlike(C.PLAIN_DURATION) | C.duration_ok(C.strip(d))))
     norm = {"terminal": C.strip_cell("terminal"), "solicitud": C.strip_cell("solicitud"),
             "_dur": C.strip_cell("tiempo_total_atencion")}             # P5 (non-blank here)
     if "folio_nec" in keep:
-        norm["folio_nec"] = C.blank_to_null("folio_nec")
+        norm["folio_nec"] = C.strip_cell("folio_nec")
     if "fecha_entrega" in keep:
         norm["_fecha"] = C.strip_cell("fecha_entrega")
     out = rows.withColumns(norm)
     derived = {"duracion_us": C.duration_us("_dur")}
+    if "folio_nec" in keep:
+        derived["folio_nec"] = F.nullif(F.col("folio_nec"), F.lit(""))
     if "fecha_entrega" in keep:
         derived["fecha_entrega"] = C.parse_date("_fecha")
     if "nombre_archivo" in out.columns:

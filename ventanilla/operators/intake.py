@@ -104,8 +104,14 @@ def ingest_reports(target: FactStore, batch_id: int, received: DataFrame, sol: D
 
     t = F.col("funcionario_txt")
     clerk_ok = (F.length(t) > 0) & (F.upper(t) != clean.HEADER_CLERK) & (F.lower(t) != "nan")
-    sol_keys = batch.keep("sol", store.ingest_by_key(sol.join(ids, "archivo_id", "left_semi"), store.sol_keys(), "fecha", clerk_ok=clerk_ok))
-    cr_keys = batch.keep("cr", store.ingest_by_key(cr.join(ids, "archivo_id", "left_semi"), store.cr_keys(), "fecha_entrega", valid=F.col("_p9")))
+    # a file's name and office are joined to the kept rows, not sorted and shuffled with every row
+    files = accepted.groupBy("archivo_id").agg(F.min("nombre_archivo").alias("nombre_archivo"), F.min("mac").alias("mac"))
+
+    def of_batch(rows: DataFrame) -> DataFrame:
+        return rows.drop("nombre_archivo", "mac").join(ids, "archivo_id", "left_semi")
+
+    sol_keys = store.with_files(batch.keep("sol", store.ingest_by_key(of_batch(sol), store.sol_keys(), "fecha", clerk_ok=clerk_ok)), files)
+    cr_keys = store.with_files(batch.keep("cr", store.ingest_by_key(of_batch(cr), store.cr_keys(), "fecha_entrega", valid=F.col("_p9"))), files)
     sol_stats = batch.keep("sol_gate", store.file_stats(sol_keys, ["fecha"], lengths=quality.SOL_LENGTHS))
     cr_stats = batch.keep("cr_gate", store.file_stats(cr_keys, ["fecha_entrega"], lengths=quality.CR_LENGTHS))
 

@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FILE = "archivo_id"
 SOL_DEDUP_KEYS = ["folio", "funcionario", "terminal"]          # plus the file; null = ''
@@ -31,6 +32,7 @@ MSG_LENGTH = "value too long for type character varying({n})"
 MSG_RANGE = "numeric field overflow"
 # Offices the fact tables accept (CHECK constraint); other rows reject their file.
 ALLOWED_OFFICES = ["090852", "090853"]
+_KEY = "_k_"                                                   # before the name of a dedup key
 PERIOD_DAILY, PERIOD_WEEKLY = "DIARIO", "SEMANAL"
 
 
@@ -39,28 +41,52 @@ def accepted_rows(kept: DataFrame, gate: DataFrame) -> DataFrame:
     return kept.join(gate.where("aceptado").select(FILE), FILE, "left_semi")
 
 
-def ingest_by_key(rows: DataFrame, keys: list[Column], date_col: str, valid: Column | None = None,
+def ingest_by_key(rows: DataFrame, keys: list[str], date_col: str, valid: Column | None = None,
                   clerk_ok: Column | None = None, order_col: str = "row_no") -> DataFrame:
     """One aggregation per dedup key (file first): the first valid row in file
     order (D1/D2) plus the key's share of the per-file roll-up over *all*
     cleaned rows (A15 dates, row counts, Q3 clerk rows). Partial aggregation,
     so a hot key is reduced map-side. Rows with texts are aggregated in sorted
-    order; a hash before the keys tells most of them apart in one comparison."""
-    cols = rows.columns
-    names = [f"_k{i}" for i in range(len(keys))]
+    order; a hash before the keys tells most of them apart in one comparison.
+
+    ``keys`` name columns; a missing text counts as the empty one, which cleaned rows
+    do not hold. A key stands once in the sorted rows and in the result (``_k_<name>``),
+    ``_first`` has the other columns."""
+    names = [_KEY + k for k in keys]
+    texts = _texts(rows)
+    others = [c for c in rows.columns if c not in keys]
+    date_col = _KEY + date_col if date_col in keys else date_col
     v = valid if valid is not None else F.lit(True)
     c = clerk_ok if clerk_ok is not None else F.lit(True)
-    return (rows.select(*[k.alias(n) for k, n in zip(keys, names)], *cols, v.alias("_valid"), c.alias("_clerk"))
+    return (rows.select(*[(F.coalesce(k, F.lit("")) if k in texts else F.col(k)).alias(n) for k, n in zip(keys, names)],
+                        *others, v.alias("_valid"), c.alias("_clerk"))
                 .groupBy(F.xxhash64(*names).alias("_h"), *names)
-                .agg(F.min_by(F.struct(*cols), F.when(F.col("_valid"), F.col(order_col))).alias("_first"),
+                .agg(F.min_by(F.struct(*others), F.when(F.col("_valid"), F.col(order_col))).alias("_first"),
                      F.min(date_col).alias("_dmin"), F.max(date_col).alias("_dmax"),
                      F.count(F.lit(1)).alias("_n"), F.count_if("_clerk").alias("_nc"))
                 .drop("_h"))
 
 
+def _texts(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+
+
+def _kept_columns(by_key: DataFrame) -> dict[str, Column]:
+    """The columns of the kept rows: keys, columns joined to the keys (without ``_`` before the name) and ``_first``'s."""
+    texts = _texts(by_key)
+    out = {n.removeprefix(_KEY): (F.nullif(F.col(n), F.lit("")) if n in texts else F.col(n)) for n in by_key.columns if n.startswith(_KEY)}
+    out |= {n: F.col(n) for n in by_key.columns if not n.startswith("_")}
+    return out | {f.name: F.col("_first").getField(f.name) for f in by_key.schema["_first"].dataType}
+
+
 def kept_rows(by_key: DataFrame) -> DataFrame:
     """The kept row of every key that has a valid one."""
-    return by_key.where(F.col("_first").isNotNull()).select("_first.*")
+    return by_key.where(F.col("_first").isNotNull()).select(*[c.alias(n) for n, c in _kept_columns(by_key).items()])
+
+
+def with_files(by_key: DataFrame, files: DataFrame) -> DataFrame:
+    """By-key rows with the columns of their file (one row per ``archivo_id``)."""
+    return by_key.join(files, by_key[_KEY + FILE] == files[FILE]).drop(files[FILE])
 
 
 def file_stats(by_key: DataFrame, required: list[str], office_col: str | None = "mac",
@@ -70,18 +96,18 @@ def file_stats(by_key: DataFrame, required: list[str], office_col: str | None =
     The gate looks at kept rows: a NULL in a required column, an office
     outside the allowed set, a text longer than its column or minutes outside
     NUMERIC(10,2) rejects the whole file, as one transaction."""
-    first = F.col("_first")
-    null_viol = reduce(lambda a, b: a | b, [first.getField(c).isNull() for c in required])
-    office_viol = (~first.getField(office_col).isin(ALLOWED_OFFICES)) if office_col else F.lit(False)
-    kept = first.isNotNull()
-    long_viol = [(n, F.coalesce(F.length(first.getField(c)) > n, F.lit(False))) for c, n in (lengths or {}).items()]
-    range_viol = F.coalesce(F.abs(first.getField("centesimas")) >= max_hundredths, F.lit(False)) if lengths else F.lit(False)
+    row = _kept_columns(by_key)
+    null_viol = reduce(lambda a, b: a | b, [row[c].isNull() for c in required])
+    office_viol = (~row[office_col].isin(ALLOWED_OFFICES)) if office_col else F.lit(False)
+    kept = F.col("_first").isNotNull()
+    long_viol = [(n, F.coalesce(F.length(row[c]) > n, F.lit(False))) for c, n in (lengths or {}).items()]
+    range_viol = F.coalesce(F.abs(row["centesimas"]) >= max_hundredths, F.lit(False)) if lengths else F.lit(False)
     viols = [(MSG_NOT_NULL.format(col=required[0]), null_viol), (MSG_CHECK.format(col=office_col or ""), office_viol),
              *[(MSG_LENGTH.format(n=n), viol) for n, viol in long_viol], (MSG_RANGE, range_viol)]
     # reasons by their rank among all texts: whole numbers are aggregated by hash, texts would be sorted
     texts = sorted({text for text, _ in viols})
     reason = reduce(lambda rest, v: F.when(kept & v[1], F.lit(texts.index(v[0]))).otherwise(rest), reversed(viols), F.lit(None).cast("int"))
-    judged = by_key.select(F.col("_k0").alias(FILE), "_n", "_dmin", "_dmax", "_nc", kept.alias("_kept"), reason.alias("_reason"))
+    judged = by_key.select(F.col(_KEY + FILE).alias(FILE), "_n", "_dmin", "_dmax", "_nc", kept.alias("_kept"), reason.alias("_reason"))
     return (judged.groupBy(FILE)
                   .agg(F.sum("_n").alias("filas_limpias"), F.min("_dmin").alias("fecha_inicio"),
                        F.max("_dmax").alias("fecha_fin"), F.sum("_nc").alias("filas_funcionario"),
@@ -104,13 +130,12 @@ def new_rows_only(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
     return keyed(batch).join(s, jk, "left_anti").drop(*jk)
 
 
-def sol_keys() -> list[Column]:
-    return [F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in SOL_DEDUP_KEYS]
+def sol_keys() -> list[str]:
+    return [FILE, *SOL_DEDUP_KEYS]
 
 
-def cr_keys() -> list[Column]:
-    return ([F.col(FILE)] + [F.coalesce(F.col(k), F.lit("")) for k in CR_DEDUP_KEYS]
-            + [F.col("fecha_entrega")])
+def cr_keys() -> list[str]:
+    return [FILE, *CR_DEDUP_KEYS, "fecha_entrega"]
 
 
 def ledger_events(raw_files: DataFrame, stats: DataFrame, tipo: str, check_clerks: bool = False) -> DataFrame:
