@@ -455,6 +455,35 @@ def test_suffix_dedup_edges(spark):
     assert out(got, "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 401), (4, 0)]
 
 
+def brute_shared(rows, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    have = collections.defaultdict(set)
+    for row, w in zip(rows, words):
+        for i in range(len(w) - n + 1):
+            have[tuple(w[i:i + n])].add(row)
+    return sorted(((d, int(any(len(have[tuple(w[i:i + n])]) > 1 for i in range(len(w) - n + 1)))) for (d, _), w in zip(rows, words)), key=repr)
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 20])
+def test_shares_passage_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(88)
+    text = lambda n: "".join(rng.choice(["a", "bé", "c\u00a0d", "e."]) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(n))
+    shared = [text(n) for n in (50, 51, 52, 60, 75)]
+    rows = [(i, text(rng.randint(0, 60)) + rng.choice(shared + [text(55)] * 5) + text(rng.randint(0, 60)).strip()) for i in range(40)]
+    rows += EDGES + [(100, "a " * 200), (101, "a b " * 40), (102, text(80) * 3), (None, shared[4]), (103, "x" * 90 + " " + shared[1])]
+    once, other = text(70), text(50)
+    rows += [(104, once + "q " + once), (105, "r " + " ".join(once.split()[8:60])), (106, "a b " * 30), (107, other), (107, other + "z"), (108, other + "z")]
+    got = suffix_dedup.suffix_dedup_report(docs(spark, rows))
+    assert out(got, "doc_id", "shares_passage") == brute_shared(rows, suffix_dedup.WORDS)
+
+
+def test_passages_of_51_short_words_are_told_and_stay(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    got = suffix_dedup.suffix_dedup_report(docs(spark, [(1, "one " + passage), (2, passage + "\ntwo"), (3, passage[:-4] + " three"), (4, "x " * 99)]))
+    assert out(got, "doc_id", "n_removed", "shares_passage") == [(1, 0, 1), (2, 0, 1), (3, 0, 0), (4, 0, 0)]
+
+
 # --- 9 -----------------------------------------------------------------------
 
 def toxic_rows(n=400):
