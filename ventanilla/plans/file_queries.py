@@ -117,10 +117,9 @@ def file_errors(spark: SparkSession, sf: str) -> DataFrame:
 def _workbooks(spark: SparkSession, rows: DataFrame, headers: list[str], header_row: int, title: str) -> str:
     """A landing folder with one workbook per report."""
     folder = scratch_path(spark, f"libros-{uuid.uuid4().hex[:12]}")
-    parts = F.split("value", "\t")
-    lines = reports.export_lines(staged(rows, "renglones"), headers, header_row, title).select(
-        F.lit("recibidos").alias("tipo"), C.base_name("reporte").alias("reporte"), "row_no", F.slice(parts, 2, F.size(parts) - 1).alias("cells"))
-    named_files.write_named(lines, folder, ["row_no"], named_files.ReportSheet)
+    sheet = reports.sheet_rows(rows, headers, header_row, title).select(
+        F.lit("recibidos").alias("tipo"), C.base_name("reporte").alias("reporte"), "row_no", "cells")
+    named_files.write_named(sheet, folder, ["row_no"], named_files.ReportSheet)
     return folder
 
 

@@ -10,6 +10,8 @@ by a folder, not permitted, or kept on purpose with ``ocupado = conservar``)
 falls back to the time-stamped name. What was put in place is listed in
 ``_confirmados/<try>.json``.
 
+Rows of a workbook come as Arrow batches and their XML is built for many cells at once.
+
 A report's rows must stand in one task, next to each other: ``write_named``
 sees to it. Reports found in two tasks, or whose names differ only in
 characters that file names cannot hold, are refused and nothing is put in
@@ -23,7 +25,6 @@ import codecs
 import csv
 import dataclasses
 import datetime as dt
-import functools
 import io
 import json
 import re
@@ -32,11 +33,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from ventanilla.sources.shared_files import locate
 
@@ -97,8 +101,9 @@ WORKBOOK_PARTS = {
 _XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;",
         **dict.fromkeys([*map(chr, range(9)), "\x0b", "\x0c", *map(chr, range(14, 32)), "\ufffe", "\uffff"], "")}
 _XML_TABLE = str.maketrans(_XML)
-#: Rows of a sheet that are handed to the compressor at once.
-_ROWS = 256
+_XML_MARKS = "".join(_XML)
+#: Rows of a sheet whose XML is built and handed to the compressor at once.
+_ROWS = 1000
 
 
 class SheetFile:
@@ -109,34 +114,69 @@ class SheetFile:
     def __init__(self, out, columns: list[str]) -> None:
         if list(columns) != ["row_no", "cells"]:
             raise ValueError("a sheet takes the columns row_no and cells")
-        self.out, self.held = out, []
+        self.out = out
         self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
         for name, xml in WORKBOOK_PARTS.items():
             self.zip.writestr(name, _HEAD + xml)
         self.sheet = self.zip.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
         self.sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
 
-    def add(self, values: tuple) -> None:
-        number, cells = values
-        xml = "".join([f'<c r="{_letters(i)}{number}" t="inlineStr"><is><t xml:space="preserve">{c.translate(_XML_TABLE)}</t></is></c>'
-                       for i, c in enumerate(cells or ()) if c])
-        self.held.append(f'<row r="{number}">{xml}</row>')
-        if len(self.held) == _ROWS:
-            self._flush()
-
-    def _flush(self) -> None:
-        self.sheet.write("".join(self.held).encode())
-        self.held = []
+    def add(self, values: tuple[pa.Array, pa.ListArray]) -> None:
+        numbers, cells = values
+        for at in range(0, len(numbers), _ROWS):
+            self.sheet.write(_rows_xml(numbers.slice(at, _ROWS), cells.slice(at, _ROWS)))
 
     def close(self) -> None:
-        self._flush()
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
         self.zip.close()
         self.out.close()
 
 
-@functools.cache
+def _rows_xml(numbers: pa.Array, cells: pa.ListArray) -> memoryview:
+    """The rows as XML; empty cells are left out."""
+    said = pc.fill_null(numbers.cast(pa.large_string()), "None")
+    sizes = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
+    texts = cells.flatten().cast(pa.large_string())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    held = np.flatnonzero(pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False))
+    if len(held) < len(texts):
+        texts, row, column = texts.take(pa.array(held)), row[held], column[held]
+    texts = _escaped(texts)
+    letters = pa.array([_letters(i) for i in range(column.max(initial=-1) + 1)], pa.large_string())
+    xml = _joined('<c r="', letters.take(pa.array(column)), said.take(pa.array(row)),
+                  '" t="inlineStr"><is><t xml:space="preserve">', texts, "</t></is></c>")
+    ends = np.cumsum(np.bincount(row, minlength=len(sizes)))
+    of_row = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), xml)
+    rows = _joined('<row r="', said, '">', pc.binary_join(of_row, _large("")), "</row>")
+    whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+    return memoryview(pc.binary_join(whole, _large(""))[0].as_buffer())
+
+
+def _large(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def _joined(*parts: str | pa.Array) -> pa.Array:
+    """Texts joined element by element."""
+    return pc.binary_join_element_wise(*[_large(p) if isinstance(p, str) else p for p in parts], _large(""))
+
+
+def _escaped(texts: pa.Array) -> pa.Array:
+    """Texts as XML holds them; only those with marks are translated."""
+    if not len(texts):
+        return texts
+    marked = pc.match_substring_regex(texts, f"[{re.escape(_XML_MARKS)}]")
+    at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return texts
+    order = np.arange(len(texts))
+    order[at] = len(texts) + np.arange(len(at))
+    changed = pa.array([t.translate(_XML_TABLE) for t in texts.take(pa.array(at)).to_pylist()], texts.type)
+    return pa.concat_arrays([texts, changed]).take(pa.array(order))
+
+
 def _letters(column: int) -> str:
     """A for 0, Z for 25, AA for 26."""
     out = ""
@@ -170,11 +210,14 @@ class NamedFilesWriter(DataSourceWriter):
         return system, folder, f"{folder}/{TRY}{self.id}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
+        return self._written((tuple(row[i] for i in self.keys), tuple(row[i] for i in self.own), 1) for row in iterator)
+
+    def _written(self, parts: Iterator[tuple[tuple, tuple, int]]) -> Written:
+        """Writes parts of reports: key, what the file takes, rows."""
         system, _, tried = self._place()
         mine = f"{tried}/{uuid.uuid4().hex}"  # a task run twice writes twice; one of them is confirmed
         files, now, held = [], (), None
-        for row in iterator:
-            key = tuple(row[i] for i in self.keys)
+        for key, values, rows in parts:
             if key != now:
                 if held:
                     held.close()
@@ -182,8 +225,8 @@ class NamedFilesWriter(DataSourceWriter):
                 path = f"{mine}/{len(files)}"
                 files.append([path, *map(safe_name, key), 0])
                 held, now = self.kind(system.open_output_stream(path), self.columns), key
-            held.add(tuple(row[i] for i in self.own))
-            files[-1][3] += 1
+            held.add(values)
+            files[-1][3] += rows
         if held:
             held.close()
         return Written(files)
@@ -229,23 +272,41 @@ class NamedFilesWriter(DataSourceWriter):
             system.delete_dir(tried)
 
 
+class NamedSheetsWriter(NamedFilesWriter, DataSourceArrowWriter):
+    """The same from Arrow batches, which hold rows of one report after another."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return self._written(part for batch in iterator for part in self._parts(batch))
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple, int]]:
+        keys, own = [batch.column(i) for i in self.keys], [batch.column(i) for i in self.own]
+        changes = np.zeros(max(len(batch) - 1, 0), bool)
+        for k in keys:
+            changes |= np.diff(k.dictionary_encode("encode").indices.to_numpy()) != 0
+        bounds = [0, *(np.flatnonzero(changes) + 1), len(batch)] if len(batch) else []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield tuple(k[a].as_py() for k in keys), tuple(c.slice(a, b - a) for c in own), int(b - a)
+
+
 class ReportCsv(DataSource):
     """``reporte_csv``: one CSV file per report."""
 
     kind = CsvFile
+    named_writer = NamedFilesWriter
 
     @classmethod
     def name(cls) -> str:
         return "reporte_csv"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> NamedFilesWriter:
-        return NamedFilesWriter(self.kind, schema, self.options["path"], self.options.get(TAKEN, REPLACE))
+        return self.named_writer(self.kind, schema, self.options["path"], self.options.get(TAKEN, REPLACE))
 
 
 class ReportSheet(ReportCsv):
     """``reporte_hoja``: one workbook per report."""
 
     kind = SheetFile
+    named_writer = NamedSheetsWriter
 
     @classmethod
     def name(cls) -> str:

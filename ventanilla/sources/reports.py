@@ -79,9 +79,7 @@ def export_lines(rows: DataFrame, headers: list[str], header_row: int, title: st
     ``nombre_archivo``): a title row, the two header rows (a name 'A_B' is
     split over both rows), then data rows numbered after the header, in
     ``row_no`` order. Output: (reporte, row_no, value)."""
-    h1 = [h.split("_", 1)[0] if "_" in h else h for h in headers]
-    h2 = [h.split("_", 1)[1] if "_" in h else "" for h in headers]
-    fixed = [(n, "\t".join([str(n), *cells])) for n, cells in ((1, [title] + [""] * (len(headers) - 1)), (header_row, h1), (header_row + 1, h2))]
+    fixed = [(n, "\t".join([str(n), *cells])) for n, cells in _head_rows(headers, header_row, title)]
     lines = F.array(*[F.struct(F.lit(n).cast("bigint").alias("row_no"), F.lit(line).alias("value")) for n, line in fixed])
     top = rows.select(F.col("nombre_archivo").alias("reporte")).distinct().select("reporte", F.inline(lines))
     sheet_row = (F.col("row_no") + header_row + 2).cast("bigint")
@@ -91,6 +89,22 @@ def export_lines(rows: DataFrame, headers: list[str], header_row: int, title: st
     return top.unionByName(data)
 
 
+def _head_rows(headers: list[str], header_row: int, title: str) -> list[tuple[int, list[str]]]:
+    """Number and cells of the title row and the two header rows of a report."""
+    h1 = [h.split("_", 1)[0] if "_" in h else h for h in headers]
+    h2 = [h.split("_", 1)[1] if "_" in h else "" for h in headers]
+    return [(1, [title] + [""] * (len(headers) - 1)), (header_row, h1), (header_row + 1, h2)]
+
+
+def sheet_rows(rows: DataFrame, headers: list[str], header_row: int, title: str) -> DataFrame:
+    """The rows of ``export_lines`` with their cells: ``reporte, row_no, cells``."""
+    fixed = [F.struct(F.lit(n).cast("bigint").alias("row_no"), F.array(*[F.lit(c) for c in cells]).alias("cells"))
+             for n, cells in _head_rows(headers, header_row, title)]
+    top = rows.select(F.col("nombre_archivo").alias("reporte")).distinct().select("reporte", F.inline(F.array(*fixed)))
+    return top.unionByName(rows.select(F.col("nombre_archivo").alias("reporte"), (F.col("row_no") + header_row + 2).cast("bigint").alias("row_no"),
+                                       F.array(*[F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in headers]).alias("cells")))
+
+
 def write_exports(lines: DataFrame, out_dir: str, one_file_per_report: bool = False) -> None:
     """Write export lines as 'reporte=<name>/part-*.txt'. With ``one_file_per_report``
     each report becomes a single file (the arrival unit of a landing folder)."""
@@ -153,7 +167,8 @@ def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_hea
     # where a column stands is found once per file: in a row of n cells, the last place up to n
     heads = {c: (alike if c in any_case else F.col("columnas")) for c in columns}
     places = hdr.select("archivo_id", *[_last_places(names, c).alias(f"_en{i}") for i, (c, names) in enumerate(heads.items())])
-    j = data.join(places, "archivo_id", "inner")
+    # written, as its size tells how it is joined: a small one to the rows where they are
+    j = data.join(staged(places, "encabezados"), "archivo_id", "inner")
 
     def value(i):
         n = F.least(F.size(f"_en{i}"), F.size("cells"))

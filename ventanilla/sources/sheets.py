@@ -4,9 +4,10 @@ Files come from Spark's ``binaryFile`` listing, in batch or as a stream, with
 the content column pruned. A sheet is one deflate stream and cannot be read
 from its middle, but inflating costs little beside parsing: one task inflates
 the sheet once and cuts it between rows into blocks, which are compressed and
-dealt over all tasks; each task parses its blocks and holds a few rows at a
-time. So the work grows with the sheet. The cells have the layout of
-``reports.read_cells``, so headers, cleaners and error records are shared.
+dealt over all tasks; each task reads its blocks one by one, a plainly written
+one at once (``plain_rows``) and any other a few rows at a time. So the work grows
+with the sheet. The cells have the layout of ``reports.read_cells``, so headers,
+cleaners and error records are shared.
 
 Cell texts: text as it is; whole numbers without a fraction; dates as
 ``yyyy-MM-dd``, with ``HH:mm:ss`` behind unless midnight; times of day as
@@ -20,7 +21,6 @@ no bytes out, so they and folders without files give no rows.
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import io
 import posixpath
 import re
@@ -29,12 +29,15 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ventanilla.session import staged
+from ventanilla.sources import plain_rows
 from ventanilla.sources.shared_files import locate
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,6 +56,10 @@ TIME_FORMATS = {18, 19, 20, 21, 45, 46, 47}
 
 _ROW = re.compile(rb"<(?:[A-Za-z_][\w.-]*:)?row(?=[\s/>])[^>]*>")
 _NUMBER = re.compile(rb"\sr\s*=\s*[\"'](\d+)[\"']")
+_CLOSE = re.compile(rb"</(?:[A-Za-z_][\w.-]*:)?sheetData\s*>")
+_DIGITS = "0123456789"
+#: Bytes at the end of a block that are looked at first for its last row number.
+TAIL = 1 << 14
 
 
 def sheet_files(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> DataFrame:
@@ -93,6 +100,9 @@ def read_sheets(files: DataFrame, block: int = BLOCK) -> DataFrame:
                         if known != path:
                             known, reader = path, cell_reader(path)
                         xml = pa.decompress(packed, decompressed_size=size, codec=CODEC, asbytes=True)
+                        if (plain := _plain_block(xml, head, number, reader)) is not None:
+                            yield _arrow_batch(CELL_FIELDS, path, loaded, [*plain, pa.nulls(len(plain[0]), pa.string())])
+                            continue
                         for n, cells, kinds in _rows_of(io.BytesIO(head + xml), 0, sys.maxsize, reader, number):
                             part.append((n, cells, kinds, None))
                             if len(part) == ROWS:
@@ -109,18 +119,20 @@ def read_sheets(files: DataFrame, block: int = BLOCK) -> DataFrame:
     # blocks of one large sheet go to different tasks
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = found.repartition(tasks, "path", "inicio").mapInArrow(read, CELLS)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.substring_index("path", "/", -1)
     return cells.select(F.xxhash64("path", "modificationTime").alias("archivo_id"), name.alias("nombre_archivo"), "path",
                         "modificationTime", "row_no", "cells", "tipos", "motivo")
 
 
 def whole_files(cells: DataFrame) -> DataFrame:
     """The cells of the files that could be read to their end. Reads ``cells`` twice: store them first."""
-    return cells.join(cells.where("motivo is not null").select("archivo_id").distinct(), "archivo_id", "left_anti")
+    broken = staged(cells.where("motivo is not null").select("archivo_id").distinct(), "ilegibles")
+    return cells.join(broken, "archivo_id", "left_anti")
 
 
 UNREADABLE = "Libro ilegible"
-WORKBOOK_ERRORS = (StopIteration, zipfile.BadZipFile, zlib.error, EOFError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, ET.ParseError)
+WORKBOOK_ERRORS = (StopIteration, zipfile.BadZipFile, zlib.error, EOFError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, ET.ParseError,
+                   expat.ExpatError)
 BLOCK_FIELDS = [("inicio", pa.int64()), ("numero", pa.int64()), ("cabeza", pa.binary()), ("bloque", pa.binary()), ("largo", pa.int64()),
                 ("motivo", pa.string())]
 CELL_FIELDS = [("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("tipos", pa.list_(pa.string())), ("motivo", pa.string())]
@@ -128,12 +140,15 @@ CELL_FIELDS = [("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("tipos
 
 def _batch(fields: list, path: str, loaded: pa.Scalar, rows: list[tuple]) -> pa.RecordBatch:
     """Rows of one file as a batch, behind its path and time."""
-    arrays = [pa.repeat(pa.scalar(path, pa.string()), len(rows)), pa.repeat(loaded, len(rows))]
-    arrays += [pa.array(values, kind) for (_, kind), values in zip(fields, zip(*rows, strict=True), strict=True)]
+    return _arrow_batch(fields, path, loaded, [pa.array(values, kind) for (_, kind), values in zip(fields, zip(*rows, strict=True), strict=True)])
+
+
+def _arrow_batch(fields: list, path: str, loaded: pa.Scalar, columns: list[pa.Array]) -> pa.RecordBatch:
+    n = len(columns[0])
+    arrays = [pa.repeat(pa.scalar(path, pa.string()), n), pa.repeat(loaded, n), *columns]
     return pa.RecordBatch.from_arrays(arrays, names=["path", "modificationTime", *[n for n, _ in fields]])
 
 
-@functools.cache
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
@@ -212,11 +227,11 @@ def sheet_rows(path: str, start: int, end: int) -> Iterator[tuple[int, list[str]
 
 
 def cell_reader(path: str) -> Callable:
-    """Text and kind of a cell element, by the workbook's styles, shared texts and date system."""
+    """Text and kind of a cell by its type, style and value, from the workbook's styles, shared texts and date system."""
     book = Workbook(path)
     with book.zip:
         kinds, texts = book.kinds_of_styles(), book.shared_texts()
-    return lambda e: _cell(e, kinds, texts, book.epoch)
+    return lambda said, style, raw: _cell(said, style, raw, kinds, texts, book.epoch)
 
 
 def sheet_blocks(path: str, block: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -247,15 +262,34 @@ def sheet_blocks(path: str, block: int) -> Iterator[tuple[int, int, bytes, bytes
 
 def _last_number(buffer: bytes, end: int, number: int) -> int:
     """The number of the last row that begins before ``end``; rows without one follow the row before."""
-    for m in _ROW.finditer(buffer, 0, end):
-        said = _NUMBER.search(m[0])
-        number = int(said[1]) if said else number + 1
-    return number
+    back = TAIL
+    while True:
+        # the last row that says its number is mostly near the end: look further back only where it is not
+        start, found, after = max(end - back, 0), None, 0
+        for m in _ROW.finditer(buffer, start, end):
+            said = _NUMBER.search(m[0])
+            found, after = (int(said[1]), 0) if said else (found, after + 1)
+        if found is not None or start == 0:
+            return (number if found is None else found) + after
+        back *= 8
+
+
+def _plain_block(xml: bytes, head: bytes, number: int, cell: Callable) -> tuple[pa.Array, pa.Array, pa.Array] | None:
+    """What ``_rows_of`` gives of a block, as columns, or None if the block is not plainly written."""
+    first = _ROW.search(xml)
+    if first is None:
+        return None
+    close = _CLOSE.search(xml, first.start()) if b"sheetData" in xml else None
+    try:
+        return plain_rows.block_rows(xml[first.start():close.start() if close else len(xml)], head, number, cell)
+    except WORKBOOK_ERRORS:
+        # a cell that cannot be read: the parser gives the rows before it
+        return None
 
 
 def _rows_of(f, start: int, end: int, cell: Callable, number: int = 0) -> Iterator[tuple[int, list[str], list[str | None]]]:
     """The rows of a sheet that begin from ``start`` to ``end``; ``number`` is that of the row before."""
-    parser = ET.XMLPullParser(["end"])
+    parser, rows = None, []
     head, buffer, at, inside = None, b"", 0, False
     while True:
         chunk = f.read(CHUNK)
@@ -276,7 +310,8 @@ def _rows_of(f, start: int, end: int, cell: Callable, number: int = 0) -> Iterat
                         return
                     inside = True
                     buffer, at = buffer[m.start():], at + m.start()
-                    parser.feed(head)
+                    parser = _row_parser(cell, rows, number)
+                    parser.Parse(head, False)
                     break
                 said = _NUMBER.search(m[0])
                 number, done = int(said[1]) if said else number + 1, m.end()
@@ -294,34 +329,111 @@ def _rows_of(f, start: int, end: int, cell: Callable, number: int = 0) -> Iterat
         else:
             keep = max(buffer.rfind(b"<"), 0)
             feed, buffer, at = buffer[:keep], buffer[keep:], at + keep
-        parser.feed(feed)
-        for _, e in parser.read_events():
-            if _local(e.tag) == "row":
-                number = int(e.attrib["r"]) if "r" in e.attrib else number + 1
-                yield number, *_cells_of(e, cell)
-                e.clear()
+        try:
+            parser.Parse(feed, False)
+        finally:
+            # also the rows before a break
+            yield from rows
+            rows.clear()
         if last:
             return
 
 
 def _end_of_block(buffer: bytes, at: int, end: int) -> int | None:
     """Where in the buffer the block stops: the first row tag from ``end`` on, or the end of the sheet's data."""
-    close = re.search(rb"</(?:[A-Za-z_][\w.-]*:)?sheetData\s*>", buffer)
+    close = _CLOSE.search(buffer)
     row = _ROW.search(buffer, max(end - at, 0)) if at + len(buffer) > end else None
     stops = [m.start() for m in (close, row) if m]
     return min(stops) if stops else None
 
 
-def _cells_of(row: ET.Element, cell) -> tuple[list[str], list[str | None]]:
+# Where a parser of rows stands: outside rows, in a row, a cell, its value, its inline text, a text or a run of that, anywhere else.
+_OUT, _IN_ROW, _IN_CELL, _IN_VALUE, _IN_INLINE, _IN_TEXT, _IN_RUN, _ELSEWHERE = range(8)
+
+
+def _row_parser(cell: Callable, rows: list, number: int) -> expat.XMLParserType:
+    """A parser that puts every row it has read to its end into ``rows``: number, cell texts, kinds.
+
+    ``number`` is that of the row before. Of several values of a cell the first one counts, and of a
+    text what stands before an element inside it."""
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.ordered_attributes = parser.buffer_text = True
+    if hasattr(parser, "SetReparseDeferralEnabled"):
+        parser.SetReparseDeferralEnabled(False)
+    tags, places = {}, {}
+    at, above, outer, parts = _OUT, [], [], []
+    said_number, cells = None, []
+    reference, said, style, held = None, "n", 0, False
+
+    def start(name: str, attributes: list) -> None:
+        nonlocal at, said_number, cells, reference, said, style, held
+        tag = tags.get(name)
+        if tag is None:
+            tag = tags[name] = _local(name)
+        above.append(_ELSEWHERE if at == _IN_VALUE or at == _IN_TEXT else at)
+        if at == _IN_CELL:
+            if held or tag != ("is" if said == "inlineStr" else "v"):
+                at = _ELSEWHERE
+            else:
+                at, held = (_IN_VALUE if tag == "v" else _IN_INLINE), True
+        elif at == _IN_INLINE:
+            at = _IN_TEXT if tag == "t" else _IN_RUN if tag == "r" else _ELSEWHERE
+        elif at == _IN_ROW and tag != "row":
+            if tag != "c":
+                at = _ELSEWHERE
+                return
+            at, reference, said, style, held = _IN_CELL, None, "n", 0, False
+            parts.clear()
+            for i in range(0, len(attributes), 2):
+                key = attributes[i]
+                if key == "r":
+                    reference = attributes[i + 1]
+                elif key == "t":
+                    said = attributes[i + 1]
+                elif key == "s":
+                    style = attributes[i + 1]
+        elif at == _IN_RUN:
+            at = _IN_TEXT if tag == "t" else _ELSEWHERE
+        elif at == _OUT or at == _IN_ROW:
+            if tag == "row":
+                # a row that is never closed has the next ones inside it
+                outer.append((said_number, cells))
+                at, cells = _IN_ROW, []
+                said_number = dict(zip(attributes[::2], attributes[1::2], strict=True)).get("r")
+        else:
+            at = _ELSEWHERE
+
+    def characters(text: str) -> None:
+        if at == _IN_TEXT or at == _IN_VALUE:
+            parts.append(text)
+
+    def end(_: str) -> None:
+        nonlocal at, number, said_number, cells
+        if at == _IN_CELL:
+            cells.append((reference, said, style, "".join(parts)))
+        elif at == _IN_ROW:
+            number = number + 1 if said_number is None else int(said_number)
+            rows.append((number, *_cells_of(cells, cell, places)))
+            said_number, cells = outer.pop()
+        at = above.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    return parser
+
+
+def _cells_of(cells: list[tuple], cell: Callable, places: dict[str, int]) -> tuple[list[str], list[str | None]]:
+    """Texts and kinds of a row's cells ``(reference, type, style, value)``, with empty ones for those left out."""
     texts, kinds = [], []
-    for e in row:
-        if _local(e.tag) != "c":
-            continue
-        column = _column(e.attrib["r"]) if "r" in e.attrib else len(texts)
-        while len(texts) < column:
-            texts.append("")
-            kinds.append(None)
-        text, kind = cell(e)
+    for reference, said, style, raw in cells:
+        if reference is not None:
+            letters = reference.rstrip(_DIGITS)
+            place = places.get(letters)
+            if place is None:
+                place = places[letters] = _column(letters)
+            while len(texts) < place:
+                texts.append("")
+                kinds.append(None)
+        text, kind = cell(said, style, raw)
         texts.append(text)
         kinds.append(kind)
     return texts, kinds
@@ -329,25 +441,18 @@ def _cells_of(row: ET.Element, cell) -> tuple[list[str], list[str | None]]:
 
 def _column(reference: str) -> int:
     """0 for A, 25 for Z, 26 for AA."""
-    return _place(re.match("[A-Za-z]+", reference)[0])
-
-
-@functools.cache
-def _place(letters: str) -> int:
+    letters = re.match("[A-Za-z]+", reference)
+    if letters is None:
+        raise ValueError(f"no column in {reference!r}")
     n = 0
-    for c in letters.upper():
+    for c in letters[0].upper():
         n = n * 26 + ord(c) - ord("A") + 1
     return n - 1
 
 
-def _cell(e: ET.Element, kinds: list[str], texts: list[str], epoch: dt.datetime) -> tuple[str, str | None]:
-    said = e.attrib.get("t", "n")
-    value = next((x for x in e if _local(x.tag) == "v"), None)
+def _cell(said: str, style: str | int, raw: str, kinds: list[str], texts: list[str], epoch: dt.datetime) -> tuple[str, str | None]:
     if said == "inlineStr":
-        held = next((x for x in e if _local(x.tag) == "is"), None)
-        text = "" if held is None else _plain(held)
-        return text, "texto" if text else None
-    raw = "" if value is None else value.text or ""
+        return raw, "texto" if raw else None
     if not raw or said == "e":
         return "", None
     if said == "s":
@@ -359,7 +464,7 @@ def _cell(e: ET.Element, kinds: list[str], texts: list[str], epoch: dt.datetime)
         return ("True" if raw == "1" else "False"), "logico"
     if said == "d":
         return _moment_text(dt.datetime.fromisoformat(raw)), "fecha"
-    style = int(e.attrib.get("s", 0))
+    style = int(style)
     kind = kinds[style] if style < len(kinds) else "numero"
     x = float(raw)
     if kind == "numero":
