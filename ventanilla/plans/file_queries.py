@@ -141,7 +141,7 @@ def _stored_cells(spark: SparkSession, sf: str) -> DataFrame:
 def sheet_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """S2 + S4 + P1 + P8 from a landing folder of SOL workbooks: typed rows of every report."""
     cells = _stored_cells(spark, sf)
-    return arrivals.sol_rows_of_files(cells).select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
+    return arrivals.sol_rows_of_files(cells, apart=True).select("nombre_archivo", "mac", "row_no", "fecha", "folio", "categoria", "funcionario",
                                                     "terminal", "centesimas")
 
 
@@ -158,7 +158,7 @@ def sheet_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     stream = sheets.read_sheets(sheets.sheet_file_stream(spark, folder))
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(out, "_avance"))
      .trigger(availableNow=True).start().awaitTermination())
-    rows = arrivals.cr_rows_of_files(sheets.whole_files(spark.read.schema(stream.schema).parquet(out)))[0]
+    rows = arrivals.cr_rows_of_files(sheets.whole_files(spark.read.schema(stream.schema).parquet(out)), apart=True)[0]
     return rows.select("nombre_archivo", "mac", "row_no", "fecha_entrega", "solicitud", "terminal", "centesimas")
 
 

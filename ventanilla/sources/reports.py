@@ -154,11 +154,13 @@ def flatten_headers(cells: DataFrame, header_row: int, strip_parts: bool) -> Dat
 
 
 def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_header: bool,
-                drop_empty_rows: bool = False, any_case: list[str] = ()) -> DataFrame:
+                drop_empty_rows: bool = False, any_case: list[str] = (), apart: bool = False) -> DataFrame:
     """Data rows (below the two header rows) as named text columns.
     Each row's cells are keyed by its file's header (a broadcastable per-file
     table: one row per file) and the wanted ``columns`` are projected. Headers
-    in ``any_case`` match trimmed and in any case; of several the last counts."""
+    in ``any_case`` match trimmed and in any case; of several the last counts.
+    ``apart`` writes the table of headers first, so that its size tells how it is
+    joined: a small one to the rows where they are. It pays for many rows."""
     hdr = flatten_headers(cells, header_row, strip_header)
     data = cells.where(F.col("row_no") > header_row + 1)
     if drop_empty_rows:
@@ -167,8 +169,7 @@ def report_rows(cells: DataFrame, columns: list[str], header_row: int, strip_hea
     # where a column stands is found once per file: in a row of n cells, the last place up to n
     heads = {c: (alike if c in any_case else F.col("columnas")) for c in columns}
     places = hdr.select("archivo_id", *[_last_places(names, c).alias(f"_en{i}") for i, (c, names) in enumerate(heads.items())])
-    # written, as its size tells how it is joined: a small one to the rows where they are
-    j = data.join(staged(places, "encabezados"), "archivo_id", "inner")
+    j = data.join(staged(places, "encabezados") if apart else places, "archivo_id", "inner")
 
     def value(i):
         n = F.least(F.size(f"_en{i}"), F.size("cells"))
